@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import mixing, packing, split
-from notelake.session import load
+from notelake.llm import mixing, neighbours, packing, split
+from notelake.operators.entries import usable_entries
+from notelake.session import load, written
+
+
+def _usable(spark: SparkSession, folder: str) -> DataFrame:
+    return written(usable_entries(load(spark, folder, "embedding_entry")), "usable")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = load(spark, folder, "search_request").select(F.col("entry_id").alias("id"))
+    return neighbours.pairs(neighbours.nearest(_usable(spark, folder), wanted, 5))
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The queries are every entry whose id, as a number, is divisible by 20."""
+    usable = _usable(spark, folder)
+    number = F.conv(F.substring("id", -8, 8), 16, 10).cast("long")
+    return neighbours.nearest(usable, usable.where(number % 20 == 0).select("id"), 5)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,6 +59,7 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture,
