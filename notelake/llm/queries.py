@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import mixing, neighbours, packing, split
+from notelake.llm import diverse, mixing, neighbours, packing, split
 from notelake.operators.entries import usable_entries
 from notelake.session import load, written
 
@@ -26,6 +26,20 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(usable, usable.where(number % 20 == 0).select("id"), 5)
 
 
+def _threshold(spark: SparkSession, folder: str) -> float | None:
+    """``diversity_threshold`` of the configuration named default; null if it is missing."""
+    row = load(spark, folder, "search_config").where("config_name = 'default'").agg(F.max("diversity_threshold").alias("t")).first()
+    return row["t"]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return diverse.close_groups(_usable(spark, folder), _threshold(spark, folder))
+
+
+def p4_subset(spark: SparkSession, folder: str) -> DataFrame:
+    return diverse.varied_subset(_usable(spark, folder), 256, _threshold(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(p3_pieces(spark, folder))
 
@@ -60,6 +74,7 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
+    "p4_found": p4_found, "p4_subset": p4_subset,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture,
