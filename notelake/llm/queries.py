@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import diverse, mixing, neighbours, packing, split
+from notelake.llm import abuse, diverse, mixing, neighbours, packing, split
 from notelake.operators.entries import usable_entries
 from notelake.session import load, written
 
@@ -72,7 +72,21 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(load(spark, folder, "documents"), load(spark, folder, "mix_target"))
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    return abuse.score(docs, abuse.fit(*abuse.training_rows(docs, load(spark, folder, "doc_label"))))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, folder))
+
+
 QUERIES = {
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p4_found": p4_found, "p4_subset": p4_subset,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
