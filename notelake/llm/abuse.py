@@ -23,6 +23,8 @@ from notelake.llm.mixing import plain_source
 LABELLED, LABELLED_CHARS = {1: 1_500, 0: 3_000}, 60_000
 #: Orders of the n-grams, bits of their hashed index.
 ORDERS, BITS = (2, 3, 4, 5), 19
+#: Share of negative notes that may be labelled wrongly; no more are left out.
+WRONG = 0.03
 #: Added to the counts of the log-count ratios.
 SMOOTH = 0.5
 #: Characters that are worked on at once; longer notes are cut, between lines where there are any, with an overlap.
@@ -202,6 +204,22 @@ class _Passages:
         self.size = np.bincount(self.passage, minlength=n)
         self.at = np.concatenate(([0], np.cumsum(self.size)))
 
+    def shared_with_negatives(self, y: np.ndarray) -> np.ndarray:
+        """Whether the very same passage is in more negative notes than positive ones (a heading, a table head): no ground for a positive label."""
+        out = np.zeros(self.n, bool)
+        if not len(self.code):
+            return out
+        offset = np.arange(len(self.code)) - self.at[self.passage]
+        power = np.cumprod(np.full(int(offset.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        busy = np.flatnonzero(self.size)
+        mark = np.add.reduceat(self.code.astype(np.uint64) * power[offset], self.at[busy])
+        _, which = np.unique(mark, return_inverse=True)
+        pair = np.unique(which.astype(np.int64) << 32 | self.note[busy])
+        text, note = pair >> 32, pair & 0xFFFFFFFF
+        more = np.bincount(text, 1 - 2 * y[note])
+        out[busy] = more[which] > 0
+        return out
+
     def rows(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row number in keep, hashed index) of all n-grams of the passages ``keep``."""
         size = self.size[keep]
@@ -274,6 +292,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, ridge: float = 0.00
     rng = np.random.default_rng(seed)
     label = y[p.note]
     usable = p.size >= 8
+    telling = usable & ~p.shared_with_negatives(y)
     # first guess: in how many notes, of the positive and as many of the negative ones, an n-gram is
     some = np.zeros(len(y), bool)
     some[y == 1] = True
@@ -296,8 +315,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, ridge: float = 0.00
     for turn in range(rounds):
         score[~usable] = -np.inf
         best = np.full(len(y), -np.inf)
-        np.maximum.at(best, p.note, score)
-        positive = np.flatnonzero(usable & (label == 1) & good[p.note] & ((score >= best[p.note]) | ((score > 1.0) & (turn > 0))))
+        np.maximum.at(best, p.note[telling], score[telling])
+        positive = np.flatnonzero(telling & (label == 1) & good[p.note] & ((score >= best[p.note]) | ((score > 1.0) & (turn > 0))))
         negative = np.flatnonzero(usable & (label == 0) & good[p.note])
         if not len(positive) or not len(negative):
             break
@@ -321,8 +340,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, ridge: float = 0.00
                     weights, bias = _train(p, chosen[inside], target[inside], ridge, steps)
                     held = usable & (fold[p.note] == k)
                     np.maximum.at(unseen, p.note[held], p.scores(weights, bias)[held])
-        if not last:  # a positive note that can't be learnt, a negative one that looks like others' cases
-            good = ~(((y == 0) & (np.maximum(best, unseen) > (1.5 if turn == 0 else 0.5))) | ((y == 1) & (best < -1.0)))
+        if not last:  # doubt a positive note that can't be learnt and, once hard negatives were seen, the few negative ones that look like others' cases
+            good = ~((y == 1) & (best < -1.0))
+            if turn > 0:
+                doubt = np.where(y == 0, unseen, -np.inf)
+                most = int(WRONG * (y == 0).sum())
+                worst = np.argsort(-doubt, kind="stable")[:most]
+                good[worst[doubt[worst] > 0.5]] = False
     sure = good & np.isfinite(unseen)
     values, truth = unseen[sure], y[sure]
     order = np.argsort(-values, kind="stable")
