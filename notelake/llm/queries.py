@@ -93,7 +93,24 @@ QUERIES = {
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture,
 }
+_USABLE = """
+WITH c AS (SELECT id, vector, model_name, nfc_normalize(array_to_string(list_filter(string_split(replace(file_path, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/')) AS path
+  FROM embedding_entry QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, vector DESC) = 1),
+u AS (SELECT id, vector::DOUBLE[] AS v, model_name, path FROM c
+  WHERE len(vector) = CASE model_name WHEN 'quill-embed-s' THEN 128 WHEN 'quill-embed-xs' THEN 64 END
+  AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = len(vector) AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+"""
 SQL = {
+    "p1_found": _USABLE + """
+        p AS (SELECT q.id AS a, u.id AS b, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, u.v) DESC, u.id) AS n
+          FROM u q JOIN u ON q.model_name = u.model_name AND q.id <> u.id AND (q.path IS NULL OR u.path IS NULL OR q.path <> u.path) WHERE q.id IN (SELECT entry_id FROM search_request))
+        SELECT DISTINCT least(a, b) AS entry_a, greatest(a, b) AS entry_b FROM p WHERE n <= 5""",
+    "p4_found": "WITH RECURSIVE" + _USABLE.strip()[4:] + """
+        l AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.model_name = y.model_name AND x.id <> y.id
+          WHERE list_cosine_similarity(x.v, y.v) >= (SELECT max(diversity_threshold) FROM search_config WHERE config_name = 'default')),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        m AS (SELECT a AS member_id, min(b) AS first_id FROM r GROUP BY a)
+        SELECT first_id, member_id FROM m WHERE first_id < member_id""",
     "p3_found": "SELECT chunk_key FROM note_chunk JOIN chunk_config USING (config_id) WHERE length(content) > max_chunk_size",
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
     "p7_found": """
