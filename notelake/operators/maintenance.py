@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.vectors import is_zero
+from notelake.operators import dedup
 from notelake.operators.metrics import index_health
 from notelake.sources.store import VersionedStore
 
@@ -125,3 +126,22 @@ def maintenance_cycle(store: VersionedStore, orphan_ids: DataFrame, files: int =
     before = rows.count()
     version = compact(store, delete_ids(rows, batch, key), files)
     return {"version": version, "removed": before - store.read().count()}
+
+
+def optimise(store: VersionedStore, threshold: float = 0.95, files: int = 1) -> dict[str, int]:
+    """Deduplicate, publish the survivors compacted, drop old snapshots. Rows need id, vector, created_at, updated_at, text_length."""
+    rows = store.read()
+    clusters = dedup.greedy_clusters(rows, threshold)
+    mapping = dedup.reference_mapping(clusters, dedup.representatives(clusters, rows))
+    before = rows.count()
+    version = compact(store, dedup.without(rows, mapping), files)
+    return {"version": version, "removed": before - store.read().count()}
+
+
+def compact_metadata(preview: Column) -> Column:
+    """Empty previews are stored as null; :func:`full_metadata` gives them back."""
+    return F.nullif(preview, F.lit(""))
+
+
+def full_metadata(preview: Column) -> Column:
+    return F.coalesce(preview, F.lit(""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import statistics
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,3 +216,18 @@ def adaptive_timeout(base_ms: float, latency_factor: Column, failure_rate: Colum
 
 def memory_level(mb: Column, warning: float, critical: float) -> Column:
     return F.when(mb >= critical, "critical").when(mb >= warning, "warning").otherwise("normal")
+
+
+def establish_baseline(run: Callable[[], float], warm_up: int = 2, least: int = 10, most: int = 50, last: int = 5, most_cv: float = 15.0) -> dict[str, float]:
+    """Measure a function (it returns milliseconds) until its last results are steady: mean, deviation, index percentiles, confidence."""
+    for _ in range(warm_up):
+        run()
+    values: list[float] = []
+    while len(values) < most:
+        values.append(float(run()))
+        recent = values[-last:]
+        if len(values) >= least and statistics.fmean(recent) > 0 and statistics.pstdev(recent) / statistics.fmean(recent) * 100 <= most_cv:
+            break
+    s, n, mean = sorted(values), len(values), statistics.fmean(values)
+    cv = statistics.pstdev(values) / mean * 100 if mean else 0.0
+    return {"samples": n, "mean": mean, "deviation": statistics.pstdev(values), **{f"p{p}": s[n * p // 100] for p in (50, 95, 99)}, "confidence": min(1, n / most) * 0.3 + (1 - min(1, cv / most_cv)) * 0.4 + 0.3}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
-from notelake.operators import chunking, markdown
+from notelake.operators import chunking, diff, markdown
 from notelake.session import load
 
 
@@ -122,6 +122,16 @@ def suggestions(spark, folder):
     return _docs(spark, folder).where("text is not null").select("doc_id", T.title(F.col("file_path"), t).alias("title"), T.title(F.lit(None).cast("string"), t).alias("first_line"), T.snippet(t).alias("snippet"), T.read_preview(t, 300).alias("preview"))
 
 
+def changed_sections(spark, folder):
+    """Each note against itself with every line that mentions the shelf rewritten."""
+    rows = _docs(spark, folder).select("doc_id", "text", F.regexp_replace("text", "shelf", "rack").alias("new"))
+    return diff.changed_sections(rows, "doc_id", "text", "new")
+
+
+def significant_edits(spark, folder):
+    return _docs(spark, folder).select("doc_id", diff.is_significant(F.col("text"), F.regexp_replace("text", "shelf", "bookcase")).alias("significant"))
+
+
 _X = r"[\s\x{85}\p{Z}]"
 
 
@@ -145,6 +155,7 @@ _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 QUERIES = {f.__name__: f for f in (
     preprocess_text, text_validity, text_statistics, optimal_chunk_size, chunk_config_suggested, text_hashes, chunk_windows, chunk_size_benchmark, chunk_fixed, chunk_semantic, chunk_hybrid, chunk_markdown,
     chunk_notes, markdown_elements, markdown_headers, markdown_links, markdown_stripped, markdown_html, paragraph_context, find_in_text, snippet_location, suggestions,
+    changed_sections, significant_edits,
 )}
 _WINDOWS = """
 WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
@@ -170,5 +181,7 @@ SQL = {
     "paragraph_context": r"WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: length(trim(p, ' ')) > 0) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, list_slice(p, 2, 4) AS paragraphs FROM p WHERE len(p) > 2",
     "find_in_text": r"""WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT *, instr(substring(t, 50), 'the') AS a, instr(t, 'the') AS b, regexp_extract(substring(t, 1, 51), '^((?s:.*))the', 1) AS h, regexp_extract(t, '^((?s:.*))the', 1) AS g FROM d)
         SELECT doc_id, CASE WHEN a > 0 THEN a + 49 ELSE b END AS next_at, CASE WHEN contains(substring(t, 1, 51), 'the') THEN length(h) + 1 WHEN b > 0 THEN length(g) + 1 ELSE 0 END AS previous_at, len(regexp_extract_all(text, '(?i)the')) AS replacements, length(text) AS length_after FROM f""",
+    "changed_sections": "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l), c AS (SELECT doc_id, i - 1 AS line FROM x WHERE contains(l[i], 'shelf')), g AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM c) SELECT doc_id, min(line) AS first_line, max(line) AS last_line, count(*) AS lines FROM g GROUP BY doc_id, g",
+    "significant_edits": "SELECT doc_id, coalesce(length(replace(text, 'shelf', 'bookcase')) - length(text) >= 5, false) AS significant FROM documents",
     "snippet_location": r"WITH d AS (SELECT doc_id, substring(text, 1, instr(text, 'the') - 1) AS b FROM documents WHERE instr(text, 'the') > 0) SELECT doc_id, len(string_split(b, chr(10))) AS line, length(regexp_extract(b, '([^\n]*)$', 1)) + 1 AS column FROM d",
 }
