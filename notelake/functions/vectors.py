@@ -25,7 +25,7 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     """Cosine in [-1, 1]. Null where it is undefined: null or empty, lengths differ, an element not finite, a norm of 0."""
     bottom = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     raw = dot(a, b) / bottom
-    return F.when((bottom > 0) & (bottom < float("inf")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    return F.when((bottom > 0) & (bottom < float("inf")) & raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def storage_cosine(a: Column, b: Column) -> Column:
@@ -35,7 +35,8 @@ def storage_cosine(a: Column, b: Column) -> Column:
 
 def cosine_normalized(a: Column, b: Column) -> Column:
     """Dot product of unit vectors, clamped."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
+    raw = dot(a, b)
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def normalize(a: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.paths import depth, file_name, parent_path
@@ -11,15 +13,28 @@ from notelake.functions.text import natural_key
 MAX_NOTE_BYTES = 10 * 1024 * 1024
 
 
+def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+
+
+def _relative(path: str | Column, root: str) -> Column:
+    return F.substring_index(path, root.rstrip("/") + "/", -1)
+
+
+def _empty_files(files: DataFrame, root: str) -> DataFrame:
+    """Paths of empty files, which a scan passes over; the listing that the driver holds for the scan has them."""
+    listed = files.sparkSession.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")
+    return listed.select(_relative("path", root).alias("path")).join(files.select(_relative("path", root).alias("path")), "path", "left_anti")
+
+
 def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(path, name, modified, size, is_dir) of all files below the root that match, and of the folders that hold them; the root itself is left out.
 
-    Paths are relative to the root. Only file metadata is read, never content.
+    Paths are relative to the root. Only file metadata is read, never content. Empty files have size 0 and no time.
     """
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "modificationTime", "length")
-    relative = F.substring_index("path", base, -1)
-    notes = files.select(relative.alias("path"), F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"))
+    files = _files(spark, root, pattern)
+    notes = files.select(_relative("path", root).alias("path"), F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"))
+    notes = notes.unionByName(_empty_files(files, root).select("path", F.lit(None).cast("long").alias("modified"), F.lit(0).cast("long").alias("size")))
     own = notes.select("path", file_name(F.col("path")).alias("name"), "modified", "size", F.lit(False).alias("is_dir"))
     return own.unionByName(folders(notes).select("path", file_name(F.col("path")).alias("name"), F.lit(None).cast("long").alias("modified"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("is_dir")))
 
@@ -32,9 +47,10 @@ def folders(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def read_notes(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """(path, text) of the notes up to 10 MB, as UTF-8."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).where(F.col("length") <= MAX_NOTE_BYTES)
-    return rows.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    """(path, text) of the notes up to 10 MB, as UTF-8; empty notes have an empty text."""
+    files = _files(spark, root, pattern)
+    rows = files.where(F.col("length") <= MAX_NOTE_BYTES).select(_relative("path", root).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return rows.unionByName(_empty_files(files, root).select("path", F.lit("").alias("text")))
 
 
 def sorted_listing(files: DataFrame, by: str = "name") -> DataFrame:

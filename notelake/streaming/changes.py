@@ -12,10 +12,13 @@ from notelake.operators.lookup import is_note
 from notelake.operators.maintenance import apply_batch, latest_changes
 from notelake.sources.store import VersionedStore
 
+#: What the binary file source gives.
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
 
 def note_stream(spark: SparkSession, root: str, pattern: str = "*.md", most_files: int = 50, excluded: tuple[str, ...] = ()) -> DataFrame:
     """(path, modified, size, text) of files as they appear, at most ``most_files`` per trigger; excluded path prefixes (relative to the root) are left out."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", most_files).load(root)
+    rows = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", most_files).load(root)
     out = rows.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
     for prefix in excluded:
         out = out.where(~F.col("path").startswith(prefix))
