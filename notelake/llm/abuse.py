@@ -25,6 +25,8 @@ LABELLED, LABELLED_CHARS = {1: 1_500, 0: 3_000}, 60_000
 ORDERS, BITS = (2, 3, 4, 5), 19
 #: Share of negative notes that may be labelled wrongly; no more are left out.
 WRONG = 0.03
+#: Characters after which a passage without an end is cut.
+LONG = 300
 #: Added to the counts of the log-count ratios.
 SMOOTH = 0.5
 #: Characters that are worked on at once; longer notes are cut, between lines where there are any, with an overlap.
@@ -99,6 +101,14 @@ def read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stop = (code == 46) | (code == 33) | (code == 63)
     ends = (code == 10) | (stop & ((after == 32) | (after == 10))) | (code == 0x3002)
     begins = np.append(True, ends[:-1])
+    # a passage that doesn't end goes on as another one: at the first space after LONG characters, without spaces after four times as many
+    offset = np.arange(len(code)) - np.maximum.accumulate(np.where(begins, np.arange(len(code)), 0))
+    if offset.max() >= LONG:
+        space = np.flatnonzero(code == 32)
+        part = offset[space] // LONG
+        fresh = np.append(True, (part[1:] != part[:-1]) & (offset[space][1:] > offset[space][:-1])) if len(space) else np.empty(0, bool)
+        begins = begins | ((offset > 0) & (offset % (4 * LONG) == 0))
+        begins[space[fresh & (part > 0)]] = True
     keep = code != 0
     kind = _kinds()[np.minimum(code, 0xFFFF)]
     # a hyphen or dot between letters is read over

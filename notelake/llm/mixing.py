@@ -114,7 +114,8 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     sizes = sized(docs)
     histogram = sizes.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("documents"))
     total = histogram.agg(F.coalesce(F.sum(F.col("tokens") * F.col("documents")), F.lit(0)).alias("all_tokens"))
-    wanted = targets.select("mix_id", plain_source(F.col("source")).alias("source"), F.greatest("weight", F.lit(0.0)).alias("weight"), "max_repeats", "size_factor").dropna().distinct()
+    known = targets.select("mix_id", plain_source(F.col("source")).alias("source"), "weight", "max_repeats", "size_factor").dropna()
+    wanted = known.withColumn("weight", F.greatest("weight", F.lit(0.0))).distinct()
     sums = wanted.groupBy("mix_id").agg(F.sum("weight").alias("sum_weight"))
     goal = F.when(F.col("sum_weight") > 0, F.col("weight") / F.col("sum_weight") * F.col("size_factor") * F.col("all_tokens")).otherwise(F.lit(0.0))
     goals = wanted.join(sums, "mix_id").join(total, how="cross").select("mix_id", "source", "weight", "max_repeats", goal.alias("target_tokens"))  # total is one row

@@ -43,11 +43,11 @@ def _boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
                 if 0 < m.end() < n:
                     cost.setdefault(m.end(), price)
     at = np.array(sorted([0, n, *cost]))
-    step = max(1, reach // 8)
+    step, back = max(1, reach // 8), max(1, min(32, reach // 3))
     for a, b in [(int(a), int(b)) for a, b in zip(at, at[1:]) if b - a > reach // 2]:  # no natural boundary for long: between characters
         for p in range(a + step, b, step):
             q = p
-            while q > a + 1 and p - q < step - 1 and _joined(text, q):
+            while q > a + 1 and p - q < back and _joined(text, q):
                 q -= 1
             if not (a < q < b) or _joined(text, q):
                 q = p
