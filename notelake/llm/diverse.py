@@ -125,6 +125,26 @@ def varied_subset(usable: DataFrame, size: int, threshold: float | None = None)
     return usable.sparkSession.createDataFrame(rows, "model_name string, place int, id string, similarity_before double")
 
 
+def _cover(batches: Iterator[pa.RecordBatch], ids: dict[str, list[str]], units: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        models = np.array(b.column("model_name").to_pylist(), object)
+        for model, c in units.items():
+            mine = np.flatnonzero(models == model)
+            if not len(mine):
+                continue
+            score = matrix(b.column("unit").take(pa.array(mine)), np.float32, c.shape[1]) @ c.T
+            best = score.argmax(axis=1)
+            near = np.clip(score[np.arange(len(mine)), best].astype(np.float64), -1, 1)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(mine)), pa.array([ids[model][j] for j in best], pa.string()), pa.array(near)], ["id", "representative", "similarity"])
+
+
+def covered(usable: DataFrame, size: int) -> DataFrame:
+    """(id, representative, similarity): every entry with the most similar one of the ``size`` chosen of its model. How well a subset covers the
+    data is the least similarity; how large the groups are that it stands for, the count per representative. No shuffle beyond the choice."""
+    centers = Centers(usable, dict.fromkeys((r["model_name"] for r in usable.select("model_name").distinct().collect()), size))
+    return usable.select("model_name", "id", "unit").mapInArrow(partial(_cover, ids=centers.ids, units=centers.units), "id string, representative string, similarity double")
+
+
 def _assign(batches: Iterator[pa.RecordBatch], units: dict[str, np.ndarray], first: dict[str, int], cuts: dict[int, int], pivots: dict[int, tuple[np.ndarray, int]], threshold: float) -> Iterator[pa.RecordBatch]:
     """Sends each row to the cells of its nearest centers: (block, cell, kind, key, half-size vector).
 

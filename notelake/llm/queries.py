@@ -40,6 +40,11 @@ def p4_subset(spark: SparkSession, folder: str) -> DataFrame:
     return diverse.varied_subset(_usable(spark, folder), 256, _threshold(spark, folder))
 
 
+def p4_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry with the chosen one that stands for it."""
+    return diverse.covered(_usable(spark, folder), 256)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(p3_pieces(spark, folder))
 
@@ -88,7 +93,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p4_found": p4_found, "p4_subset": p4_subset,
+    "p4_found": p4_found, "p4_subset": p4_subset, "p4_coverage": p4_coverage,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture,

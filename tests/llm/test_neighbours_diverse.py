@@ -151,6 +151,17 @@ def test_varied_subset(spark, monkeypatch):
     assert D.varied_subset(frame(spark, x).limit(0), 10).count() == 0
 
 
+def test_coverage(spark):
+    x = vectors(400, seed=8)
+    chosen = {r.id for r in D.varied_subset(frame(spark, x), 25).collect()}
+    got = D.covered(frame(spark, x), 25).collect()
+    at = sorted(int(i[1:]) for i in chosen)
+    s = x.astype(np.float64) @ x[at].astype(np.float64).T
+    assert len(got) == 400 and {r.representative for r in got} <= chosen
+    assert all(abs(r.similarity - s[int(r.id[1:])].max()) < 1e-5 for r in got)
+    assert D.covered(frame(spark, x).limit(0), 5).count() == 0
+
+
 def test_pool_is_thinned_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(D, "PART_ROWS", 100)
     monkeypatch.setattr(D, "POOL_ROWS", 150)
