@@ -134,6 +134,7 @@ SQL = {
     "folder_list": _F + ", p AS (SELECT string_split(path, '/') AS s FROM f) SELECT DISTINCT array_to_string(s[1:i], '/') AS path FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)",
     "vault_statistics": _F + " SELECT count(*) FILTER (NOT is_dir AND ends_with(lower(path), '.md')) AS notes, count(*) FILTER (is_dir) AS folders, sum(size) FILTER (NOT is_dir) AS bytes FROM f WHERE NOT is_deleted",
     "path_parts": f"SELECT path, regexp_extract(n, '([^/]*)$', 1) AS file, lower(regexp_extract(regexp_extract(n, '([^/]*)$', 1), '\\.([^.]+)$', 1)) AS extension, regexp_extract(n, '^(.*)/[^/]*$', 1) AS parent, regexp_replace(regexp_extract(n, '([^/]*)$', 1), '\\.[^.]+$', '') AS stem, {_P} AS plain FROM (SELECT DISTINCT path, replace(path, '\\', '/') AS n FROM file_info)",
+    "natural_order": r"SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '([0-9]+)', '00000000000\1', 'g'), '0*([0-9]{12})([^0-9]|$)', '\1\2', 'g') AS key FROM file_info",
     "fuzzy_search": _FUZZY + "SELECT path, name, score FROM z WHERE score > 0",
     "fuzzy_top": _FUZZY + "SELECT path, name, score FROM z WHERE score > 0 ORDER BY score DESC, path, name LIMIT 20",
     "snapshot_diff": "WITH a AS (WITH " + _LATEST.format(p=_P, w="AND listed_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'") + " SELECT * FROM f WHERE NOT is_deleted AND NOT is_dir), b AS (" + _F + " SELECT * FROM f WHERE NOT is_deleted AND NOT is_dir) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.modified IS DISTINCT FROM b.modified OR a.size IS DISTINCT FROM b.size",

@@ -181,6 +181,16 @@ SQL = {
     "paragraph_context": r"WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: length(trim(p, ' ')) > 0) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, list_slice(p, 2, 4) AS paragraphs FROM p WHERE len(p) > 2",
     "find_in_text": r"""WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT *, instr(substring(t, 50), 'the') AS a, instr(t, 'the') AS b, regexp_extract(substring(t, 1, 51), '^((?s:.*))the', 1) AS h, regexp_extract(t, '^((?s:.*))the', 1) AS g FROM d)
         SELECT doc_id, CASE WHEN a > 0 THEN a + 49 ELSE b END AS next_at, CASE WHEN contains(substring(t, 1, 51), 'the') THEN length(h) + 1 WHEN b > 0 THEN length(g) + 1 ELSE 0 END AS previous_at, len(regexp_extract_all(text, '(?i)the')) AS replacements, length(text) AS length_after FROM f""",
+    "chunk_config_suggested": r"""WITH d AS (SELECT doc_id, text, length(text) AS n, len(regexp_extract_all(text, '[.!?…](\s|$)')) AS e, length(regexp_extract(text, '^((?s:.*)[.!?…])(\s|$)', 1)) AS l, len(regexp_split_to_array(text, '\n\n|\r\n\r\n')) AS p FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT *, CASE WHEN e = 0 THEN n ELSE l // e END AS m FROM d),
+        s AS (SELECT *, CAST(greatest(100, least(1000, floor(1000 * CASE WHEN m > 100 THEN 1.2::DOUBLE WHEN m < 30 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN n // p > 1000 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END))) AS INTEGER) AS z FROM f)
+        SELECT doc_id, CASE WHEN strlen(text) > 10000 THEN 'hybrid' ELSE 'semantic' END AS strategy, z AS max_chunk_size, greatest(50, least(200, z // 10)) AS overlap_size, greatest(50, z // 4) AS min_chunk_size FROM s""",
+    "suggestions": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[^/.]+$', '') AS f,
+          regexp_replace(regexp_replace(regexp_replace(regexp_extract(text, '(?m)^[ \t\r\f\v]*([^\s][^\n\r]*)', 1), '^#+\s*', ''), '\*\*([^\n\r]+?)\*\*', '\1', 'g'), '\s+$', '') AS l, substring(text, 1, 150) AS h, substring(text, 1, 300) AS p FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT *, CASE WHEN length(l) > 50 THEN substring(l, 1, 50) || '...' ELSE l END AS t, regexp_extract(h, '^((?s:.*)) ', 1) AS w, regexp_extract(p, '^((?s:.*))\n', 1) AS pl, regexp_extract(p, '^((?s:.*)) ', 1) AS pw FROM d)
+        SELECT doc_id, coalesce(nullif(f, ''), nullif(t, ''), 'Untitled') AS title, coalesce(nullif(t, ''), 'Untitled') AS first_line,
+          CASE WHEN length(text) <= 150 THEN text ELSE CASE WHEN length(w) > 120 THEN w ELSE h END || '...' END AS snippet,
+          CASE WHEN length(text) <= 300 THEN text ELSE CASE WHEN length(pl) > 0 THEN pl WHEN length(pw) > 0 THEN pw ELSE p END || chr(10) || chr(10) || '[truncated]' END AS preview FROM s""",
     "changed_sections": "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l), c AS (SELECT doc_id, i - 1 AS line FROM x WHERE contains(l[i], 'shelf')), g AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM c) SELECT doc_id, min(line) AS first_line, max(line) AS last_line, count(*) AS lines FROM g GROUP BY doc_id, g",
     "significant_edits": "SELECT doc_id, coalesce(length(replace(text, 'shelf', 'bookcase')) - length(text) >= 5, false) AS significant FROM documents",
     "snippet_location": r"WITH d AS (SELECT doc_id, substring(text, 1, instr(text, 'the') - 1) AS b FROM documents WHERE instr(text, 'the') > 0) SELECT doc_id, len(string_split(b, chr(10))) AS line, length(regexp_extract(b, '([^\n]*)$', 1)) + 1 AS column FROM d",

@@ -245,7 +245,33 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT vec_id, v, list_min(v) AS low, CASE WHEN list_max(v) > list_min(v) THEN (list_max(v) - list_min(v)) / {0} ELSE 1.0 END AS scale FROM e),
 c AS (SELECT *, list_transform(v, lambda x: CAST(least(round((x - low) / scale), {0}) AS INTEGER)) AS codes FROM p)
 """
+# greedy clusters as a fold over the entries in id order; ids are texts
+_GREEDY = _BASE + f""",
+n AS (SELECT CAST(x.id AS VARCHAR) AS id, list(CAST(y.id AS VARCHAR) ORDER BY CAST(y.id AS VARCHAR)) FILTER (CAST(y.id AS VARCHAR) > CAST(x.id AS VARCHAR) AND {_C.format('x.v', 'y.v')} >= 0.35) AS near FROM e x, e y GROUP BY x.id),
+o AS (SELECT list({{'id': id, 'near': coalesce(near, []), 'out': []::STRUCT(m VARCHAR, s VARCHAR)[]}} ORDER BY id) AS l FROM n),
+g AS (SELECT unnest(list_reduce(list_prepend({{'id': '', 'near': []::VARCHAR[], 'out': []::STRUCT(m VARCHAR, s VARCHAR)[]}}, l), lambda a, x: CASE WHEN list_contains(list_transform(a.out, lambda k: k.m), x.id) THEN a
+  ELSE {{'id': '', 'near': []::VARCHAR[], 'out': list_concat(a.out, list_transform(list_filter(x.near, lambda y: NOT list_contains(list_transform(a.out, lambda k: k.m), y)), lambda y: {{'m': y, 's': x.id}}))}} END).out) AS c FROM o),
+c AS (SELECT c.s AS seed, c.m AS member FROM g),
+cm AS (SELECT seed, member AS id FROM c UNION SELECT seed, seed FROM c)
+"""
+_MAP = """, cr AS (SELECT seed, arg_min(id, ({0}, id)) AS rep FROM (SELECT seed, cm.id, e.created_at, e.updated_at, e.text_length FROM cm JOIN e ON CAST(e.id AS VARCHAR) = cm.id) GROUP BY seed),
+mp AS (SELECT cm.id AS member, rep AS representative FROM cm JOIN cr USING (seed) WHERE cm.id <> rep)
+"""
 SQL = {
+    "dedup_clusters": _GREEDY + f"SELECT seed, member, round({_C.format('x.v', 'y.v')}, 6) AS similarity FROM c JOIN e x ON CAST(x.id AS VARCHAR) = seed JOIN e y ON CAST(y.id AS VARCHAR) = member",
+    "dedup_mapping": _GREEDY + _MAP.format("-updated_at") + "SELECT * FROM mp",
+    "dedup_survivors": _GREEDY + _MAP.format("-updated_at") + "SELECT CAST(id AS VARCHAR) AS id FROM e WHERE CAST(id AS VARCHAR) NOT IN (SELECT member FROM mp)",
+    "dedup_statistics": _GREEDY + _MAP.format("-text_length") + ", t AS (SELECT (SELECT count(*) FROM e) AS a, (SELECT count(DISTINCT member) FROM mp) AS b) SELECT a AS rows, b AS replaced, a - b AS kept, (b * 100.0 / a)::DOUBLE AS reduction_percent FROM t",
+    "dedup_central": _GREEDY + f", w AS (SELECT a.seed, a.id, round(avg({_C.format('x.v', 'y.v')}), 9) AS mean FROM cm a JOIN cm b ON a.seed = b.seed AND a.id <> b.id JOIN e x ON CAST(x.id AS VARCHAR) = a.id JOIN e y ON CAST(y.id AS VARCHAR) = b.id WHERE {_C.format('x.v', 'y.v')} >= 0.35 GROUP BY 1, 2) SELECT seed, arg_min(id, (-mean, id)) AS representative FROM w GROUP BY seed",
+    "delta_encode": _GREEDY + """, r AS (SELECT CAST(e.id AS VARCHAR) AS id, e.v::DOUBLE[] AS v, seed AS reference FROM e LEFT JOIN c ON c.member = CAST(e.id AS VARCHAR)),
+        z AS (SELECT id, v, list_min(v) AS lo, CASE WHEN list_max(v) > list_min(v) THEN (list_max(v) - list_min(v)) / 255.0 ELSE 1.0 END AS sc FROM r WHERE reference IS NULL),
+        y AS (SELECT id, list_transform(v, lambda x: lo + least(round((x - lo) / sc), 255.0) * sc) AS back FROM z),
+        d AS (SELECT r.id, r.reference, CASE WHEN y.id IS NULL THEN r.v ELSE list_transform(range(1, len(r.v) + 1), lambda i: r.v[i] - y.back[i]) END AS w FROM r LEFT JOIN y ON r.reference = y.id)
+        SELECT id, reference, round(CASE WHEN list_max(w) > list_min(w) THEN (list_max(w) - list_min(w)) / 255.0 ELSE 1.0 END, 9) AS scale, len(w) AS dimension FROM d""",
+    "knn_diversity": _BASE + """, h AS (SELECT CAST(query AS VARCHAR) AS query, CAST(br.id AS VARCHAR) AS id, similarity, e.v::DOUBLE[] AS v FROM br JOIN e ON e.id = br.id WHERE rank <= 20),
+        f AS (SELECT query, list([{'id': id, 's': similarity, 'v': v}] ORDER BY similarity DESC, id) AS l FROM h GROUP BY query),
+        k AS (SELECT query, list_reduce(l, lambda a, x: CASE WHEN len(a) < 10 AND len(list_filter(a, lambda y: list_cosine_similarity(y.v, x[1].v) >= 0.3)) = 0 THEN list_concat(a, x) ELSE a END) AS k FROM f)
+        SELECT query, k[i].id AS id, round(k[i].s, 6) AS similarity, i AS rank FROM (SELECT query, k, unnest(range(1, len(k) + 1)) AS i FROM k)""",
     "knn_topk": _BASE + "SELECT id, model_name, file_path, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM s ORDER BY rank LIMIT 10",
     "knn_default": _BASE + "SELECT id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.1 ORDER BY s.similarity DESC, id LIMIT 20",
     "threshold_search": _BASE + "SELECT id, round(similarity, 6) AS similarity FROM s WHERE s.similarity >= 0.2",
