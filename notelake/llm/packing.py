@@ -7,10 +7,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.ranks import salted_rank, text_tokens
+from notelake.session import written
 
 ITEM = "doc_id long, piece int, pieces int, start long, tokens long"
 
@@ -133,9 +135,16 @@ def fit(counts: np.ndarray, **options: int) -> list[tuple[tuple[int, ...], int]]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """One item per row that fits (its text doesn't come along), several for the others."""
+    names, kinds = ["doc_id", "piece", "pieces", "start", "tokens"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     for b in batches:
+        large = b.column("text").is_valid()
+        fits = b.filter(pc.invert(large))
+        n = fits.num_rows
+        yield pa.RecordBatch.from_arrays([fits.column("doc_id"), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int64)), fits.column("tokens")], names)
         rows: list[tuple] = []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+        oversized = b.filter(large)
+        for i, text in zip(oversized.column("doc_id").to_pylist(), oversized.column("text").cast(pa.binary()).to_pylist()):
             cuts = [0]
             while len(text) - cuts[-1] > capacity:
                 end = cuts[-1] + capacity
@@ -144,17 +153,14 @@ def _cut(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Record
                 cuts.append(end)
             cuts.append(len(text))
             rows += [(i, k, len(cuts) - 1, s, e - s) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "pieces", "start", "tokens"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def items(docs: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, piece, pieces, start, tokens): a text is one item unless it alone is larger than a container."""
+    """(doc_id, piece, pieces, start, tokens): a text is one item unless it alone is larger than a container. One pass over the texts; only oversized ones leave the JVM."""
     size = text_tokens(F.col("text"))
-    whole = docs.where(size <= capacity).select("doc_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).cast("long").alias("start"), size.alias("tokens"))
-    large = docs.where(size > capacity).select("doc_id", "text").mapInArrow(partial(_cut, capacity=capacity), ITEM)
-    return whole.unionByName(large)
+    return docs.select("doc_id", size.alias("tokens"), F.when(size > capacity, F.col("text")).alias("text")).mapInArrow(partial(_cut, capacity=capacity), ITEM)
 
 
 def pack(docs: DataFrame, capacity: int = 8192, width: int = 32) -> DataFrame:
@@ -169,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = 8192, width: int = 32) -> DataFrame:
     spark, classes = docs.sparkSession, -(-capacity // width)
     if capacity % width:
         raise ValueError("capacity must be a multiple of width")
-    all_items = items(docs, capacity).withColumn("class", F.ceil(F.col("tokens") / width).cast("int"))
+    all_items = written(items(docs, capacity).withColumn("class", F.ceil(F.col("tokens") / width).cast("int")), "items")
     histogram = np.zeros(classes + 1, np.int64)
     for r in all_items.groupBy("class").count().collect():
         histogram[r["class"]] = r["count"]
