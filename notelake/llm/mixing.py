@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.ranks import salted_rank, text_tokens
+from notelake.session import written
 
 #: The remaining budget that the knapsack closes exactly.
 KNAPSACK_TOKENS = 65_536
@@ -101,6 +102,9 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source in plain form, tokens); what is sized already stays as it is."""
+    if docs.columns == ["doc_id", "source", "tokens"]:
+        return docs
     return docs.select("doc_id", plain_source(F.col("source")).alias("source"), text_tokens(F.col("text")).alias("tokens"))
 
 
@@ -111,8 +115,7 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     (mix, source) is fitted by itself. Targets with a null mix, source, weight, size or cap are left out, negative weights
     count as 0; repeated target rows count once. A source that does not occur gets one row with no documents.
     """
-    sizes = sized(docs)
-    histogram = sizes.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("documents"))
+    histogram = written(sized(docs).groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("documents")), "lengths")
     total = histogram.agg(F.coalesce(F.sum(F.col("tokens") * F.col("documents")), F.lit(0)).alias("all_tokens"))
     known = targets.select("mix_id", plain_source(F.col("source")).alias("source"), "weight", "max_repeats", "size_factor").dropna()
     wanted = known.withColumn("weight", F.greatest("weight", F.lit(0.0))).distinct()
@@ -138,8 +141,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     place of that order, round the end. The order is found with salts, so no group is numbered in one task.
     Null and empty texts add nothing and are used as often as the whole source is.
     """
-    planned = plan(docs, targets).where((F.col("repeats") > 0) | (F.col("extra") > 0)).select("mix_id", "source", "tokens", "documents", "repeats", "extra")
-    ranked = salted_rank(sized(docs).where(F.col("source").isNotNull()), ["source", "tokens"], F.xxhash64(F.lit(seed), "doc_id"), ["doc_id"])
+    sizes = written(sized(docs), "sizes")  # the texts are read once
+    planned = plan(sizes, targets).where((F.col("repeats") > 0) | (F.col("extra") > 0)).select("mix_id", "source", "tokens", "documents", "repeats", "extra")
+    ranked = salted_rank(sizes.where(F.col("source").isNotNull()), ["source", "tokens"], F.xxhash64(F.lit(seed), "doc_id"), ["doc_id"])
     place = F.pmod(F.col("rank") + F.pmod(F.xxhash64("mix_id", "source", "tokens"), F.col("documents")), F.col("documents"))
     times = F.col("repeats") + F.when(place < F.col("extra"), 1).otherwise(0)
     return ranked.join(planned, ["source", "tokens"]).select("mix_id", "source", "doc_id", "tokens", times.cast("int").alias("times")).where("times > 0")
