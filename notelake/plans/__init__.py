@@ -1,4 +1,4 @@
 """Named queries with, where SQL can say the same, their DuckDB text."""
 
 #: Modules with QUERIES and SQL, in the order in which they are listed.
-MODULES = ["vault", "vectors", "texts", "entries", "operations", "files"]
+MODULES = ["vault", "vectors", "texts", "entries", "operations", "files", "streams"]

@@ -24,11 +24,11 @@ def latest_listing(spark, folder):
 
 def listing_sorted(spark, folder):
     rows = vault.sorted_listing(_files(spark, folder).select("path", "name", "is_dir", "modified", "size").distinct())
-    return rows.limit(50).select("path", "name", "is_dir")
+    return rows.select("path", "name", "is_dir")
 
 
 def listing_by_size(spark, folder):
-    return vault.sorted_listing(_files(spark, folder).where("size is not null").select("path", "name", "is_dir", "modified", "size").distinct(), "size").limit(50).select("path", "size")
+    return vault.sorted_listing(_files(spark, folder).where("size is not null").select("path", "name", "is_dir", "modified", "size").distinct(), "size").select("path", "size")
 
 
 def listing_page(spark, folder):
@@ -127,8 +127,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "latest_listing": _F + " SELECT path, size, is_dir, is_deleted FROM f",
-    "listing_sorted": "SELECT path, name, is_dir FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info) ORDER BY is_dir DESC, lower(name), path LIMIT 50",
-    "listing_by_size": "SELECT path, size FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info WHERE size IS NOT NULL) ORDER BY is_dir DESC, size DESC, path LIMIT 50",
+    "listing_sorted": "SELECT path, name, is_dir FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info) ORDER BY is_dir DESC, lower(name), path",
+    "listing_by_size": "SELECT path, size FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info WHERE size IS NOT NULL) ORDER BY is_dir DESC, size DESC, path",
     "listing_page": "SELECT path, name FROM (SELECT DISTINCT path, name FROM file_info) ORDER BY path, name LIMIT 25 OFFSET 100",
     "folder_tree": _F + " SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, len(string_split(path, '/')) - 1 AS depth, is_dir FROM f",
     "folder_list": _F + ", p AS (SELECT string_split(path, '/') AS s FROM f) SELECT DISTINCT array_to_string(s[1:i], '/') AS path FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)",

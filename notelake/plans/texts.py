@@ -37,7 +37,7 @@ def chunk_config_suggested(spark, folder):
 
 def text_hashes(spark, folder):
     t = F.col("text")
-    return _docs(spark, folder).where("text is not null").select("doc_id", F.sha2(t, 256).alias("text_hash"), T.rolling_hash(F.substring(t, 1, 200)).alias("rolling_hash"))
+    return _docs(spark, folder).where("text is not null").select("doc_id", F.sha2(t, 256).alias("text_hash"), T.rolling_hash(t).alias("rolling_hash"))
 
 
 def chunk_windows(spark, folder):
@@ -167,7 +167,7 @@ SQL = {
     "text_validity": r"SELECT doc_id, coalesce(length(text) > 0 AND strlen(text) <= 52428800 AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]'), false) AS valid FROM documents",
     "text_statistics": f"SELECT doc_id, {_WORDS} AS words, {_SENT} AS sentences, CASE WHEN length({_TRIM}) = 0 THEN 0 ELSE len(regexp_split_to_array({_TRIM}, '\\s+')) END AS editor_words, length(text) AS characters, strlen(text) AS bytes FROM documents",
     "optimal_chunk_size": r"SELECT doc_id, CASE WHEN length(text) < 200 THEN 256 WHEN length(text) < 2000 THEN 512 WHEN len(string_split(text, chr(10) || chr(10))) > 5 OR len(regexp_extract_all(text, '[.!?]')) > 20 THEN 1024 ELSE 512 END AS size FROM documents",
-    "text_hashes": "WITH c AS (SELECT doc_id, text, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(substring(text, 1, 200), ''), lambda x: x <> ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(text) AS text_hash, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS rolling_hash FROM c",
+    "text_hashes": "WITH c AS (SELECT doc_id, text, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(text) AS text_hash, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS rolling_hash FROM c",
     "chunk_windows": _WINDOWS.format(size=512, step=448) + "SELECT doc_id, i - 1 AS chunk_index, sha256(c[i]) AS hash, length(c[i]) AS characters FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM k)",
     "chunk_size_benchmark": " UNION ALL ".join(f"SELECT {s} AS size, count(*) AS chunks, round(avg(length(x)), 6) AS mean_length, sum(length(x)) AS characters FROM ({_WINDOWS.format(size=s, step=s)} SELECT unnest(c) AS x FROM k)" for s in (256, 512, 1024)),
     "chunk_fixed": """
