@@ -23,7 +23,7 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The queries are every entry whose id, as a number, is divisible by 20."""
     usable = _usable(spark, folder)
     number = F.conv(F.substring("id", -8, 8), 16, 10).cast("long")
-    return neighbours.nearest(usable, usable.where(number % 20 == 0).select("id"), 5)
+    return neighbours.nearest(usable, usable.where(number % 20 == 0).select("id"), 5).withColumn("similarity", F.round("similarity", 4))
 
 
 def _threshold(spark: SparkSession, folder: str) -> float | None:
@@ -70,7 +70,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.report(mixing.plan(load(spark, folder, "documents"), load(spark, folder, "mix_target")))
+    report = mixing.report(mixing.plan(load(spark, folder, "documents"), load(spark, folder, "mix_target")))
+    return report.withColumns({c: F.round(c, n) for c, n in (("target_tokens", 4), ("target_share", 9), ("reached_share", 9))})
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,6 +111,18 @@ SQL = {
         p AS (SELECT q.id AS a, u.id AS b, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, u.v) DESC, u.id) AS n
           FROM u q JOIN u ON q.model_name = u.model_name AND q.id <> u.id AND (q.path IS NULL OR u.path IS NULL OR q.path <> u.path) WHERE q.id IN (SELECT entry_id FROM search_request))
         SELECT DISTINCT least(a, b) AS entry_a, greatest(a, b) AS entry_b FROM p WHERE n <= 5""",
+    "p1_neighbours": _USABLE + """
+        p AS (SELECT q.id AS query, u.id AS id, list_cosine_similarity(q.v, u.v) AS s, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, u.v) DESC, u.id) AS rank
+          FROM u q JOIN u ON q.model_name = u.model_name AND q.id <> u.id AND (q.path IS NULL OR u.path IS NULL OR q.path <> u.path) WHERE CAST('0x' || right(q.id, 8) AS BIGINT) % 20 = 0)
+        SELECT query, id, round(s, 4) AS similarity, rank FROM p WHERE rank <= 5""",
+    # where a source can reach its target and isn't a handful of texts, the fit reaches it to the token (holds from scale 0.01 on)
+    "p7_shares": """
+        WITH d AS (SELECT replace(replace(lower(trim(source)), ' ', '_'), '-', '_') AS source, sum(coalesce(strlen(text), 0)) AS tokens FROM documents GROUP BY 1),
+        t AS (SELECT *, weight / sum(weight) OVER (PARTITION BY mix_id) * size_factor * (SELECT sum(strlen(text)) FROM documents) AS target FROM mix_target),
+        r AS (SELECT mix_id, t.source, weight, max_repeats, target, coalesce(tokens, 0) AS tokens, max_repeats * coalesce(tokens, 0) < target AS c,
+          CASE WHEN max_repeats * coalesce(tokens, 0) < target THEN max_repeats * coalesce(tokens, 0) ELSE floor(target) END AS reached FROM t LEFT JOIN d ON t.source = d.source)
+        SELECT mix_id, source, weight, max_repeats, round(target, 4) AS target_tokens, CAST(tokens AS BIGINT) AS source_tokens, CAST(reached AS BIGINT) AS reached_tokens, c AS cannot_reach,
+          round(target / sum(target) OVER (PARTITION BY mix_id), 9) AS target_share, round(reached / sum(reached) OVER (PARTITION BY mix_id), 9) AS reached_share FROM r""",
     "p4_found": "WITH RECURSIVE" + _USABLE.strip()[4:] + """
         l AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.model_name = y.model_name AND x.id <> y.id
           WHERE list_cosine_similarity(x.v, y.v) >= (SELECT max(diversity_threshold) FROM search_config WHERE config_name = 'default')),
