@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,21 +120,28 @@ def pieces(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(0 if k == 0 else max(0, ends[k - 1] - overlap), e) for k, e in enumerate(ends)]
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PIECES.split(", ")]
-    for pdf in batches:
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), _TYPES)], names)
+
+    for b in batches:
         rows: list[tuple] = []
-        for key, text, size, overlap in zip(pdf["chunk_key"], pdf["content"], pdf["max_chunk_size"], pdf["overlap_size"]):
-            if text is None or pd.isna(size) or size < 1:
-                rows.append((key, 0, 1, 0, 0 if text is None else len(text), 0, text))
+        for key, text, size, overlap in zip(*(b.column(c).to_pylist() for c in ("chunk_key", "content", "max_chunk_size", "overlap_size"))):
+            if text is None or size is None or size < 1:
+                rows.append((key, 0, 1, 0, len(text or ""), 0, text))
                 continue
-            parts = pieces(text, int(size), 0 if pd.isna(overlap) else int(overlap))
-            for k, (a, b) in enumerate(parts):
-                rows.append((key, k, len(parts), a, b, parts[k - 1][1] - a if k else 0, text[a:b]))
+            parts = pieces(text, size, overlap or 0)
+            for k, (a, e) in enumerate(parts):
+                rows.append((key, k, len(parts), a, e, parts[k - 1][1] - a if k else 0, text[a:e]))
             if len(rows) >= 5000:
-                yield pd.DataFrame(rows, columns=names)
+                yield batch(rows)
                 rows = []
-        yield pd.DataFrame(rows, columns=names)
+        yield batch(rows)
 
 
 def split(chunks: DataFrame, configs: DataFrame) -> DataFrame:
@@ -145,8 +152,8 @@ def split(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     a sign longer than a piece may be cut. Repeated chunks are split each. Work is per row; the text is never cut short.
     """
     config = configs.select("config_id", "max_chunk_size", "overlap_size").dropDuplicates(["config_id"])
-    rows = chunks.select("chunk_key", "content", "config_id").join(config, "config_id", "left").select("chunk_key", "content", "max_chunk_size", "overlap_size")
-    return rows.mapInPandas(_split, PIECES)
+    rows = chunks.select(F.col("chunk_key").cast("long").alias("chunk_key"), "content", "config_id").join(config, "config_id", "left").select("chunk_key", "content", "max_chunk_size", "overlap_size")
+    return rows.mapInArrow(_split, PIECES)
 
 
 def oversized(split_rows: DataFrame) -> DataFrame:

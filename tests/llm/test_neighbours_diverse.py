@@ -15,7 +15,7 @@ def unit(x):
 
 def frame(spark, x, files=None, model="m", prefix="e"):
     rows = [(f"{prefix}{i:05d}", model, None if files is None else files[i], bytearray(v.tobytes()), "clash", 1) for i, v in enumerate(x)]
-    return spark.createDataFrame(rows, "id string, model_name string, file_path string, unit binary, codes string, block int").drop("codes", "block")
+    return spark.createDataFrame(rows, "id string, model_name string, file_path string, unit binary, codes string, block int")
 
 
 def vectors(n, d=32, seed=0, groups=12, noise=0.15):

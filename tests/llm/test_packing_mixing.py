@@ -62,6 +62,7 @@ def test_pack_frame(spark):
 
 def test_repeated_rows_are_items_of_their_own(spark):
     packed = P.pack(docs(spark, [(1, "x" * 5000)] * 7))
+    assert P.pack(docs(spark, [(None, "x" * 5000), (None, "y" * 9000), (1, "z")])).count() == 4
     assert packed.count() == 7 and packed.groupBy("container").agg(F.sum("tokens").alias("n")).where("n > 8192").count() == 0
 
 
@@ -98,7 +99,7 @@ TARGET = "mix_id int, source string, weight double, max_repeats int, size_factor
 def test_mix_frame(spark):
     r = random.Random(2)
     names = ["web", " Web", "WEB", "notes-x", "notes_x", "Notes X", None, "rare"]
-    rows = [(i, r.choice(names[:7]), "w" * r.randrange(0, 300)) for i in range(900)] + [(2000, "rare", "abc"), (2001, "rare", None)] + [(3000 + i, "web", "h" * 100) for i in range(500)]
+    rows = [(i, r.choice(names[:7]), "w" * r.randrange(0, 300)) for i in range(900)] + [(2000, "rare", "abc"), (2001, "rare", None), (None, "web", "null id")] + [(3000 + i, "web", "h" * 100) for i in range(500)]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(1) for c in ("tokens", "rank", "times")})
     t = [(1, "web", 3.0, 2, 1.5, 0, 0), (1, "notes_x", 1.0, 3, 1.5, 0, 0), (2, "rare", 1.0, 4, 0.5, 0, 0), (2, "none", 1.0, 4, 0.5, 0, 0), (3, "web", None, 1, 1.0, 0, 0), (1, "web", 3.0, 2, 1.5, 0, 0), (4, "web", 0.0, 1, 1.0, 0, 0), (None, "web", 1.0, 1, 1.0, 0, 0)]
     targets = spark.createDataFrame(t, TARGET)
