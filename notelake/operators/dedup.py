@@ -10,16 +10,25 @@ from notelake.operators.search import block_search
 from notelake.session import written
 
 
+def digest(*columns: str) -> Column:
+    """SHA-256 of the columns together: what is grouped and shuffled in place of whole texts."""
+    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
+
+
+def _keyed(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    return rows.dropna(subset=[*by, key]).select(digest(*by).alias("digest"), F.col(key).alias("key"))
+
+
 def exact_groups(rows: DataFrame, by: list[str], key: str = "id") -> DataFrame:
-    """Groups of rows equal in ``by`` (no nulls), as original (least key), number of duplicates and the greatest key."""
-    return rows.dropna(subset=by).groupBy(*by).agg(F.min(key).alias("original"), (F.countDistinct(key) - 1).alias("duplicates"), F.max(key).alias("last")).where("duplicates > 0")
+    """(digest, original, duplicates, last): groups of rows equal in ``by`` (no nulls), with the least and greatest key and the number of further keys."""
+    return _keyed(rows, by, key).groupBy("digest").agg(F.min("key").alias("original"), (F.countDistinct("key") - 1).alias("duplicates"), F.max("key").alias("last")).where("duplicates > 0")
 
 
 def exact_mapping(rows: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """(member, representative): each duplicate with its original. A hot group is one minimum, then an equi-join, never a collected list."""
-    known = rows.dropna(subset=[*by, key]).select(*by, key).distinct()
-    firsts = known.groupBy(*by).agg(F.min(key).alias("representative"))
-    return known.join(firsts, by).where(F.col(key) != F.col("representative")).select(F.col(key).alias("member"), "representative")
+    known = _keyed(rows, by, key).distinct()
+    firsts = known.groupBy("digest").agg(F.min("key").alias("representative"))
+    return known.join(firsts, "digest").where("key <> representative").select(F.col("key").alias("member"), "representative")
 
 
 def without(rows: DataFrame, mapping: DataFrame, key: str = "id") -> DataFrame:

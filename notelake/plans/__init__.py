@@ -2,3 +2,8 @@
 
 #: Modules with QUERIES and SQL, in the order in which they are listed.
 MODULES = ["vault", "vectors", "texts", "entries", "operations", "files", "streams"]
+
+
+def as_bigint(sql: str, *columns: str) -> str:
+    """Sums of integers as the 64-bit integers that Spark gives."""
+    return "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns) + f") FROM ({sql})"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.paths import plain_path
 from notelake.operators import caches, dedup, lookup, maintenance, orphans
+from notelake.plans import as_bigint
 from notelake.session import load
 
 _FROM, _TO, _AGE = 1_710_000_000, 1_720_000_000, 1_715_000_000
@@ -269,3 +270,4 @@ SQL = {
     "set_intersection": "SELECT file_path FROM documents WHERE file_path IS NOT NULL INTERSECT SELECT file_path FROM embedding_entry",
     "custom_metadata": _W + ", x AS (SELECT unnest(map_entries(custom_metadata)) AS e FROM l WHERE custom_metadata IS NOT NULL) SELECT e.key AS key, count(*) AS entries, count(DISTINCT e.value) AS values FROM x GROUP BY e.key",
 }
+SQL["entry_footprint"] = as_bigint(SQL["entry_footprint"], "bytes", "largest")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from notelake.functions import paths as P
 from notelake.functions import text as T
 from notelake.operators import maintenance, orphans
+from notelake.plans import as_bigint
 from notelake.session import load, shared_folder
 from notelake.sources import batches, embedder, vault
 from notelake.sources.store import VersionedStore
@@ -144,3 +145,5 @@ SQL = {
     "embedded_notes": "SELECT count(*) AS rows, count(*) FILTER (content IS NOT NULL AND regexp_matches(content, '[^\\s\\x{85}\\p{Z}\\x1c-\\x1f]') AND strlen(content) <= 8192) AS embedded, 32 AS dimension FROM note_chunk",
     "retention": "SELECT path, CASE WHEN ends_with(path, '.tmp') THEN 'temporary' WHEN ends_with(path, '.lock') THEN 'lock' ELSE 'log' END AS kind FROM (SELECT DISTINCT path, modified FROM file_info) WHERE (ends_with(path, '.tmp') AND 1740000000 - modified > 3600) OR (ends_with(path, '.lock') AND 1740000000 - modified > 300) OR (ends_with(path, '.log') AND 1740000000 - modified > 604800)",
 }
+SQL["vault_statistics"] = as_bigint(SQL["vault_statistics"], "bytes")
+SQL["batch_files_roundtrip"] = as_bigint(SQL["batch_files_roundtrip"], "text_bytes", "elements")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notelake.operators import caches, lookup, metrics
+from notelake.plans import as_bigint
 from notelake.session import load
 
 _AT = ["started_at", "event_id"]
@@ -246,3 +247,5 @@ SQL = {
     "rollup_by_type_and_user_group": "SELECT event_type, user_id % 4 AS user_group, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 4)",
     "last_samples": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean_last_5 FROM events",
 }
+SQL["memory_growth"] = as_bigint(SQL["memory_growth"], "longest_growth")
+SQL["metric_rows"] = as_bigint(SQL["metric_rows"], "items")

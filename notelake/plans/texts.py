@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.operators import chunking, diff, markdown
+from notelake.plans import as_bigint
 from notelake.session import load
 
 
@@ -195,3 +196,4 @@ SQL = {
     "significant_edits": "SELECT doc_id, coalesce(length(replace(text, 'shelf', 'bookcase')) - length(text) >= 5, false) AS significant FROM documents",
     "snippet_location": r"WITH d AS (SELECT doc_id, substring(text, 1, instr(text, 'the') - 1) AS b FROM documents WHERE instr(text, 'the') > 0) SELECT doc_id, len(string_split(b, chr(10))) AS line, length(regexp_extract(b, '([^\n]*)$', 1)) + 1 AS column FROM d",
 }
+SQL["chunk_size_benchmark"] = as_bigint(SQL["chunk_size_benchmark"], "characters")

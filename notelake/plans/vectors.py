@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import vectors as V
 from notelake.operators import compression, dedup, search
+from notelake.plans import as_bigint
 from notelake.session import load
 
 NOW = 1_735_689_600
@@ -301,3 +302,5 @@ SQL = {
     "delta_roundtrip": "SELECT CAST(vec_id AS VARCHAR) AS id, true AS within FROM embeddings",
     "vector_pool": "WITH g AS (SELECT vector, count(*) AS n FROM embedding_entry WHERE vector IS NOT NULL GROUP BY vector) SELECT sum(n) AS vectors, count(*) AS pooled, sum(n) - count(*) AS shared, sum(4 * len(vector) * (n - 1)) AS saved_bytes FROM g",
 }
+SQL["compression_ratio"] = as_bigint(SQL["compression_ratio"], "original_bytes", "bytes_8bit", "bytes_16bit")
+SQL["vector_pool"] = as_bigint(SQL["vector_pool"], "vectors", "shared", "saved_bytes")
