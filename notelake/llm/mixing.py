@@ -122,7 +122,7 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     sums = wanted.groupBy("mix_id").agg(F.sum("weight").alias("sum_weight"))
     goal = F.when(F.col("sum_weight") > 0, F.col("weight") / F.col("sum_weight") * F.col("size_factor") * F.col("all_tokens")).otherwise(F.lit(0.0))
     goals = wanted.join(sums, "mix_id").join(total, how="cross").select("mix_id", "source", "weight", "max_repeats", goal.alias("target_tokens"))  # total is one row
-    rows = goals.join(histogram, "source", "left").withColumn("source_tokens", F.lit(0).cast("long"))
+    rows = goals.join(histogram.hint("merge"), "source", "left").withColumn("source_tokens", F.lit(0).cast("long"))
     return rows.groupBy("mix_id", "source").applyInPandas(_plan, PLAN)
 
 
