@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from notelake.functions import paths as P
 from notelake.functions import text as T
 from notelake.operators import maintenance, orphans
 from notelake.plans import as_bigint
-from notelake.session import load, shared_folder
+from notelake.session import load, scratch
 from notelake.sources import batches, embedder, vault
 from notelake.sources.store import VersionedStore
 
@@ -89,7 +87,7 @@ def significant_changes(spark, folder):
 
 def store_roundtrip(spark, folder):
     """Two snapshots, a rollback and a read of what is published."""
-    store = VersionedStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store = VersionedStore(spark, scratch(spark, "store"))
     rows = load(spark, folder, "customer")
     first = store.publish(rows.where("c_acctbal >= 0"))
     store.publish(rows)
@@ -99,7 +97,7 @@ def store_roundtrip(spark, folder):
 
 def batch_files_roundtrip(spark, folder):
     """Entries written as compressed JSON batches and read again."""
-    path = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    path = scratch(spark, "batches")
     batches.write_batches(load(spark, folder, "embedding_entry").where("id is not null and model_name = 'quill-embed-xs'"), path, rows_per_file=200)
     return batches.read_batches(spark, path).groupBy("model_name").agg(F.count(F.lit(1)).alias("entries"), F.sum("text_length").alias("text_bytes"), F.sum(F.when(F.size("vector") > 0, F.size("vector"))).alias("elements"))
 

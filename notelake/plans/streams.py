@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.session import load, shared_folder
+from notelake.session import load, scratch
 from notelake.sources.store import VersionedStore
 from notelake.streaming import changes
 
@@ -19,7 +17,7 @@ def _stream(spark, folder, name) -> DataFrame:
 
 def _finished(spark, df: DataFrame, mode: str) -> DataFrame:
     """Runs the stream with the available data. Each micro-batch replaces (complete) or extends (append) the written result."""
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/{'all' if mode == 'complete' else number}")
@@ -42,14 +40,14 @@ def stream_debounced(spark, folder):
 
 def stream_applied_changes(spark, folder):
     """A store of the notes' paths, kept up to date from the change records in their order of arrival."""
-    store = VersionedStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store = VersionedStore(spark, scratch(spark, "store"))
     live = load(spark, folder, "documents").where("file_path is not null").groupBy("file_path").agg(F.min("doc_id").cast("string").alias("id"))
     store.publish(live.select("id", "file_path"))
     kind = F.lower(F.trim("change_type"))
     feed = _stream(spark, folder, "change_record").where(kind.isin("created", "modified", "deleted", "removed") & F.col("file_path").isNotNull())
     feed = feed.select("file_path", F.when(kind == "removed", "deleted").otherwise(kind).alias("change_type"), "record_id")
     fresh = lambda last: last.select(F.concat(F.lit("new "), "file_path").alias("id"), "file_path")
-    changes.apply_stream(feed, store, fresh, f"{store.root}-checkpoint", ["record_id"]).awaitTermination()
+    changes.apply_stream(feed, store, fresh, f"{store.root}/_checkpoint", ["record_id"]).awaitTermination()
     return store.read()
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake.operators import changes, orphans
-from notelake.session import load, shared_folder
+from notelake.session import load, scratch
 from notelake.sources.store import VersionedStore
 
 
 def _state(spark: SparkSession, folder: str) -> DataFrame:
     """All bucket results become visible at once: they are published as one snapshot and read from there."""
-    store = VersionedStore(spark, f"{shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    store = VersionedStore(spark, scratch(spark, "files"))
     store.publish(changes.apply_changes(changes.path_events(load(spark, folder, "change_record"))))
     return store.read()
 

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,12 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    at, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    atexit.register(_remove, at, conf)
+    return path
 
-    The folder is removed when the application ends (or with the cluster's folder).
-    """
+
+def _remove(at: JavaObject, conf: JavaObject) -> None:
+    try:
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # the JVM is gone, or the folder is
+        pass
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
