@@ -85,10 +85,10 @@ class Centers:
         self.counts = counts
         self.k = {m: min(n, (wanted or {}).get(m) or max(16, round(2.2 * math.sqrt(n)))) for m, n in counts.items()}
         parts = max(1, -(-sum(counts.values()) // PART_ROWS))
-        each = {m: max(16, -(-3 * k // parts)) for m, k in self.k.items()}
+        each = dict(self.k) if wanted else {m: max(16, -(-3 * k // parts)) for m, k in self.k.items()}  # any part may hold what no other one does
         sample = {m: min(1.0, SAMPLE_ROWS / max(1, n)) for m, n in counts.items()}
         picked = usable.select("model_name", "id", "unit").mapInArrow(partial(_select, each=each, sample=sample, seed=seed), PICKED)
-        if sum(each.values()) * parts * 2 > POOL_ROWS:  # thin out in further rounds, each over a quarter of the partitions
+        if wanted or sum(each.values()) * parts * 2 > POOL_ROWS:  # thin out in further rounds, each over a quarter of the partitions
             picked = written(picked, "representatives")
             pool, partitions = picked.where("kind = 0"), max(1, picked.where("kind = 0").count() // PART_ROWS)
             while (n := pool.count()) > POOL_ROWS:
@@ -115,8 +115,8 @@ class Centers:
 def varied_subset(usable: DataFrame, size: int, threshold: float | None = None) -> DataFrame:
     """(model_name, place, id, similarity_before): per model ``size`` entries chosen farthest-first, in order of choice.
 
-    Representatives are chosen greedily within parts of every partition, pooled (in rounds, while the pool is large) and
-    chosen again from the pool. ``similarity_before`` is the cosine to the nearest entry chosen earlier: with ``threshold``, entries that
+    Every part of every partition proposes ``size`` representatives of each model (or all its rows), chosen greedily; they are pooled (in
+    rounds, while the pool is large, each part again proposing at least ``size``) and chosen again from the pool. ``similarity_before`` is the cosine to the nearest entry chosen earlier: with ``threshold``, entries that
     reach it are left out, so no group closer than the threshold has two members here. Fewer entries than ``size``: all of
     them (but for the threshold). Copies add nothing new and come last. Empty table, empty subset.
     """

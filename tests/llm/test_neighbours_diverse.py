@@ -168,3 +168,15 @@ def test_pool_is_thinned_in_rounds(spark, monkeypatch):
     x = vectors(1500, seed=6)
     got = D.varied_subset(frame(spark, x).repartition(8), 20).orderBy("place").collect()
     assert len(got) == 20 and max(r.similarity_before for r in got if r.place) < 0.5
+
+
+def test_every_part_proposes_as_many_as_are_wanted(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART_ROWS", 100)
+    monkeypatch.setattr(D, "POOL_ROWS", 600)
+    r = np.random.default_rng(2)
+    kinds = np.concatenate([np.arange(60), np.zeros(4000, int)])  # all but one kind lie in the first part
+    x = unit(np.eye(64)[kinds] + r.normal(size=(len(kinds), 64)) * 0.005)
+    few = frame(spark, vectors(50, groups=0), model="small", prefix="s")  # a second model in one part
+    got = D.varied_subset(frame(spark, x).coalesce(1).unionByName(few.coalesce(1)), 60).collect()
+    assert {int(kinds[int(g.id[1:])]) for g in got if g.model_name == "m"} == set(range(60))
+    assert sum(g.model_name == "small" for g in got) == 50
