@@ -1,8 +1,7 @@
-"""Choosing a varied subset: distributed farthest-first k-center; its representatives also carry the exact join of close entries."""
+"""Choosing a varied subset by distributed farthest-first k-center, and the exact join of close entries, block by block."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,17 +17,17 @@ from notelake.session import written
 PART_ROWS = 32_768
 #: Representatives that may be pooled on the driver; more are thinned out by further distributed rounds first.
 POOL_ROWS = 12_288
-#: Rows of a sample that estimates the sizes of cells.
-SAMPLE_ROWS = 16_384
-#: Rows of a cell that one task compares with each other; larger cells are cut.
-CELL_ROWS = 12_288
-#: Cells that each entry joins.
-CELLS_EACH = 5
-#: Similarities this near to the threshold are looked at again with the full vectors.
-DOUBT = 2e-4
+#: Rows of a block that one task holds, at most, but for uneven hashes.
+CELL_ROWS = 131_072
+#: Blocks of a model that has rows enough for several tasks.
+LEAST_BLOCKS = 5
+#: Scores that a task holds at once.
+SLAB = 8_000_000
+#: Similarities this near to the threshold are looked at again in double precision.
+ROUNDING = 1e-5
 
-PICKED = "model_name string, id string, unit binary, kind int, n long"
-LINK = "a long, b long, doubtful boolean"
+PICKED = "model_name string, id string, unit binary"
+LINK = "a long, b long"
 
 
 def farthest_first(x: np.ndarray, k: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -46,22 +45,19 @@ def farthest_first(x: np.ndarray, k: int, start: int = 0) -> tuple[np.ndarray, n
     return out, near
 
 
-def _select(batches: Iterator[pa.RecordBatch], each: dict[str, int], sample: dict[str, float], seed: int) -> Iterator[pa.RecordBatch]:
-    """Representatives (kind 0) of every part of the partition, by model, and a random sample of all rows (kind 1)."""
+def _select(batches: Iterator[pa.RecordBatch], each: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Representatives of every part of the partition, by model."""
     held: dict[str, list[tuple[list, np.ndarray]]] = {}
-    names = ["model_name", "id", "unit", "kind", "n"]
-    rng = np.random.default_rng(seed)
+    names = ["model_name", "id", "unit"]
 
     def close(model: str) -> pa.RecordBatch:
         ids = [i for part in held[model] for i in part[0]]
         x = np.concatenate([part[1] for part in held[model]])
         order = np.argsort(np.array(ids, object), kind="stable")  # whatever order rows come in
         at, _ = farthest_first(x[order], each[model])
-        chosen = order[at]
-        drawn = np.flatnonzero(rng.random(len(ids)) < sample.get(model, 0.0))
-        rows = [(model, ids[i], x[i].tobytes(), 0, len(ids)) for i in chosen] + [(model, ids[i], x[i].tobytes(), 1, 0) for i in drawn]
+        rows = [(model, ids[i], x[i].tobytes()) for i in order[at]]
         held[model] = []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names)
 
     for b in batches:
         models = np.array(b.column("model_name").to_pylist(), object)
@@ -78,38 +74,27 @@ def _select(batches: Iterator[pa.RecordBatch], each: dict[str, int], sample: dic
 
 
 class Centers:
-    """The k-center of each model, chosen from pooled representatives, and estimates of how full their cells will be."""
+    """The k-center of each model, chosen from pooled representatives."""
 
-    def __init__(self, usable: DataFrame, wanted: dict[str, int] | None = None, seed: int = 9):
+    def __init__(self, usable: DataFrame, size: int):
         counts = {r["model_name"]: r["count"] for r in usable.groupBy("model_name").count().collect()}  # one row per model
-        self.counts = counts
-        self.k = {m: min(n, (wanted or {}).get(m) or max(16, round(2.2 * math.sqrt(n)))) for m, n in counts.items()}
-        parts = max(1, -(-sum(counts.values()) // PART_ROWS))
-        each = dict(self.k) if wanted else {m: max(16, -(-3 * k // parts)) for m, k in self.k.items()}  # any part may hold what no other one does
-        sample = {m: min(1.0, SAMPLE_ROWS / max(1, n)) for m, n in counts.items()}
-        picked = usable.select("model_name", "id", "unit").mapInArrow(partial(_select, each=each, sample=sample, seed=seed), PICKED)
-        if wanted or sum(each.values()) * parts * 2 > POOL_ROWS:  # thin out in further rounds, each over a quarter of the partitions
-            picked = written(picked, "representatives")
-            pool, partitions = picked.where("kind = 0"), max(1, picked.where("kind = 0").count() // PART_ROWS)
-            while (n := pool.count()) > POOL_ROWS:
-                partitions = max(1, min(partitions, n // (2 * POOL_ROWS)))
-                again = {m: max(k, POOL_ROWS * k // (sum(self.k.values()) * partitions)) for m, k in self.k.items()}
-                fewer = written(pool.select("model_name", "id", "unit").repartition(partitions, F.xxhash64("id")).mapInArrow(partial(_select, each=again, sample={}, seed=seed), PICKED), "representatives")
-                if fewer.count() >= n:
-                    break
-                pool = fewer
-            rows = pool.collect() + picked.where("kind = 1").collect()
-        else:
-            rows = picked.collect()
-        self.ids, self.units, self.near, self.sample = {}, {}, {}, {}
+        k = {m: min(n, size) for m, n in counts.items()}  # of any part too: it may hold what no other one does
+        pool = written(usable.select("model_name", "id", "unit").mapInArrow(partial(_select, each=k), PICKED), "representatives")
+        partitions = max(1, pool.count() // PART_ROWS)
+        while (n := pool.count()) > POOL_ROWS:  # thin out in further rounds, each over a quarter of the partitions
+            partitions = max(1, min(partitions, n // (2 * POOL_ROWS)))
+            again = {m: max(c, POOL_ROWS * c // (sum(k.values()) * partitions)) for m, c in k.items()}
+            fewer = written(pool.repartition(partitions, F.xxhash64("id")).mapInArrow(partial(_select, each=again), PICKED), "representatives")
+            if fewer.count() >= n:
+                break
+            pool = fewer
+        rows = pool.collect()
+        self.ids, self.units, self.near = {}, {}, {}
         for m in sorted(counts):
-            mine = sorted((r for r in rows if r["model_name"] == m), key=lambda r: (r["kind"], r["id"]))
-            pool = [r for r in mine if r["kind"] == 0]
-            x = np.frombuffer(b"".join(bytes(r["unit"]) for r in pool), np.float32).reshape(len(pool), -1)
-            at, near = farthest_first(x, self.k[m])
-            self.ids[m], self.units[m], self.near[m] = [pool[i]["id"] for i in at], x[at], near
-            s = [bytes(r["unit"]) for r in mine if r["kind"] == 1]
-            self.sample[m] = np.frombuffer(b"".join(s), np.float32).reshape(len(s), x.shape[1])
+            mine = sorted((r for r in rows if r["model_name"] == m), key=lambda r: r["id"])
+            x = np.frombuffer(b"".join(bytes(r["unit"]) for r in mine), np.float32).reshape(len(mine), -1)
+            at, near = farthest_first(x, k[m])
+            self.ids[m], self.units[m], self.near[m] = [mine[i]["id"] for i in at], x[at], near
 
 
 def varied_subset(usable: DataFrame, size: int, threshold: float | None = None) -> DataFrame:
@@ -120,7 +105,7 @@ def varied_subset(usable: DataFrame, size: int, threshold: float | None = None)
     reach it are left out, so no group closer than the threshold has two members here. Fewer entries than ``size``: all of
     them (but for the threshold). Copies add nothing new and come last. Empty table, empty subset.
     """
-    centers = Centers(usable, dict.fromkeys((r["model_name"] for r in usable.select("model_name").distinct().collect()), size))
+    centers = Centers(usable, size)
     rows = [(m, i, c, float(s)) for m in centers.ids for i, (c, s) in enumerate(zip(centers.ids[m], centers.near[m])) if threshold is None or i == 0 or s < threshold]
     return usable.sparkSession.createDataFrame(rows, "model_name string, place int, id string, similarity_before double")
 
@@ -141,53 +126,10 @@ def _cover(batches: Iterator[pa.RecordBatch], ids: dict[str, list[str]], units:
 def covered(usable: DataFrame, size: int) -> DataFrame:
     """(id, representative, similarity): every entry with the most similar one of the ``size`` chosen of its model. How well a subset covers the
     data is the least similarity; how large the groups are that it stands for, the count per representative. No shuffle beyond the choice."""
-    centers = Centers(usable, dict.fromkeys((r["model_name"] for r in usable.select("model_name").distinct().collect()), size))
+    centers = Centers(usable, size)
     return usable.select("model_name", "id", "unit").mapInArrow(partial(_cover, ids=centers.ids, units=centers.units), "id string, representative string, similarity double")
 
 
-def _assign(batches: Iterator[pa.RecordBatch], units: dict[str, np.ndarray], first: dict[str, int], cuts: dict[int, int], pivots: dict[int, tuple[np.ndarray, int]], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Sends each row to the cells of its nearest centers: (block, cell, kind, key, half-size vector).
-
-    Cells that are cut have a pivot: rows within the threshold of it (kind 1) are linked to it and go to one block of the cell;
-    all others (kind 0 in their own block, 2 elsewhere) go to every block, so each pair that may still add a link meets once.
-    """
-    for b in batches:
-        models, keys = np.array(b.column("model_name").to_pylist(), object), b.column("key").to_numpy()
-        for model, c in units.items():
-            mine = np.flatnonzero(models == model)
-            for s in range(0, len(mine), 4096):
-                at = mine[s : s + 4096]
-                x = matrix(b.column("unit").take(pa.array(at)), np.float32, c.shape[1])
-                score = x @ c.T
-                t = min(CELLS_EACH, c.shape[0])
-                top = np.argpartition(-score, t - 1, axis=1)[:, :t] if t < c.shape[0] else np.tile(np.arange(t), (len(x), 1))
-                cell = (first[model] + top).ravel()
-                row = np.repeat(np.arange(len(at)), t)
-                block, kind = np.zeros(len(cell), np.int32), np.zeros(len(cell), np.int8)
-                more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for big in np.intersect1d(np.unique(cell), np.array(list(cuts), np.int64)) if cuts else ():
-                    here = np.flatnonzero(cell == big)
-                    n = cuts[int(big)]
-                    home = (keys[at[row[here]]].view(np.uint64) % np.uint64(n)).astype(np.int32)
-                    block[here] = home
-                    pivot = pivots[int(big)][0]
-                    core = x[row[here]] @ pivot >= threshold + DOUBT
-                    kind[here] = core
-                    loose = here[~core]
-                    for other in range(1, n):
-                        more.append((loose, (block[loose] + other) % n, np.full(len(loose), 2, np.int8)))
-                if more:
-                    extra = np.concatenate([m[0] for m in more])
-                    cell, row = np.concatenate([cell, cell[extra]]), np.concatenate([row, row[extra]])
-                    block, kind = np.concatenate([block, *[m[1] for m in more]]), np.concatenate([kind, *[m[2] for m in more]])
-                fixed = np.rint(x * 32767).astype(np.int16)
-                width = fixed.shape[1] * 2
-                vectors = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(fixed[row]))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(block), pa.array(kind.astype(np.int32)), pa.array(keys[at[row]]), vectors], ["cell", "block", "kind", "key", "half"]
-                )
-
-
 class _Union:
     """Disjoint sets over row numbers, as labels; merging relabels the smaller classes."""
 
@@ -202,126 +144,118 @@ class _Union:
                 self.label[self.label == other] = low
 
 
-def links_within(x: np.ndarray, keys: np.ndarray, kind: np.ndarray, pivot: int | None, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(smallest key of the set, key) of all rows that belong to a set of two or more, and the pairs too near to the threshold to tell.
-
-    Rows of kind 1 are linked to the pivot already and are not compared with each other.
-    """
-    order = np.lexsort((keys, kind != 1))
-    x, keys, kind = x[order], keys[order], kind[order]
-    n, core = len(x), int((kind == 1).sum())
-    sets, doubtful = _Union(n), []
-    if core:
-        sets.merge(np.arange(core))
-    for s in range(core, n, step):
-        rows = np.arange(s, min(n, s + step))
-        score = x[rows] @ x[: rows[-1] + 1].T
-        score[np.arange(len(rows)), rows] = -2.0
-        hit = score >= threshold - DOUBT
-        for i in np.flatnonzero(hit.any(axis=1)):
-            near = np.flatnonzero(hit[i, : rows[i]])
-            if not len(near):
-                continue
-            sure = near[score[i, near] >= threshold + DOUBT]
-            for j in near[score[i, near] < threshold + DOUBT]:
-                doubtful.append((int(keys[rows[i]]), int(keys[j])))
-            if len(sure) and (sets.label[sure] != sets.label[rows[i]]).any():
-                sets.merge(np.append(sure, rows[i]))
-    smallest = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, sets.label, keys)
-    root = smallest[sets.label]
-    if core and pivot is not None:
-        root[sets.label == sets.label[0]] = min(int(root[0]), pivot)
-    linked = root != keys
-    extra = [(pivot, int(root[0]))] if core and pivot is not None and pivot != root[0] else []
-    a = np.concatenate([root[linked], np.array([p[0] for p in extra], np.int64)])
-    b = np.concatenate([keys[linked], np.array([p[1] for p in extra], np.int64)])
-    return a, b, doubtful
-
-
-def _join(batches: Iterator[pa.RecordBatch], pivots: dict[int, int], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (cell, block); each such group is compared within itself."""
-    held: list[tuple] = []
-    at: tuple | None = None
+class _Held:
+    """The rows of one block that are held, their sets, and what is compared with them."""
+
+    def __init__(self, x: np.ndarray, keys: np.ndarray, threshold: float):
+        self.x, self.keys, self.threshold, self.sets = x, keys, threshold, _Union(len(x))
+
+    def _near(self, y: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(rows of ``y`` that reach the threshold with one of the first ``most`` held rows, for each of them these)."""
+        score = y @ self.x[:most].T
+        hit = score >= self.threshold + ROUNDING
+        a, b = np.nonzero((score >= self.threshold - ROUNDING) & ~hit)
+        for s in range(0, len(a), 65_536):  # too near to tell in single precision
+            i, j = a[s : s + 65_536], b[s : s + 65_536]
+            hit[i, j] = np.einsum("ij,ij->i", y[i].astype(np.float64), self.x[j].astype(np.float64)) >= self.threshold - 1e-7
+        rows = np.flatnonzero(hit.any(axis=1))
+        return rows, [np.flatnonzero(hit[i]) for i in rows]
+
+    def _merge(self, rows: np.ndarray) -> None:
+        if (self.sets.label[rows] != self.sets.label[rows[0]]).any():
+            self.sets.merge(rows)
+
+    def within(self) -> None:
+        step = max(16, SLAB // len(self.x))
+        for s in range(0, len(self.x), step):
+            most = min(len(self.x), s + step)
+            for i, near in zip(*self._near(self.x[s:most], most)):
+                self._merge(np.append(near, s + i))
+
+    def across(self, y: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[int]]:
+        """One link of each row of ``y`` that has any; the held rows that it links become one set."""
+        a, b = [], []
+        step = max(16, SLAB // len(self.x))
+        for s in range(0, len(y), step):
+            for i, near in zip(*self._near(y[s : s + step], len(self.x))):
+                self._merge(near)
+                a.append(int(self.keys[near[0]]))
+                b.append(int(keys[s + i]))
+        return a, b
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(smallest key of its set, key) of all held rows but those smallest ones."""
+        smallest = np.full(len(self.keys), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, self.sets.label, self.keys)
+        root = smallest[self.sets.label]
+        linked = root != self.keys
+        return root[linked], self.keys[linked]
+
+
+def _join(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (pair, side): the rows of a pair's first block are held and compared with each other where the pair is of
+    one block with itself; those of its second block stream past them."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held: _Held | None = None
+    at, same = None, False
+
+    def links(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def hold() -> _Held:
+        return _Held(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), threshold)
 
     def close() -> Iterator[pa.RecordBatch]:
-        x = np.concatenate([h[0] for h in held]).astype(np.float32) / np.float32(32767)
-        a, b, doubtful = links_within(x, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), pivots.get(at[0]), threshold)
-        one, two = [p[0] for p in doubtful], [p[1] for p in doubtful]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([a, np.array(one, np.int64)])), pa.array(np.concatenate([b, np.array(two, np.int64)])), pa.array([False] * len(a) + [True] * len(one), pa.bool_())], ["a", "b", "doubtful"]
-        )
+        last = held
+        if same and parts:
+            last = hold()
+            last.within()
+        if last is not None:
+            yield links(*last.stars())
 
     for batch in batches:
-        cell, block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
-        edges = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0)) + 1), batch.num_rows]
+        where = batch.column("pair").to_numpy() * 2 + batch.column("side").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(where)) + 1), batch.num_rows]
         for s, e in zip(edges, edges[1:]):
             if s == e:
                 continue
-            if (cell[s], block[s]) != at:
-                if held:
-                    yield from close()
-                at, held = (int(cell[s]), int(block[s])), []
             piece = batch.slice(s, e - s)
-            width = len(piece.column("half")[0].as_py()) // 2
-            held.append((matrix(piece.column("half"), np.int16, width), piece.column("key").to_numpy(), piece.column("kind").to_numpy()))
-    if held:
-        yield from close()
-
-
-def close_links(usable: DataFrame, threshold: float, centers: Centers | None = None) -> DataFrame:
+            if where[s] // 2 != at:
+                yield from close()
+                at, same, parts, held = where[s] // 2, piece.column("same")[0].as_py(), [], None
+            x, keys = matrix(piece.column("unit"), np.float32, len(piece.column("unit")[0].as_py()) // 4), piece.column("key").to_numpy()
+            if where[s] % 2 == 0:
+                parts.append((x, keys))
+            elif parts:
+                held = held or hold()
+                yield links(*held.across(x, keys))
+    yield from close()
+
+
+def close_links(usable: DataFrame, threshold: float) -> DataFrame:
     """(a, b) keys of linked entries: enough links that entries are connected by them just as by all pairs of cosine >= ``threshold``.
 
-    The k-center's representatives cut the space: every entry joins the cells of its CELLS_EACH nearest representatives, and each cell is
-    compared within itself. Two entries near each other share a cell but for rare cases (README: measured recall). No pair list of a group
-    is made: a set of connected rows leaves its cell as one star. A cell that the sample finds larger than
-    CELL_ROWS is cut into blocks around a pivot, which loses no link. Similarities near the threshold are decided with the full vectors.
+    Exact: the entries of a model are cut into blocks by a hash of the id, and each two blocks, and each block with itself, are compared
+    in one task, so every pair meets once; work is quadratic. No cells: at .95, vectors that spread over all directions may have a
+    neighbour in almost any cell. No pair list of a group is made: a set of connected rows leaves a block as one star, and a row
+    that streams past it as one link. Pairs that single precision can't tell are decided in double.
     """
-    centers = centers or Centers(usable)
-    first, total = {}, 0
-    for m in centers.units:
-        first[m], total = total, total + len(centers.units[m])
-    cuts, pivots = {}, {}
-    for m, sample in centers.sample.items():
-        c, s = centers.units[m], sample
-        if not len(s):
-            continue
-        t = min(CELLS_EACH, len(c))
-        score = s @ c.T
-        top = np.argpartition(-score, t - 1, axis=1)[:, :t] if t < len(c) else np.tile(np.arange(t), (len(s), 1))
-        sizes = np.bincount(top.ravel(), minlength=len(c)) * (centers.counts[m] / len(s))
-        for j in np.flatnonzero(sizes > CELL_ROWS):
-            inside = s[(top == j).any(axis=1)][:2048]
-            near = (inside @ inside.T >= threshold + DOUBT).sum(axis=1)
-            pivot = inside[int(near.argmax())]
-            cuts[first[m] + int(j)] = int(-(-sizes[j] // CELL_ROWS))
-            pivots[first[m] + int(j)] = pivot
-    keyed = usable.select("model_name", F.xxhash64("id").alias("key"), "unit")
-    pivot_keys: dict[int, int] = {}
-    if pivots:  # at most one pivot per cut cell
-        wanted = usable.sparkSession.createDataFrame([(c, p.tobytes()) for c, p in pivots.items()], "cell int, unit binary")
-        pivot_keys = {r["cell"]: r["key"] for r in keyed.join(F.broadcast(wanted), "unit").groupBy("cell").agg(F.min("key").alias("key")).collect()}
-    placed = keyed.mapInArrow(
-        partial(_assign, units=centers.units, first=first, cuts=cuts, pivots={c: (p, pivot_keys.get(c)) for c, p in pivots.items()}, threshold=threshold), "cell int, block int, kind int, key long, half binary"
-    )
-    n = max(int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(centers.counts.values()) * CELLS_EACH // 100_000))
-    rough = written(placed.repartition(n, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(partial(_join, pivots=pivot_keys, threshold=threshold), LINK), "links")
-    sure = rough.where("not doubtful").select("a", "b")
-    doubtful = rough.where("doubtful").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    many = doubtful.count()
-    if not many:
-        return sure
-    ends = doubtful.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    vectors = keyed.join(F.broadcast(ends) if many <= 50_000 else ends, "key").select("key", "unit")
-    both = doubtful.join(vectors.toDF("a", "ua"), "a").join(vectors.toDF("b", "ub"), "b")
-    return sure.unionByName(both.mapInArrow(partial(_decide, threshold=threshold), "a long, b long"))
-
-
-def _decide(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        a, z = b.column("ua").to_pylist(), b.column("ub").to_pylist()
-        keep = [i for i, (x, y) in enumerate(zip(a, z)) if len(x) == len(y) and float(np.frombuffer(x, np.float32).astype(np.float64) @ np.frombuffer(y, np.float32).astype(np.float64)) >= threshold - 1e-7]
-        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    spark = usable.sparkSession
+    counts = {r["model_name"]: r["count"] for r in usable.groupBy("model_name").count().collect()}  # one row per model
+    if not counts:
+        return spark.createDataFrame([], LINK)
+    first, blocks, total = {}, {}, 0
+    for m, n in sorted(counts.items()):
+        blocks[m] = max(-(-n // CELL_ROWS), min(-(-n // 4096), LEAST_BLOCKS))
+        first[m], total = total, total + blocks[m] * (blocks[m] + 1) // 2
+    pairs = [F.lit(x) for m in blocks for x in (m, F.struct(F.lit(first[m]).alias("first"), F.lit(blocks[m]).alias("n")))]
+    keyed = usable.select(F.xxhash64("id").alias("key"), "unit", F.create_map(*pairs)[F.col("model_name")].alias("place"))
+    mine = F.pmod(F.xxhash64(F.lit(17), "key"), F.col("place.n"))
+    met = keyed.withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("place.n") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    pair = F.col("place.first") + low * F.col("place.n") - F.floor(low * (low - 1) / 2) + high - low  # row by row of the upper triangle
+    placed = met.select(pair.cast("int").alias("pair"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("block") == F.col("other")).alias("same"), "key", "unit")
+    return written(placed.repartitionById(total, F.col("pair")).sortWithinPartitions("pair", "side").mapInArrow(partial(_join, threshold=threshold), LINK), "links")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -180,3 +180,13 @@ def test_every_part_proposes_as_many_as_are_wanted(spark, monkeypatch):
     got = D.varied_subset(frame(spark, x).coalesce(1).unionByName(few.coalesce(1)), 60).collect()
     assert {int(kinds[int(g.id[1:])]) for g in got if g.model_name == "m"} == set(range(60))
     assert sum(g.model_name == "small" for g in got) == 50
+
+
+def test_close_pairs_of_spread_vectors_are_all_found(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    x = unit(r.normal(size=(12_000, 128)))
+    e = r.normal(size=(6000, 128))
+    e = unit(e - (e * x[:6000]).sum(1, keepdims=True) * x[:6000])
+    x[6000:] = unit(x[:6000] * 0.951 + e * np.sqrt(1 - 0.951**2))  # sets of two, most of them far from any representative
+    got = {tuple(g) for g in D.close_groups(frame(spark, x), 0.95).collect()}
+    assert got == {(f"e{i:05d}", f"e{i + 6000:05d}") for i in range(6000)}
