@@ -128,6 +128,8 @@ class _Block:
     def __init__(self, book: Codebook, parts: list[tuple], k: int):
         self.book, self.k = book, k
         self.ids = np.array([i for p in parts for i in p[0]], object)
+        self.by_id = np.empty(len(self.ids), np.int64)  # each row's place by id, as the window outside sorts
+        self.by_id[sorted(range(len(self.ids)), key=lambda j: self.ids[j].encode())] = np.arange(len(self.ids))
         self.path = np.concatenate([p[1] for p in parts])
         self.unit = np.concatenate([p[2] for p in parts])
         self.scan = book.decode(from_nibbles(np.concatenate([p[3] for p in parts])))  # each row's 16-entry tables, laid out for one matrix product
@@ -146,12 +148,9 @@ class _Block:
             for c in range(0, len(a), 200_000):  # exact reranking, bounded memory; pieces may part a query, the merge outside doesn't mind
                 x, y = a[c : c + 200_000], b[c : c + 200_000]
                 exact = np.einsum("ij,ij->i", q[x].astype(np.float64), self.unit[y].astype(np.float64))
-                order = np.lexsort((-exact, x))
+                order = np.lexsort((self.by_id[y], -exact, x))
                 x, y, exact = x[order], y[order], exact[order]
-                first = np.searchsorted(x, x, side="left")
-                place = np.arange(len(x)) - first
-                kth = exact[np.minimum(first + k - 1, len(x) - 1)]
-                keep = (place < k) | ((exact >= kth - 1e-9) & (x[np.minimum(first + k - 1, len(x) - 1)] == x) & (place < k + 64))
+                keep = np.arange(len(x)) - np.searchsorted(x, x, side="left") < k
                 yield ids[s + x[keep]], self.ids[y[keep]], exact[keep]
 
 

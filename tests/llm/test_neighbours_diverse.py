@@ -190,3 +190,16 @@ def test_close_pairs_of_spread_vectors_are_all_found(spark, monkeypatch):
     x[6000:] = unit(x[:6000] * 0.951 + e * np.sqrt(1 - 0.951**2))  # sets of two, most of them far from any representative
     got = {tuple(g) for g in D.close_groups(frame(spark, x), 0.95).collect()}
     assert got == {(f"e{i:05d}", f"e{i + 6000:05d}") for i in range(6000)}
+
+
+def block(ids, x, k):
+    book = N.Codebook.fit(x)
+    return N._Block(book, [(ids, np.zeros(len(x), np.int64), x, N.nibbles(book.encode(x)))], k)
+
+
+def test_ties_of_many_copies_go_to_the_least_ids():
+    x = vectors(300, groups=0)
+    x[100:] = x[100]
+    ids = [f"e{i:05d}" for i in range(300)][::-1]  # the least ids come last
+    found = list(block(ids, x, 5).search(np.array(["q"], object), np.zeros(1, np.int64), x[100:101]))
+    assert sorted(i for f in found for i in f[1]) == [f"e{i:05d}" for i in range(5)]
