@@ -174,9 +174,8 @@ def replace_by_file(spark, folder):
 
 
 def apply_change_batch(spark, folder):
-    kind = F.lower(F.trim("change_type"))
-    changes = load(spark, folder, "change_record").where("detected_at is not null").select("file_path", F.when(kind == "removed", "deleted").otherwise(kind).alias("change_type"), "detected_at", "watch_seq", "record_id")
-    last = maintenance.latest_changes(changes.where(F.col("change_type").isin("created", "modified", "deleted")), "file_path", ["detected_at", "watch_seq", "record_id"], "change_type")
+    changes = load(spark, folder, "change_record").where("detected_at is not null").select("file_path", "moved_to", "change_type", "detected_at", "watch_seq", "record_id")
+    last = maintenance.latest_changes(maintenance.moves_apart(changes), "file_path", ["detected_at", "watch_seq", "record_id", "step"], "change_type")
     fresh = load(spark, folder, "note_chunk").where("file_path is not null").select(F.col("chunk_key").cast("string").alias("id"), "file_path")
     return maintenance.apply_batch(_live(spark, folder).select("id", "file_path"), last, fresh).select("id")
 

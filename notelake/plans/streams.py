@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.operators import maintenance
 from notelake.session import load, scratch
 from notelake.sources.store import VersionedStore
 from notelake.streaming import changes
@@ -43,11 +44,9 @@ def stream_applied_changes(spark, folder):
     store = VersionedStore(spark, scratch(spark, "store"))
     live = load(spark, folder, "documents").where("file_path is not null").groupBy("file_path").agg(F.min("doc_id").cast("string").alias("id"))
     store.publish(live.select("id", "file_path"))
-    kind = F.lower(F.trim("change_type"))
-    feed = _stream(spark, folder, "change_record").where(kind.isin("created", "modified", "deleted", "removed") & F.col("file_path").isNotNull())
-    feed = feed.select("file_path", F.when(kind == "removed", "deleted").otherwise(kind).alias("change_type"), "record_id")
+    feed = maintenance.moves_apart(_stream(spark, folder, "change_record").select("file_path", "moved_to", "change_type", "record_id"))
     fresh = lambda last: last.select(F.concat(F.lit("new "), "file_path").alias("id"), "file_path")
-    changes.apply_stream(feed, store, fresh, f"{store.root}/_checkpoint", ["record_id"]).awaitTermination()
+    changes.apply_stream(feed, store, fresh, f"{store.root}/_checkpoint", ["record_id", "step"]).awaitTermination()
     return store.read()
 
 
