@@ -128,6 +128,7 @@ class _Block:
     def __init__(self, book: Codebook, parts: list[tuple], k: int):
         self.book, self.k = book, k
         self.ids = np.array([i for p in parts for i in p[0]], object)
+        self.at = {i: j for j, i in enumerate(self.ids)}
         self.by_id = np.empty(len(self.ids), np.int64)  # each row's place by id, as the window outside sorts
         self.by_id[sorted(range(len(self.ids)), key=lambda j: self.ids[j].encode())] = np.arange(len(self.ids))
         self.path = np.concatenate([p[1] for p in parts])
@@ -141,10 +142,10 @@ class _Block:
             score = q @ self.scan.T  # the table scan: the sum of the looked-up levels times the query, of every row
             shared = (p[:, None] == self.path[None, :]) & (p != 0)[:, None]
             score[shared] = -2.0
+            own = np.array([self.at.get(i, -1) for i in ids[s : s + step]], np.int64)
+            score[np.flatnonzero(own >= 0), own[own >= 0]] = -2.0
             low = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -1.5, np.float32)
             a, b = np.nonzero(score >= np.maximum(low - self.book.margin, -1.5)[:, None])
-            own = ids[s + a] != self.ids[b]
-            a, b = a[own], b[own]
             for c in range(0, len(a), 200_000):  # exact reranking, bounded memory; pieces may part a query, the merge outside doesn't mind
                 x, y = a[c : c + 200_000], b[c : c + 200_000]
                 exact = np.einsum("ij,ij->i", q[x].astype(np.float64), self.unit[y].astype(np.float64))

@@ -203,3 +203,17 @@ def test_ties_of_many_copies_go_to_the_least_ids():
     ids = [f"e{i:05d}" for i in range(300)][::-1]  # the least ids come last
     found = list(block(ids, x, 5).search(np.array(["q"], object), np.zeros(1, np.int64), x[100:101]))
     assert sorted(i for f in found for i in f[1]) == [f"e{i:05d}" for i in range(5)]
+
+
+def test_a_query_takes_no_place_among_its_own_neighbours():
+    d = 32
+    x = np.zeros((40, d), np.float32)
+    x[0, 0] = 1
+    for i, c in enumerate((0.97, 0.96, 0.96, 0.95, 0.6), 1):
+        x[i, 0], x[i, i] = c, np.sqrt(1 - c * c)
+    x[6:, 6:] = np.random.default_rng(1).normal(size=(34, d - 6))
+    x = unit(x)
+    b = block([f"e{i:05d}" for i in range(40)], x, 5)
+    b.scan, b.book.margin = x, 0.1
+    (q, found, _), = b.search(np.array(["e00000"], object), np.zeros(1, np.int64), x[:1])
+    assert sorted(found) == [f"e{i:05d}" for i in range(1, 6)]
