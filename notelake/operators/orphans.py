@@ -68,12 +68,12 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     by = ["universe", "missing_key"]
     known = F.col("missing_key").isNotNull()
     keys = (
-        references.where(known).select(*by, F.lit(False).alias("stored"))
-        .unionByName(parents.where(known).select(*by, F.lit(True).alias("stored")))
-        .groupBy(*by).agg(F.max("stored").alias("stored"))
+        references.where(known).select(*by, F.lit(True).alias("is_reference"), F.lit(False).alias("is_parent"))
+        .unionByName(parents.where(known).select(*by, F.lit(False).alias("is_reference"), F.lit(True).alias("is_parent")))
+        .groupBy(*by).agg(F.max("is_reference").alias("is_reference"), F.max("is_parent").alias("is_parent"))
     )
     ranked = integer_keys(keys, by, buckets_for(references))
-    lost = beyond_runs(ranked.where(~F.col("stored")).select(*by, "bucket", "rank"), runs(ranked.where("stored").select("bucket", "rank"), ["bucket"], "rank"), ["bucket"], "rank")
+    lost = beyond_runs(ranked.where("is_reference").select(*by, "bucket", "rank"), runs(ranked.where("is_parent").select("bucket", "rank"), ["bucket"], "rank"), ["bucket"], "rank")
     return references.where(known).distinct().join(lost.select(*by), by, "left_semi")
 
 
