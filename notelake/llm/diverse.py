@@ -1,4 +1,4 @@
-"""Choosing a varied subset by distributed farthest-first k-center, and the exact join of close entries, block by block."""
+"""Choosing a varied subset by distributed farthest-first k-center, and the exact join of close entries over its cells."""
 
 from __future__ import annotations
 
@@ -17,16 +17,22 @@ from notelake.session import written
 PART_ROWS = 32_768
 #: Representatives that may be pooled on the driver; more are thinned out by further distributed rounds first.
 POOL_ROWS = 12_288
+#: Cells of a model for the join: the k-center's entries, each with what is nearest to it.
+CELLS = 128
 #: Rows of a block that one task holds, at most, but for uneven hashes.
-CELL_ROWS = 131_072
+BLOCK_ROWS = 131_072
 #: Blocks of a model that has rows enough for several tasks.
-LEAST_BLOCKS = 5
-#: Scores that a task holds at once.
-SLAB = 8_000_000
+LEAST_BLOCKS = 7
+#: Blocks from which on a block's visitors are shared among several tasks.
+MANY_BLOCKS = 64
+#: Visitors and held rows that are scored at once.
+TILE = (1024, 4096)
 #: Similarities this near to the threshold are looked at again in double precision.
 ROUNDING = 1e-5
 
 PICKED = "model_name string, id string, unit binary"
+HOMES = "model_name string, cell int, n long, least double"
+PLACED = "task int, side int, key long, unit binary"
 LINK = "a long, b long"
 
 
@@ -79,15 +85,14 @@ class Centers:
     def __init__(self, usable: DataFrame, size: int):
         counts = {r["model_name"]: r["count"] for r in usable.groupBy("model_name").count().collect()}  # one row per model
         k = {m: min(n, size) for m, n in counts.items()}  # of any part too: it may hold what no other one does
+        if (wanted := sum(k.values())) > POOL_ROWS:
+            raise ValueError(f"{wanted} entries of all models are asked for; the driver chooses among {POOL_ROWS} at most")
         pool = written(usable.select("model_name", "id", "unit").mapInArrow(partial(_select, each=k), PICKED), "representatives")
-        partitions = max(1, pool.count() // PART_ROWS)
-        while (n := pool.count()) > POOL_ROWS:  # thin out in further rounds, each over a quarter of the partitions
-            partitions = max(1, min(partitions, n // (2 * POOL_ROWS)))
-            again = {m: max(c, POOL_ROWS * c // (sum(k.values()) * partitions)) for m, c in k.items()}
-            fewer = written(pool.repartition(partitions, F.xxhash64("id")).mapInArrow(partial(_select, each=again), PICKED), "representatives")
-            if fewer.count() >= n:
-                break
-            pool = fewer
+        while (n := pool.count()) > POOL_ROWS:  # thin out in further rounds; a part holds at least twice what it hands on
+            partitions = -(-n // max(PART_ROWS, 2 * wanted))
+            pool = written(pool.repartition(partitions, F.xxhash64("id")).mapInArrow(partial(_select, each=k), PICKED), "representatives")
+            if partitions == 1:
+                break  # now it is what one or two parts propose
         rows = pool.collect()
         self.ids, self.units, self.near = {}, {}, {}
         for m in sorted(counts):
@@ -98,16 +103,18 @@ class Centers:
 
 
 def varied_subset(usable: DataFrame, size: int, threshold: float | None = None) -> DataFrame:
-    """(model_name, place, id, similarity_before): per model ``size`` entries chosen farthest-first, in order of choice.
+    """(model_name, place, id, similarity_before, crowded): per model ``size`` entries chosen farthest-first, in order of choice.
 
     Every part of every partition proposes ``size`` representatives of each model (or all its rows), chosen greedily; they are pooled (in
-    rounds, while the pool is large, each part again proposing at least ``size``) and chosen again from the pool. ``similarity_before`` is the cosine to the nearest entry chosen earlier: with ``threshold``, entries that
-    reach it are left out, so no group closer than the threshold has two members here. Fewer entries than ``size``: all of
-    them (but for the threshold). Copies add nothing new and come last. Empty table, empty subset.
+    rounds, while the pool is large, each part again proposing ``size``) and chosen again from the pool. ``similarity_before`` is the
+    cosine to the nearest entry chosen earlier; it never falls from one place to the next. So a group closer than ``threshold`` has a second
+    member (``crowded``) only after every other kind has one, where fewer kinds than ``size`` exist. Fewer entries than ``size``: all of
+    them. Copies add nothing new and come last. A null threshold crowds nothing. Empty table, empty subset. Sizes that make
+    more than POOL_ROWS in all raise ValueError.
     """
     centers = Centers(usable, size)
-    rows = [(m, i, c, float(s)) for m in centers.ids for i, (c, s) in enumerate(zip(centers.ids[m], centers.near[m])) if threshold is None or i == 0 or s < threshold]
-    return usable.sparkSession.createDataFrame(rows, "model_name string, place int, id string, similarity_before double")
+    rows = [(m, i, c, float(s), bool(i and threshold is not None and s >= threshold)) for m in centers.ids for i, (c, s) in enumerate(zip(centers.ids[m], centers.near[m]))]
+    return usable.sparkSession.createDataFrame(rows, "model_name string, place int, id string, similarity_before double, crowded boolean")
 
 
 def _cover(batches: Iterator[pa.RecordBatch], ids: dict[str, list[str]], units: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -130,103 +137,248 @@ def covered(usable: DataFrame, size: int) -> DataFrame:
     return usable.select("model_name", "id", "unit").mapInArrow(partial(_cover, ids=centers.ids, units=centers.units), "id string, representative string, similarity double")
 
 
-class _Union:
-    """Disjoint sets over row numbers, as labels; merging relabels the smaller classes."""
+class _Sets:
+    """Disjoint sets over row numbers; the root of a set is its least number. Works on many pairs at once."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.parent = np.arange(n)
 
-    def merge(self, rows: np.ndarray) -> None:
-        found = self.label[rows]
-        low = found.min()
-        for other in np.unique(found):
-            if other != low:
-                self.label[self.label == other] = low
+    def find(self, x: np.ndarray) -> np.ndarray:
+        r = self.parent[x]
+        while (up := self.parent[r]).size and (up != r).any():
+            r = up
+        self.parent[x] = r
+        return r
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            ra, rb = self.find(a), self.find(b)
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
+
+
+def basis(units: np.ndarray) -> np.ndarray:
+    """Orthonormal directions along which rows like ``units`` differ most, a quarter as many as there are dimensions."""
+    width = units.shape[1]
+    _, vectors = np.linalg.eigh(units.astype(np.float64).T @ units)
+    return np.ascontiguousarray(vectors[:, ::-1][:, : min(width, max(16, width // 4))]).astype(np.float32)
+
+
+def outline(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Few numbers per unit row, whose inner product is never below that of the rows: coordinates along some directions, and the norm of the rest."""
+    head = x @ directions
+    rest = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", x, x) - np.einsum("ij,ij->i", head, head)))
+    return np.concatenate([head, rest[:, None]], axis=1)
 
 
 class _Held:
     """The rows of one block that are held, their sets, and what is compared with them."""
 
-    def __init__(self, x: np.ndarray, keys: np.ndarray, threshold: float):
-        self.x, self.keys, self.threshold, self.sets = x, keys, threshold, _Union(len(x))
-
-    def _near(self, y: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(rows of ``y`` that reach the threshold with one of the first ``most`` held rows, for each of them these)."""
-        score = y @ self.x[:most].T
+    def __init__(self, x: np.ndarray, keys: np.ndarray, threshold: float, directions: np.ndarray):
+        self.x, self.keys, self.threshold, self.directions = x, keys, threshold, directions
+        self.outline, self.sets = outline(x, directions), _Sets(len(x))
+
+    def _candidates(self, drawn: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of ``drawn``, held row from s to e) whose outlines don't rule the threshold out."""
+        score = drawn @ self.outline[s:e].T
+        low = np.float32(self.threshold - ROUNDING)
+        rows = np.flatnonzero(score.max(axis=1) >= low)
+        a, b = np.nonzero(score[rows] >= low)
+        return rows[a], b + s
+
+    def _verified(self, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs (row of ``y``, held row) reach the threshold."""
+        rows, cols = np.unique(a), np.unique(b)
+        if len(a) > 0.02 * len(rows) * len(cols):  # dense: one product
+            score = (y[rows] @ self.x[cols].T)[np.searchsorted(rows, a), np.searchsorted(cols, b)]
+        else:
+            score = np.empty(len(a), np.float32)
+            for s in range(0, len(a), 65_536):
+                score[s : s + 65_536] = np.einsum("ij,ij->i", y[a[s : s + 65_536]], self.x[b[s : s + 65_536]])
         hit = score >= self.threshold + ROUNDING
-        a, b = np.nonzero((score >= self.threshold - ROUNDING) & ~hit)
-        for s in range(0, len(a), 65_536):  # too near to tell in single precision
-            i, j = a[s : s + 65_536], b[s : s + 65_536]
-            hit[i, j] = np.einsum("ij,ij->i", y[i].astype(np.float64), self.x[j].astype(np.float64)) >= self.threshold - 1e-7
-        rows = np.flatnonzero(hit.any(axis=1))
-        return rows, [np.flatnonzero(hit[i]) for i in rows]
-
-    def _merge(self, rows: np.ndarray) -> None:
-        if (self.sets.label[rows] != self.sets.label[rows[0]]).any():
-            self.sets.merge(rows)
+        doubt = np.flatnonzero(~hit & (score >= self.threshold - ROUNDING))
+        for s in range(0, len(doubt), 65_536):  # too near to tell in single precision
+            d = doubt[s : s + 65_536]
+            hit[d] = np.einsum("ij,ij->i", y[a[d]].astype(np.float64), self.x[b[d]].astype(np.float64)) >= self.threshold - 1e-7
+        return hit
+
+    def _links(self, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the candidate pairs, linked ones: of a row with a set of held rows at least one, if there is any."""
+        pair = a * len(self.x) + self.sets.find(b)
+        _, first = np.unique(pair, return_index=True)
+        hit = self._verified(y, a[first], b[first])
+        found = [first[hit]]
+        rest = np.flatnonzero(~np.isin(pair, pair[first[hit]]))
+        rest = np.setdiff1d(rest, first)
+        if len(rest):
+            found.append(rest[self._verified(y, a[rest], b[rest])])
+        at = np.concatenate(found)
+        return a[at], b[at]
 
     def within(self) -> None:
-        step = max(16, SLAB // len(self.x))
-        for s in range(0, len(self.x), step):
-            most = min(len(self.x), s + step)
-            for i, near in zip(*self._near(self.x[s:most], most)):
-                self._merge(np.append(near, s + i))
-
-    def across(self, y: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[int]]:
+        for s in range(0, len(self.x), TILE[0]):
+            top = min(len(self.x), s + TILE[0])
+            for t in range(0, top, TILE[1]):
+                a, b = self._candidates(self.outline[s:top], t, min(top, t + TILE[1]))
+                new = (b < a + s)
+                a, b = a[new], b[new]
+                new = self.sets.find(a + s) != self.sets.find(b)  # what is connected already needs no link
+                if new.any():
+                    a, b = self._links(self.x[s:top], a[new], b[new])
+                    self.sets.merge(a + s, b)
+
+    def across(self, y: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One link of each row of ``y`` that has any; the held rows that it links become one set."""
-        a, b = [], []
-        step = max(16, SLAB // len(self.x))
-        for s in range(0, len(y), step):
-            for i, near in zip(*self._near(y[s : s + step], len(self.x))):
-                self._merge(near)
-                a.append(int(self.keys[near[0]]))
-                b.append(int(keys[s + i]))
-        return a, b
+        first = np.full(len(y), -1)
+        drawn = outline(y, self.directions)
+        for s in range(0, len(y), TILE[0]):
+            top = min(len(y), s + TILE[0])
+            for t in range(0, len(self.x), TILE[1]):
+                a, b = self._candidates(drawn[s:top], t, min(len(self.x), t + TILE[1]))
+                if len(a):
+                    a, b = self._links(y[s:top], a, b)
+                    fresh = first[a + s] < 0
+                    first[(a + s)[fresh]] = b[fresh]
+                    self.sets.merge(first[a + s], b)
+        has = np.flatnonzero(first >= 0)
+        return self.keys[first[has]], keys[has]
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """(smallest key of its set, key) of all held rows but those smallest ones."""
+        root = self.sets.find(np.arange(len(self.keys)))
         smallest = np.full(len(self.keys), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, self.sets.label, self.keys)
-        root = smallest[self.sets.label]
-        linked = root != self.keys
-        return root[linked], self.keys[linked]
+        np.minimum.at(smallest, root, self.keys)
+        linked = smallest[root] != self.keys
+        return smallest[root][linked], self.keys[linked]
+
+
+class Plan:
+    """The cells of one model, in an order in which neighbours follow each other, and the blocks that this order is cut into.
 
+    Blocks have equal numbers of rows, whatever the cells hold: a cell's rows are spread over its stretch by a hash, and a
+    large cell reaches over several blocks.
+    """
 
-def _join(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (pair, side): the rows of a pair's first block are held and compared with each other where the pair is of
-    one block with itself; those of its second block stream past them."""
+    def __init__(self, units: np.ndarray, counts: np.ndarray, least: np.ndarray, threshold: float):
+        order, left = [0], set(range(1, len(units)))
+        while left:  # a chain from each center to the nearest one that is left
+            last = units[order[-1]]
+            order.append(max(left, key=lambda j: (float(units[j] @ last), -j)))
+            left.remove(order[-1])
+        self.units, n = units[order], counts[order]
+        self.ends = np.cumsum(n)
+        self.starts, total = self.ends - n, int(n.sum())
+        self.blocks = max(-(-total // BLOCK_ROWS), min(-(-total // 4096), LEAST_BLOCKS))
+        self.parts = max(1, self.blocks // MANY_BLOCKS)
+        self.length = max(1, -(-total // self.blocks))
+        inside = np.arange(self.blocks)[None, :]
+        self.reaches = ((self.starts // self.length)[:, None] <= inside) & (inside <= (np.maximum(self.ends - 1, 0) // self.length)[:, None]) & (n > 0)[:, None]
+        # two rows within `radius` whose nearest centers are c and d: the first is at most `radius` on c's side of the plane between them
+        self.radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+        self.apart = np.sqrt(np.maximum(0, 2 - 2 * np.clip(self.units @ self.units.T, -1, 1)))
+        # and the angle between a row and d is at most the threshold's more than that of d's farthest row
+        reach = np.arccos(np.clip(least[order], -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
+        self.floor = np.where(reach < np.pi, np.cos(np.minimum(reach, np.pi)), -2.0)
+        self.directions = basis(units)
+        step = np.arange(self.blocks)
+        self.goes = (step[:, None] < step[None, :]) == ((step[:, None] + step[None, :]) % 2 == 1)  # of two blocks, which one's rows visit the other
+        np.fill_diagonal(self.goes, False)
+
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell of each row, cosines with all centers)."""
+        score = x @ self.units.T
+        return score.argmax(axis=1), score
+
+    def place(self, x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home block of each row, whether it visits each block): wherever a row may have a partner by what the centers tell."""
+        cell, score = self.homes(x)
+        share = (keys.view(np.uint64) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        home = np.minimum(self.starts[cell] + (share * (self.ends - self.starts)[cell]).astype(np.int64), np.maximum(self.ends[cell] - 1, 0)) // self.length
+        own = score[np.arange(len(x)), cell]
+        near = (own[:, None] - score <= self.radius * self.apart[cell] + 1e-4) & (score >= self.floor - 1e-4)
+        return home, ((near.astype(np.float32) @ self.reaches.astype(np.float32)) > 0) & self.goes[home]
+
+
+def _by_model(b: pa.RecordBatch, models: dict) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(model, row numbers, unit rows) of a batch."""
+    names = np.array(b.column("model_name").to_pylist(), object)
+    for model, width in models.items():
+        mine = np.flatnonzero(names == model)
+        if len(mine):
+            yield model, mine, matrix(b.column("unit").take(pa.array(mine)), np.float32, width)
+
+
+def _homes(batches: Iterator[pa.RecordBatch], units: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of each cell, and the least cosine of one with its center."""
+    n, least = {m: np.zeros(len(u), np.int64) for m, u in units.items()}, {m: np.ones(len(u)) for m, u in units.items()}
+    for b in batches:
+        for model, _, x in _by_model(b, {m: u.shape[1] for m, u in units.items()}):
+            score = x @ units[model].T
+            cell = score.argmax(axis=1)
+            n[model] += np.bincount(cell, minlength=len(n[model]))
+            np.minimum.at(least[model], cell, score[np.arange(len(x)), cell].astype(np.float64))
+    for m in units:
+        at = np.flatnonzero(n[m])
+        yield pa.RecordBatch.from_arrays([pa.array([m] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[m][at]), pa.array(least[m][at])], ["model_name", "cell", "n", "least"])
+
+
+def _place(batches: Iterator[pa.RecordBatch], plans: dict[str, Plan], first: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Each row to the tasks of its home block (side 0, where the block is compared with itself, or 1) and to those blocks that it visits (side 2)."""
+    for b in batches:
+        keys = b.column("key").to_numpy()
+        for model, mine, x in _by_model(b, {m: p.units.shape[1] for m, p in plans.items()}):
+            plan, key = plans[model], keys[mine]
+            home, visits = plan.place(x, key)
+            part = np.tile(np.arange(plan.parts), len(mine))
+            rows = [(np.repeat(mine, plan.parts), first[model] + np.repeat(home, plan.parts) * plan.parts + part, np.minimum(part, 1))]
+            who, block = np.nonzero(visits)
+            rows.append((mine[who], first[model] + block * plan.parts + (key[who] % plan.parts), np.full(len(who), 2)))
+            at, task, side = (np.concatenate(c) for c in zip(*rows))
+            for s in range(0, len(at), 20_000):
+                rows_at = pa.array(at[s : s + 20_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(task[s : s + 20_000].astype(np.int32)), pa.array(side[s : s + 20_000].astype(np.int32)), b.column("key").take(rows_at), b.column("unit").take(rows_at)],
+                    ["task", "side", "key", "unit"],
+                )
+
+
+def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (task, side): the rows of a task's block are held; those that visit it stream past them."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     held: _Held | None = None
     at, same = None, False
 
-    def links(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBatch:
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def hold() -> _Held:
-        return _Held(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), threshold)
+        found = _Held(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), threshold, next(d for end, d in directions if at < end))
+        parts.clear()
+        if same:
+            found.within()
+        return found
 
     def close() -> Iterator[pa.RecordBatch]:
-        last = held
-        if same and parts:
-            last = hold()
-            last.within()
+        last = hold() if parts else held
         if last is not None:
             yield links(*last.stars())
 
     for batch in batches:
-        where = batch.column("pair").to_numpy() * 2 + batch.column("side").to_numpy()
+        where = batch.column("task").to_numpy().astype(np.int64) * 3 + batch.column("side").to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(where)) + 1), batch.num_rows]
         for s, e in zip(edges, edges[1:]):
             if s == e:
                 continue
             piece = batch.slice(s, e - s)
-            if where[s] // 2 != at:
+            if where[s] // 3 != at:
                 yield from close()
-                at, same, parts, held = where[s] // 2, piece.column("same")[0].as_py(), [], None
+                parts.clear()
+                at, same, held = where[s] // 3, where[s] % 3 == 0, None
             x, keys = matrix(piece.column("unit"), np.float32, len(piece.column("unit")[0].as_py()) // 4), piece.column("key").to_numpy()
-            if where[s] % 2 == 0:
+            if where[s] % 3 < 2:
                 parts.append((x, keys))
-            elif parts:
+            elif parts or held:
                 held = held or hold()
                 yield links(*held.across(x, keys))
     yield from close()
@@ -235,27 +387,28 @@ def _join(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 def close_links(usable: DataFrame, threshold: float) -> DataFrame:
     """(a, b) keys of linked entries: enough links that entries are connected by them just as by all pairs of cosine >= ``threshold``.
 
-    Exact: the entries of a model are cut into blocks by a hash of the id, and each two blocks, and each block with itself, are compared
-    in one task, so every pair meets once; work is quadratic. No cells: at .95, vectors that spread over all directions may have a
-    neighbour in almost any cell. No pair list of a group is made: a set of connected rows leaves a block as one star, and a row
-    that streams past it as one link. Pairs that single precision can't tell are decided in double.
+    Exact. The entries of a model are cut into cells around a k-center's entries (:class:`Centers`), the cells into blocks of equal size;
+    each entry is compared with its own block and visits, of each two blocks one way, those that may hold a partner by two bounds: the plane
+    between the centers, and the angle of a cell's farthest row. Where vectors spread over all directions the bounds rule little out and the work is
+    quadratic; where they lie in clusters, a block meets its neighbours only. Within a task, pairs are first looked at by
+    outlines of a quarter of the dimensions, whose product bounds the cosine from above. No pair list of a group is made: a set of connected rows
+    leaves a block as one star, and a visitor as one link. Pairs that single precision can't tell are decided in double.
     """
     spark = usable.sparkSession
-    counts = {r["model_name"]: r["count"] for r in usable.groupBy("model_name").count().collect()}  # one row per model
-    if not counts:
+    centers = Centers(usable, CELLS)
+    if not centers.ids:
         return spark.createDataFrame([], LINK)
-    first, blocks, total = {}, {}, 0
-    for m, n in sorted(counts.items()):
-        blocks[m] = max(-(-n // CELL_ROWS), min(-(-n // 4096), LEAST_BLOCKS))
-        first[m], total = total, total + blocks[m] * (blocks[m] + 1) // 2
-    pairs = [F.lit(x) for m in blocks for x in (m, F.struct(F.lit(first[m]).alias("first"), F.lit(blocks[m]).alias("n")))]
-    keyed = usable.select(F.xxhash64("id").alias("key"), "unit", F.create_map(*pairs)[F.col("model_name")].alias("place"))
-    mine = F.pmod(F.xxhash64(F.lit(17), "key"), F.col("place.n"))
-    met = keyed.withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("place.n") - 1)).alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    pair = F.col("place.first") + low * F.col("place.n") - F.floor(low * (low - 1) / 2) + high - low  # row by row of the upper triangle
-    placed = met.select(pair.cast("int").alias("pair"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("block") == F.col("other")).alias("same"), "key", "unit")
-    return written(placed.repartitionById(total, F.col("pair")).sortWithinPartitions("pair", "side").mapInArrow(partial(_join, threshold=threshold), LINK), "links")
+    counts, least = ({m: np.full(len(u), v) for m, u in centers.units.items()} for v in (0, 1.0))
+    rows = usable.select("model_name", F.xxhash64("id").alias("key"), "unit")
+    for r in rows.select("model_name", "unit").mapInArrow(partial(_homes, units=centers.units), HOMES).groupBy("model_name", "cell").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect():  # models x CELLS rows
+        counts[r["model_name"]][r["cell"]], least[r["model_name"]][r["cell"]] = r["n"], r["least"]
+    plans = {m: Plan(centers.units[m], counts[m], least[m], threshold) for m in sorted(centers.units)}
+    first, total, directions = {}, 0, []
+    for m, p in plans.items():
+        first[m], total = total, total + p.blocks * p.parts
+        directions.append((total, p.directions))
+    placed = rows.mapInArrow(partial(_place, plans=plans, first=first), PLACED)
+    return written(placed.repartitionById(total, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(partial(_join, threshold=threshold, directions=directions), LINK), "links")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

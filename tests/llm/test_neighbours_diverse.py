@@ -87,9 +87,10 @@ def groups(x, threshold):
     return {(f"e{find(i):05d}", f"e{i:05d}") for i in range(n) if find(i) != i}
 
 
-@pytest.mark.parametrize("cell_rows", [12_288, 40])
-def test_close_groups(spark, monkeypatch, cell_rows):
-    monkeypatch.setattr(D, "CELL_ROWS", cell_rows)
+@pytest.mark.parametrize("block_rows,many", [(12_288, 64), (40, 64), (100, 4)])
+def test_close_groups(spark, monkeypatch, block_rows, many):
+    monkeypatch.setattr(D, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(D, "MANY_BLOCKS", many)
     x = vectors(1500, seed=4)
     r = np.random.default_rng(1)
     x[600:1100] = unit(x[7] + r.normal(size=(500, 32)) * 0.1 / np.sqrt(32))  # a third of the rows are one group
@@ -103,6 +104,37 @@ def test_close_groups(spark, monkeypatch, cell_rows):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
 
 
+def test_clustered_vectors_visit_few_blocks():
+    r = np.random.default_rng(5)
+    centers = unit(r.normal(size=(40, 64)))
+    x = unit(centers[r.integers(0, 40, 60_000)] + r.normal(size=(60_000, 64)) * 0.2 / 8)
+    cell = (x @ centers.T).argmax(axis=1)
+    least = np.array([(x[cell == c] @ centers[c]).min() for c in range(40)])
+    plan = D.Plan(centers, np.bincount(cell, minlength=40), least, 0.95)
+    home, visits = plan.place(x, r.integers(-(2**62), 2**62, len(x)))
+    assert plan.blocks == 7 and np.bincount(home).max() < 1.1 * len(x) / 7
+    assert visits.sum() < 0.15 * 3 * len(x)  # of the three other blocks that an entry could visit
+
+
+def test_outlines_bound_the_cosine():
+    x = vectors(500, d=64, seed=3)
+    o = D.outline(x, D.basis(x[:60]))
+    assert o.shape[1] == 17 and (o @ o.T >= x @ x.T - 1e-5).all()
+
+
+def test_sets_merge_many_pairs_at_once():
+    r = np.random.default_rng(0)
+    pairs = r.integers(0, 300, (200, 2))
+    sets = D._Sets(300)
+    sets.merge(pairs[:100, 0], pairs[:100, 1])
+    sets.merge(pairs[100:, 0], pairs[100:, 1])
+    label = list(range(300))
+    for a, b in pairs:
+        a, b = label[a], label[b]
+        label = [min(a, b) if v in (a, b) else v for v in label]
+    assert sets.find(np.arange(300)).tolist() == label
+
+
 def test_close_groups_edges(spark):
     x = vectors(5, groups=0)
     assert D.close_groups(frame(spark, x), 0.999).count() == 0
@@ -145,8 +177,12 @@ def test_varied_subset(spark, monkeypatch):
     kinds = {int(x[int(r.id[1:])].argmax()) for r in got}
     assert len(got) == 16 and kinds == set(range(16))  # one of each kind, though one kind has nine tenths
     assert [r.id for r in D.varied_subset(frame(spark, x), 16, 0.9).orderBy("place").collect()] == [r.id for r in got]
-    more = D.varied_subset(frame(spark, x), 40, 0.9).collect()
-    assert max(r.similarity_before for r in more if r.place) < 0.9
+    more = D.varied_subset(frame(spark, x), 40, 0.9).orderBy("place").collect()
+    assert len(more) == 40 and [r.crowded for r in more] == [False] * 16 + [True] * 24
+    assert all(a.similarity_before <= b.similarity_before + 1e-6 for a, b in zip(more[1:], more[2:]))
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(D, "POOL_ROWS", 30)
+        D.varied_subset(frame(spark, x), 40)
     assert D.varied_subset(frame(spark, x[:3]), 10).count() == 3
     assert D.varied_subset(frame(spark, x).limit(0), 10).count() == 0
 
