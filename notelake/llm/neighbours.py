@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows per model on which codebooks are fitted; every row is then indexed.
+#: Rows per model (but for the chance of a hash) on which codebooks are fitted; every row is then indexed.
 TRAINING_ROWS = 6_000
 #: Inner products from this on are those whose error matters (the threshold of the score-aware loss).
 SCORE_THRESHOLD = 0.2
 #: Rows of a block of the index.
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 131_072
 LEVELS = 16
+#: Queries and rows whose scores are held at once, rows whose best score stands for them when the k-th best is looked for, and candidates that wait for reranking.
+TILE, GROUP, WAITING = (1024, 4096), 64, 500_000
 
 HITS = "query string, id string, similarity double"
 ROW = "model_name string, id string, path long, unit binary, codes binary"
@@ -123,36 +125,69 @@ def _encode(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook]) -> It
 
 
 class _Block:
-    """The rows of one block of the index, and the scan over them."""
+    """The rows of one block of the index, in order of their files, and the scan over their codes."""
 
     def __init__(self, book: Codebook, parts: list[tuple], k: int):
         self.book, self.k = book, k
-        self.ids = np.array([i for p in parts for i in p[0]], object)
+        path = np.concatenate([p[1] for p in parts])
+        order = np.argsort(path, kind="stable")
+        self.path = path[order]
+        self.ids = np.array([i for p in parts for i in p[0]], object)[order]
         self.at = {i: j for j, i in enumerate(self.ids)}
         self.by_id = np.empty(len(self.ids), np.int64)  # each row's place by id, as the window outside sorts
         self.by_id[sorted(range(len(self.ids)), key=lambda j: self.ids[j].encode())] = np.arange(len(self.ids))
-        self.path = np.concatenate([p[1] for p in parts])
-        self.unit = np.concatenate([p[2] for p in parts])
-        self.scan = book.decode(from_nibbles(np.concatenate([p[3] for p in parts])))  # each row's 16-entry tables, laid out for one matrix product
-
-    def search(self, ids: np.ndarray, path: np.ndarray, unit: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.unit = np.concatenate([p[2] for p in parts])[order]
+        self.codes = np.concatenate([p[3] for p in parts])[order]
+
+    def scan(self, s: int, e: int) -> np.ndarray:
+        """The levels that some rows' codes stand for: looked up once for all queries, they make the table scan one matrix product."""
+        return self.book.decode(from_nibbles(self.codes[s:e]))
+
+    def _best(self, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, exact similarity) of the first k rows of each query, by similarity, then by id."""
+        exact = np.empty(len(a))
+        for c in range(0, len(a), 100_000):
+            exact[c : c + 100_000] = np.einsum("ij,ij->i", q[a[c : c + 100_000]].astype(np.float64), self.unit[b[c : c + 100_000]].astype(np.float64))
+        order = np.lexsort((self.by_id[b], -exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < self.k
+        return a[keep], b[keep], exact[keep]
+
+    def search(self, ids: np.ndarray, path: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for s in range(0, len(ids), TILE[0]):
+            a, b, exact = self._search(ids[s : s + TILE[0]], path[s : s + TILE[0]], unit[s : s + TILE[0]])
+            yield ids[s + a], self.ids[b], exact
+
+    def _search(self, ids: np.ndarray, path: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, k = len(self.ids), self.k
-        for s in range(0, len(ids), step):
-            q, p = unit[s : s + step], path[s : s + step]
-            score = q @ self.scan.T  # the table scan: the sum of the looked-up levels times the query, of every row
-            shared = (p[:, None] == self.path[None, :]) & (p != 0)[:, None]
-            score[shared] = -2.0
-            own = np.array([self.at.get(i, -1) for i in ids[s : s + step]], np.int64)
-            score[np.flatnonzero(own >= 0), own[own >= 0]] = -2.0
-            low = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -1.5, np.float32)
-            a, b = np.nonzero(score >= np.maximum(low - self.book.margin, -1.5)[:, None])
-            for c in range(0, len(a), 200_000):  # exact reranking, bounded memory; pieces may part a query, the merge outside doesn't mind
-                x, y = a[c : c + 200_000], b[c : c + 200_000]
-                exact = np.einsum("ij,ij->i", q[x].astype(np.float64), self.unit[y].astype(np.float64))
-                order = np.lexsort((self.by_id[y], -exact, x))
-                x, y, exact = x[order], y[order], exact[order]
-                keep = np.arange(len(x)) - np.searchsorted(x, x, side="left") < k
-                yield ids[s + x[keep]], self.ids[y[keep]], exact[keep]
+        own = np.array([self.at.get(i, -1) for i in ids], np.int64)
+        files, which = np.unique(path, return_inverse=True)
+        begin, end = np.searchsorted(self.path, files, side="left"), np.searchsorted(self.path, files, side="right")
+        end[files == 0] = 0  # no path is no shared file
+        top = np.full((len(q), k), -1.5, np.float32)  # scores of the best groups so far; the last is at most the k-th best score
+        a, b, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        for s in range(0, n, TILE[1]):
+            e = min(n, s + TILE[1])
+            found = q @ self.scan(s, e).T
+            for f in np.flatnonzero((begin < e) & (end > s)):
+                found[np.flatnonzero(which == f), max(0, begin[f] - s) : end[f] - s] = -2.0
+            mine = np.flatnonzero((own >= s) & (own < e))
+            found[mine, own[mine] - s] = -2.0
+            groups = -(-(e - s) // GROUP)
+            if groups > k and (e - s) % groups == 0:
+                heads = found.reshape(len(q), -1, groups).max(axis=1)
+                heads = np.partition(heads, groups - k, axis=1)[:, groups - k :]
+            else:
+                heads = np.partition(found, e - s - k, axis=1)[:, e - s - k :] if e - s > k else found
+            top = -np.partition(-np.concatenate([top, heads], axis=1), k - 1, axis=1)[:, :k]
+            low = np.maximum(top.min(axis=1) - self.book.margin, np.float32(-1.5))
+            x, y = np.nonzero(found >= low[:, None])
+            a, b, score = np.append(a, x), np.append(b, y + s), np.append(score, found[x, y])
+            if len(a) > WAITING or e == n:
+                near = score >= low[a]
+                kept = self._best(q, a[near], b[near])
+                a, b, score = kept[0], kept[1], np.full(len(kept[0]), 2, np.float32)  # reranked already: stays in
+        return kept
 
 
 def _scan(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook], k: int) -> Iterator[pa.RecordBatch]:
@@ -191,10 +226,10 @@ def nearest(usable: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 3) ->
     in other files, by cosine, ties by id.
 
     ``usable`` is (id, model_name, file_path, unit), best read from a written table: it is passed over three times.
-    Codebooks are fitted on at most TRAINING_ROWS sampled rows per model; every row is indexed as 4 bits per dimension. The index is
+    Codebooks are fitted on about TRAINING_ROWS sampled rows per model; every row is indexed as 4 bits per dimension. The index is
     cut into blocks of about BLOCK_ROWS rows by a hash of the id; each task holds one block and the queries stream
-    through it, so neither side is gathered or broadcast. A scan scores all rows of the block from the codes; rows whose score is within the
-    codebook's margin of the block's k-th best are reranked exactly, however many they are. The loss: a neighbour is missed only if
+    through it, so neither side is gathered or broadcast. A scan scores all rows of the block from the codes, a tile at a time; rows whose score is within the
+    codebook's margin of the block's k-th best so far are reranked exactly, however many they are, by (similarity, id). The loss: a neighbour is missed only if
     its score errs by more than the margin (README has measured recall).
 
     A null path is no shared file. Fewer than k rows come back where fewer entries exist. Wanted ids that are null, unknown or repeated
@@ -206,9 +241,9 @@ def nearest(usable: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 3) ->
     books, blocks = {}, {}
     cores = spark.sparkContext.defaultParallelism
     for model, n in sorted(counts.items()):
-        share = min(1.0, 1.3 * TRAINING_ROWS / n)
-        slice_ = rows.where((F.col("model_name") == model) & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).select("unit")
-        got = [bytes(r["unit"]) for r in slice_.limit(TRAINING_ROWS).collect()]
+        share = min(1.0, TRAINING_ROWS / n)  # of the ids by their hash: the same rows in every run
+        slice_ = rows.where((F.col("model_name") == model) & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).select("id", "unit")
+        got = [bytes(r["unit"]) for r in sorted(slice_.collect(), key=lambda r: r["id"])]
         books[model] = Codebook.fit(np.frombuffer(b"".join(got), np.float32).reshape(len(got), -1))
         blocks[model] = max(-(-n // BLOCK_ROWS), min(-(-n // 2048), 2 * cores))
     if not books:

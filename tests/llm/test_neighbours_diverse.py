@@ -250,6 +250,28 @@ def test_a_query_takes_no_place_among_its_own_neighbours():
     x[6:, 6:] = np.random.default_rng(1).normal(size=(34, d - 6))
     x = unit(x)
     b = block([f"e{i:05d}" for i in range(40)], x, 5)
-    b.scan, b.book.margin = x, 0.1
+    b.scan, b.book.margin = lambda s, e: x[s:e], 0.1
     (q, found, _), = b.search(np.array(["e00000"], object), np.zeros(1, np.int64), x[:1])
     assert sorted(found) == [f"e{i:05d}" for i in range(1, 6)]
+
+
+def test_a_block_of_many_tiles_keeps_the_best(monkeypatch):
+    monkeypatch.setattr(N, "TILE", (7, 96))
+    monkeypatch.setattr(N, "GROUP", 8)
+    monkeypatch.setattr(N, "WAITING", 50)
+    x = vectors(1003, seed=9)
+    x[500:700] = x[3]
+    ids, path = np.array([f"e{i:05d}" for i in range(1003)], object), np.arange(1003) % 9
+    book = N.Codebook.fit(x)
+    b = N._Block(book, [(list(ids), path, x, N.nibbles(book.encode(x)))], 6)
+    got = {}
+    for q, found, similarity in b.search(ids[:60], path[:60], x[:60]):
+        for i, j, s in zip(q, found, similarity):
+            got.setdefault(i, []).append((-s, j))
+    exact, hits = x.astype(np.float64) @ x.astype(np.float64).T, 0
+    for i in range(60):
+        want = sorted((-exact[i, j], ids[j]) for j in range(1003) if j != i and (path[i] == 0 or path[i] != path[j]))[:6]
+        hits += len({w[1] for w in want} & {g[1] for g in got[ids[i]]})
+        if i == 3:
+            assert sorted(g[1] for g in got[ids[i]]) == sorted(w[1] for w in want)
+    assert hits >= 0.99 * 360
