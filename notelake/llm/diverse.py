@@ -20,20 +20,20 @@ POOL_ROWS = 12_288
 #: Cells of a model for the join: the k-center's entries, each with what is nearest to it.
 CELLS = 128
 #: Rows of a block that one task holds, at most, but for uneven hashes.
-BLOCK_ROWS = 131_072
+BLOCK_ROWS = 262_144
 #: Blocks of a model that has rows enough for several tasks.
 LEAST_BLOCKS = 7
 #: Blocks from which on a block's visitors are shared among several tasks.
 MANY_BLOCKS = 64
 #: Visitors and held rows that are scored at once.
-TILE = (1024, 4096)
-#: Similarities this near to the threshold are looked at again in double precision.
+TILE = (512, 2048)
+#: What single precision may add to a similarity's error.
 ROUNDING = 1e-5
 
 PICKED = "model_name string, id string, unit binary"
 HOMES = "model_name string, cell int, n long, least double"
-PLACED = "task int, side int, key long, unit binary"
-LINK = "a long, b long"
+PLACED = "task int, side int, key long, short binary"
+LINK = "a long, b long, sure boolean"
 
 
 def farthest_first(x: np.ndarray, k: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -172,77 +172,129 @@ def outline(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return np.concatenate([head, rest[:, None]], axis=1)
 
 
+class Short:
+    """Unit rows in sixteen bits a dimension: codes, the step of each row, and how far each row may be from what its codes stand for."""
+
+    def __init__(self, codes: np.ndarray, step: np.ndarray, error: np.ndarray):
+        self.codes, self.step, self.error = codes, step, error
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Short:
+        step = (np.abs(x).max(axis=1) / 32767).astype(np.float32)
+        codes = np.rint(x / np.maximum(step, np.float32(1e-30))[:, None]).astype(np.int16)
+        off = x.astype(np.float64) - codes.astype(np.float64) * step[:, None]
+        return cls(codes, step, (np.sqrt(np.einsum("ij,ij->i", off, off)) * 1.001).astype(np.float32))
+
+    def packed(self) -> list[bytes]:
+        head = np.stack([self.step, self.error], axis=1).view(np.uint8).reshape(len(self.step), 8)
+        return [r.tobytes() for r in np.concatenate([head, self.codes.view(np.uint8).reshape(len(self.codes), -1)], axis=1)]
+
+    @classmethod
+    def unpacked(cls, column: pa.Array) -> Short:
+        raw = matrix(column, np.uint8, len(column[0].as_py()))
+        head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+        return cls(np.ascontiguousarray(raw[:, 8:]).view(np.int16), head[:, 0].copy(), head[:, 1].copy())
+
+    @classmethod
+    def joined(cls, parts: list[Short]) -> Short:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("codes", "step", "error")))
+
+    def rows(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.codes[at] * self.step[at][:, None]
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+
 class _Held:
     """The rows of one block that are held, their sets, and what is compared with them."""
 
-    def __init__(self, x: np.ndarray, keys: np.ndarray, threshold: float, directions: np.ndarray):
+    def __init__(self, x: Short, keys: np.ndarray, threshold: float, directions: np.ndarray):
         self.x, self.keys, self.threshold, self.directions = x, keys, threshold, directions
-        self.outline, self.sets = outline(x, directions), _Sets(len(x))
+        self.outline, self.sets = self.drawn(x), _Sets(len(x))
+        self.error = float(x.error.max())
+        self.score = np.empty(TILE[0] * TILE[1], np.float32)
+
+    def drawn(self, x: Short) -> np.ndarray:
+        return np.concatenate([outline(x.rows(slice(s, s + 8192)), self.directions) for s in range(0, len(x), 8192)])
 
-    def _candidates(self, drawn: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, drawn: np.ndarray, error: float, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of ``drawn``, held row from s to e) whose outlines don't rule the threshold out."""
-        score = drawn @ self.outline[s:e].T
-        low = np.float32(self.threshold - ROUNDING)
+        score = self.score[: len(drawn) * (e - s)].reshape(len(drawn), e - s)
+        np.matmul(drawn, self.outline[s:e].T, out=score)
+        low = np.float32(self.threshold - ROUNDING - error - self.error)
         rows = np.flatnonzero(score.max(axis=1) >= low)
         a, b = np.nonzero(score[rows] >= low)
         return rows[a], b + s
 
-    def _verified(self, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of the pairs (row of ``y``, held row) reach the threshold."""
+    def _verified(self, y: Short, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (row of ``y``, held row) reach the threshold for sure, and which may reach it."""
         rows, cols = np.unique(a), np.unique(b)
         if len(a) > 0.02 * len(rows) * len(cols):  # dense: one product
-            score = (y[rows] @ self.x[cols].T)[np.searchsorted(rows, a), np.searchsorted(cols, b)]
+            score = (y.rows(rows) @ self.x.rows(cols).T)[np.searchsorted(rows, a), np.searchsorted(cols, b)]
         else:
             score = np.empty(len(a), np.float32)
-            for s in range(0, len(a), 65_536):
-                score[s : s + 65_536] = np.einsum("ij,ij->i", y[a[s : s + 65_536]], self.x[b[s : s + 65_536]])
-        hit = score >= self.threshold + ROUNDING
-        doubt = np.flatnonzero(~hit & (score >= self.threshold - ROUNDING))
-        for s in range(0, len(doubt), 65_536):  # too near to tell in single precision
-            d = doubt[s : s + 65_536]
-            hit[d] = np.einsum("ij,ij->i", y[a[d]].astype(np.float64), self.x[b[d]].astype(np.float64)) >= self.threshold - 1e-7
-        return hit
-
-    def _links(self, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the candidate pairs, linked ones: of a row with a set of held rows at least one, if there is any."""
+            for s in range(0, len(a), 32_768):
+                score[s : s + 32_768] = np.einsum("ij,ij->i", y.rows(a[s : s + 32_768]), self.x.rows(b[s : s + 32_768]))
+        off = y.error[a] + self.x.error[b] + np.float32(ROUNDING)
+        sure = score >= self.threshold + off
+        return sure, ~sure & (score >= self.threshold - off)
+
+    def _links(self, y: Short, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, held row, sure) of the candidate pairs that may be links. Of a row with a set of held rows at least one sure link, if there is any; else all doubtful ones."""
         pair = a * len(self.x) + self.sets.find(b)
         _, first = np.unique(pair, return_index=True)
-        hit = self._verified(y, a[first], b[first])
-        found = [first[hit]]
-        rest = np.flatnonzero(~np.isin(pair, pair[first[hit]]))
-        rest = np.setdiff1d(rest, first)
+        sure, _ = self._verified(y, a[first], b[first])
+        found, rest = first[sure], np.flatnonzero(~np.isin(pair, pair[first[sure]]))
+        doubt = rest[:0]
         if len(rest):
-            found.append(rest[self._verified(y, a[rest], b[rest])])
-        at = np.concatenate(found)
-        return a[at], b[at]
-
-    def within(self) -> None:
+            sure, may = self._verified(y, a[rest], b[rest])
+            found = np.append(found, rest[sure])
+            doubt = rest[may]
+            doubt = doubt[~np.isin(pair[doubt], pair[found])]
+        at = np.append(found, doubt)
+        return a[at], b[at], np.arange(len(at)) < len(found)
+
+    def within(self) -> tuple[np.ndarray, np.ndarray]:
+        """Connects the held rows among each other; gives the pairs that stay in doubt."""
+        left = []
         for s in range(0, len(self.x), TILE[0]):
             top = min(len(self.x), s + TILE[0])
+            y = Short(self.x.codes[s:top], self.x.step[s:top], self.x.error[s:top])
             for t in range(0, top, TILE[1]):
-                a, b = self._candidates(self.outline[s:top], t, min(top, t + TILE[1]))
-                new = (b < a + s)
+                a, b = self._candidates(self.outline[s:top], self.error, t, min(top, t + TILE[1]))
+                new = b < a + s
                 a, b = a[new], b[new]
                 new = self.sets.find(a + s) != self.sets.find(b)  # what is connected already needs no link
                 if new.any():
-                    a, b = self._links(self.x[s:top], a[new], b[new])
-                    self.sets.merge(a + s, b)
-
-    def across(self, y: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One link of each row of ``y`` that has any; the held rows that it links become one set."""
-        first = np.full(len(y), -1)
-        drawn = outline(y, self.directions)
+                    a, b, sure = self._links(y, a[new], b[new])
+                    self.sets.merge(a[sure] + s, b[sure])
+                    left.append((a[~sure] + s, b[~sure]))
+        a, b = (np.concatenate([x[i] for x in left]) if left else np.empty(0, np.int64) for i in (0, 1))
+        open_ = self.sets.find(a) != self.sets.find(b)
+        return self.keys[a[open_]], self.keys[b[open_]]
+
+    def across(self, y: Short, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(held key, key, sure): one sure link of each row of ``y`` that has any, whereupon the held rows that it links are one set, and its doubtful ones."""
+        first, left = np.full(len(y), -1), []
+        drawn, error = self.drawn(y), float(y.error.max())
         for s in range(0, len(y), TILE[0]):
             top = min(len(y), s + TILE[0])
+            part = Short(y.codes[s:top], y.step[s:top], y.error[s:top])
             for t in range(0, len(self.x), TILE[1]):
-                a, b = self._candidates(drawn[s:top], t, min(len(self.x), t + TILE[1]))
+                a, b = self._candidates(drawn[s:top], error, t, min(len(self.x), t + TILE[1]))
                 if len(a):
-                    a, b = self._links(y[s:top], a, b)
-                    fresh = first[a + s] < 0
-                    first[(a + s)[fresh]] = b[fresh]
-                    self.sets.merge(first[a + s], b)
+                    a, b, sure = self._links(part, a, b)
+                    left.append((a[~sure] + s, b[~sure]))
+                    a, b = a[sure] + s, b[sure]
+                    fresh = first[a] < 0
+                    first[a[fresh]] = b[fresh]
+                    self.sets.merge(first[a], b)
+        a, b = (np.concatenate([x[i] for x in left]) if left else np.empty(0, np.int64) for i in (0, 1))
+        open_ = (first[a] < 0) | (self.sets.find(first[a]) != self.sets.find(b))
         has = np.flatnonzero(first >= 0)
-        return self.keys[first[has]], keys[has]
+        held, other = np.append(first[has], b[open_]), np.append(has, a[open_])
+        return self.keys[held], keys[other], np.arange(len(held)) < len(has)
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """(smallest key of its set, key) of all held rows but those smallest ones."""
@@ -335,34 +387,42 @@ def _place(batches: Iterator[pa.RecordBatch], plans: dict[str, Plan], first: dic
             who, block = np.nonzero(visits)
             rows.append((mine[who], first[model] + block * plan.parts + (key[who] % plan.parts), np.full(len(who), 2)))
             at, task, side = (np.concatenate(c) for c in zip(*rows))
+            short = np.empty(b.num_rows, object)
+            short[mine] = Short.of(x).packed()
+            short = pa.array(short, pa.binary())
             for s in range(0, len(at), 20_000):
                 rows_at = pa.array(at[s : s + 20_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(task[s : s + 20_000].astype(np.int32)), pa.array(side[s : s + 20_000].astype(np.int32)), b.column("key").take(rows_at), b.column("unit").take(rows_at)],
-                    ["task", "side", "key", "unit"],
+                    [pa.array(task[s : s + 20_000].astype(np.int32)), pa.array(side[s : s + 20_000].astype(np.int32)), b.column("key").take(rows_at), short.take(rows_at)],
+                    ["task", "side", "key", "short"],
                 )
 
 
 def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (task, side): the rows of a task's block are held; those that visit it stream past them."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[Short, np.ndarray]] = []
     held: _Held | None = None
+    doubts: list[tuple[np.ndarray, np.ndarray]] = []
     at, same = None, False
 
-    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def links(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
     def hold() -> _Held:
-        found = _Held(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), threshold, next(d for end, d in directions if at < end))
+        found = _Held(Short.joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), threshold, next(d for end, d in directions if at < end))
         parts.clear()
         if same:
-            found.within()
+            doubts.append(found.within())
         return found
 
     def close() -> Iterator[pa.RecordBatch]:
         last = hold() if parts else held
         if last is not None:
-            yield links(*last.stars())
+            a, b = last.stars()
+            yield links(a, b, np.ones(len(a), bool))
+        for a, b in doubts:
+            yield links(a, b, np.zeros(len(a), bool))
+        doubts.clear()
 
     for batch in batches:
         where = batch.column("task").to_numpy().astype(np.int64) * 3 + batch.column("side").to_numpy()
@@ -373,9 +433,8 @@ def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[
             piece = batch.slice(s, e - s)
             if where[s] // 3 != at:
                 yield from close()
-                parts.clear()
                 at, same, held = where[s] // 3, where[s] % 3 == 0, None
-            x, keys = matrix(piece.column("unit"), np.float32, len(piece.column("unit")[0].as_py()) // 4), piece.column("key").to_numpy()
+            x, keys = Short.unpacked(piece.column("short")), piece.column("key").to_numpy()
             if where[s] % 3 < 2:
                 parts.append((x, keys))
             elif parts or held:
@@ -384,20 +443,29 @@ def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[
     yield from close()
 
 
+def _decide(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The doubtful pairs whose whole vectors, in double precision, reach the threshold."""
+    for b in batches:
+        if b.num_rows:
+            hit = [float(np.dot(x, y)) >= threshold - 1e-7 for x, y in ((np.frombuffer(v, np.float32).astype(np.float64) for v in p) for p in zip(b.column("x").to_pylist(), b.column("y").to_pylist()))]
+            yield b.select(["a", "b", "sure"]).filter(pa.array(hit, pa.bool_()))
+
+
 def close_links(usable: DataFrame, threshold: float) -> DataFrame:
     """(a, b) keys of linked entries: enough links that entries are connected by them just as by all pairs of cosine >= ``threshold``.
 
     Exact. The entries of a model are cut into cells around a k-center's entries (:class:`Centers`), the cells into blocks of equal size;
     each entry is compared with its own block and visits, of each two blocks one way, those that may hold a partner by two bounds: the plane
-    between the centers, and the angle of a cell's farthest row. Where vectors spread over all directions the bounds rule little out and the work is
-    quadratic; where they lie in clusters, a block meets its neighbours only. Within a task, pairs are first looked at by
-    outlines of a quarter of the dimensions, whose product bounds the cosine from above. No pair list of a group is made: a set of connected rows
-    leaves a block as one star, and a visitor as one link. Pairs that single precision can't tell are decided in double.
+    between the centers, and the angle of a cell's farthest row. Where vectors spread over all directions the bounds rule little out and work and
+    shuffle are quadratic; where they lie in clusters, a block meets its neighbours only. Within a task, pairs are first looked at by
+    outlines of a quarter of the dimensions, whose product bounds the cosine from above. Vectors travel in sixteen bits a dimension
+    with a bound of their error; the pairs that this can't tell are decided from whole vectors, in double. No pair list of a group is
+    made: a set of connected rows leaves a block as one star, and a visitor as one link, besides pairs in doubt between sets.
     """
     spark = usable.sparkSession
     centers = Centers(usable, CELLS)
     if not centers.ids:
-        return spark.createDataFrame([], LINK)
+        return spark.createDataFrame([], "a long, b long")
     counts, least = ({m: np.full(len(u), v) for m, u in centers.units.items()} for v in (0, 1.0))
     rows = usable.select("model_name", F.xxhash64("id").alias("key"), "unit")
     for r in rows.select("model_name", "unit").mapInArrow(partial(_homes, units=centers.units), HOMES).groupBy("model_name", "cell").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect():  # models x CELLS rows
@@ -408,7 +476,13 @@ def close_links(usable: DataFrame, threshold: float) -> DataFrame:
         first[m], total = total, total + p.blocks * p.parts
         directions.append((total, p.directions))
     placed = rows.mapInArrow(partial(_place, plans=plans, first=first), PLACED)
-    return written(placed.repartitionById(total, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(partial(_join, threshold=threshold, directions=directions), LINK), "links")
+    found = written(placed.repartitionById(total, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(partial(_join, threshold=threshold, directions=directions), LINK), "links")
+    doubtful = found.where("not sure")
+    if doubtful.limit(1).count():
+        side = lambda key, name: rows.select(F.col("key").alias(key), F.col("unit").alias(name))
+        decided = doubtful.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(partial(_decide, threshold=threshold), LINK)
+        found = found.where("sure").unionByName(decided)
+    return found.select("a", "b")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

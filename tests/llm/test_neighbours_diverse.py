@@ -1,6 +1,7 @@
 """Neighbours and groups of close entries, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,15 @@ def test_outlines_bound_the_cosine():
     assert o.shape[1] == 17 and (o @ o.T >= x @ x.T - 1e-5).all()
 
 
+def test_short_rows_stay_within_their_error():
+    x = vectors(300, seed=2)
+    short = D.Short.of(x)
+    again = D.Short.unpacked(pa.array(short.packed()))
+    off = np.linalg.norm(again.rows().astype(np.float64) - x, axis=1)
+    assert (off <= again.error + 1e-7).all() and again.error.max() < 1e-4
+    assert len(D.Short.joined([short, again])) == 600
+
+
 def test_sets_merge_many_pairs_at_once():
     r = np.random.default_rng(0)
     pairs = r.integers(0, 300, (200, 2))
@@ -146,7 +156,7 @@ def test_close_groups_edges(spark):
 
 def test_links_near_the_threshold_are_decided_exactly(spark):
     a = np.zeros((2, 8), np.float32)
-    for cos, linked in ((0.95001, True), (0.94999, False)):
+    for cos, linked in ((0.95001, True), (0.94999, False), (0.9500004, True), (0.9499996, False)):
         a[0, 0], a[1, 0], a[1, 1] = 1, cos, np.sqrt(1 - cos * cos)
         assert (D.close_groups(frame(spark, unit(a)), 0.95).count() == 1) is linked
 
