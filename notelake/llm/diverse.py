@@ -27,6 +27,8 @@ LEAST_BLOCKS = 7
 MANY_BLOCKS = 64
 #: Visitors and held rows that are scored at once.
 TILE = (512, 2048)
+#: Pairs in doubt that are broadcast, at most.
+FEW = 20_000
 #: What single precision may add to a similarity's error.
 ROUNDING = 1e-5
 
@@ -478,10 +480,11 @@ def close_links(usable: DataFrame, threshold: float) -> DataFrame:
     placed = rows.mapInArrow(partial(_place, plans=plans, first=first), PLACED)
     found = written(placed.repartitionById(total, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(partial(_join, threshold=threshold, directions=directions), LINK), "links")
     doubtful = found.where("not sure")
-    if doubtful.limit(1).count():
-        side = lambda key, name: rows.select(F.col("key").alias(key), F.col("unit").alias(name))
-        decided = doubtful.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(partial(_decide, threshold=threshold), LINK)
-        found = found.where("sure").unionByName(decided)
+    if n := doubtful.count():
+        few = F.broadcast if n <= FEW else lambda df: df  # few of them go to where the vectors are; many meet them by key
+        first_side = rows.select(F.col("key").alias("a"), F.col("unit").alias("x")).join(few(doubtful), "a")
+        both = rows.select(F.col("key").alias("b"), F.col("unit").alias("y")).join(few(first_side), "b").select("a", "b", "sure", "x", "y")
+        found = found.where("sure").unionByName(both.mapInArrow(partial(_decide, threshold=threshold), LINK))
     return found.select("a", "b")
 
 

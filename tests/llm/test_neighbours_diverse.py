@@ -154,7 +154,9 @@ def test_close_groups_edges(spark):
     assert sorted(map(tuple, D.close_groups(frame(spark, same), 0.95).collect())) == [("e00000", f"e0000{i}") for i in (1, 2, 3)]
 
 
-def test_links_near_the_threshold_are_decided_exactly(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_links_near_the_threshold_are_decided_exactly(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
     a = np.zeros((2, 8), np.float32)
     for cos, linked in ((0.95001, True), (0.94999, False), (0.9500004, True), (0.9499996, False)):
         a[0, 0], a[1, 0], a[1, 1] = 1, cos, np.sqrt(1 - cos * cos)
