@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from notelake.llm.mixing import plain_source
 
-#: Labelled notes that are used for fitting, at most, of the positive and of the negative class; and the longest note among them, in characters.
-LABELLED, LABELLED_CHARS = {1: 1_500, 0: 3_000}, 60_000
+#: Labelled notes that are used for fitting, at most, of the positive and of the negative class; the longest note among them and all of a class together, in characters.
+LABELLED, LABELLED_CHARS, CLASS_CHARS = {1: 1_500, 0: 3_000}, 60_000, 12_000_000
 #: Orders of the n-grams, bits of their hashed index.
 ORDERS, BITS = (2, 3, 4, 5), 19
 #: Share of negative notes that may be labelled wrongly; no more are left out.
@@ -376,15 +376,23 @@ def labels(doc_label: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, doc_label: DataFrame) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled notes: at most LABELLED of each class, by a hash of their id."""
+    """A bounded sample of labelled notes, in order of a hash of their id: of each class at most LABELLED notes and CLASS_CHARS characters,
+    none of more than LABELLED_CHARS. Only these come to the driver."""
     spark = docs.sparkSession
-    voted = labels(doc_label)
+    there = docs.select("doc_id", F.length("text").alias("chars")).where(F.col("chars") <= LABELLED_CHARS)
+    voted = there.join(labels(doc_label), "doc_id")
     order = F.xxhash64(F.lit(17), "doc_id")
-    picked = [r for c, most in LABELLED.items() for r in voted.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(most).collect()]
+    picked = []
+    for c, most in LABELLED.items():
+        room = CLASS_CHARS
+        for r in voted.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(most).collect():
+            if r["chars"] <= room:
+                room -= r["chars"]
+                picked.append((r["doc_id"], c))
     if not picked:
         return [], []
-    wanted = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")  # at most sum(LABELLED) rows
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= LABELLED_CHARS)).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").collect()
+    wanted = spark.createDataFrame(picked, "doc_id long, toxic int")  # at most sum(LABELLED) rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").where(F.col("text").isNotNull()).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from notelake.llm.ranks import salted_rank, text_tokens
 from notelake.session import written
 
-#: The remaining budget that the knapsack closes exactly.
-KNAPSACK_TOKENS = 65_536
+#: The part of a budget that the knapsack fits exactly: at least so many tokens and so many times the longest document, and at most the last.
+LEAST_WINDOW, WINDOW_DOCUMENTS, MOST_WINDOW = 65_536, 16, 1 << 24
 
 PLAN = "mix_id int, source string, weight double, max_repeats int, target_tokens double, source_tokens long, tokens long, documents long, repeats int, extra long, reached_tokens long, cannot_reach boolean"
 
@@ -32,7 +32,7 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     reach = np.zeros(budget + 1, bool)
     reach[0] = True
-    by = np.full(budget + 1, -1, np.int64)
+    by = np.full(budget + 1, -1, np.int32)
     parts: list[tuple[int, int]] = []
     for j in np.argsort(-lengths, kind="stable"):
         length, n = int(lengths[j]), int(counts[j])
@@ -60,26 +60,31 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
-    """How many documents of each length to take so that their tokens come as near to ``budget`` from below as can be.
+    """How many documents of each length to take so that their tokens come near to ``budget`` from below.
 
-    First the same share of every length, rounded down; then single documents in seeded order until the knapsack's
-    size is left; the knapsack closes the rest.
+    The last stretch of the budget, sixteen of the longest documents that fit it (all of the budget, if it isn't longer), is left to the
+    knapsack, which fits it exactly. What comes before is filled with the same share of every length, rounded down, then with
+    documents of lengths in seeded order, as many as are there and still fit. Documents of more than MOST_WINDOW tokens
+    are beyond the knapsack: they are only taken before it.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
+    longest = int(lengths[(lengths <= budget) & (counts > 0)].max(initial=0))
+    window = min(budget, max(LEAST_WINDOW, WINDOW_DOCUMENTS * longest), MOST_WINDOW)
+    take = np.minimum(counts, np.floor(counts * ((budget - window) / total)).astype(np.int64))
     take[lengths <= 0] = 0
     left = budget - int((take * lengths).sum())
     for j in np.random.default_rng(seed).permutation(len(lengths)):
-        if left <= KNAPSACK_TOKENS:
+        if left <= window:
             break
-        if 0 < lengths[j] <= left and take[j] < counts[j]:
-            take[j] += 1
-            left -= int(lengths[j])
-    return take + subset_sum(lengths, counts - take, min(left, KNAPSACK_TOKENS))
+        if lengths[j] > 0:
+            more = min(int(counts[j] - take[j]), left // int(lengths[j]), -(-(left - window) // int(lengths[j])))
+            take[j] += more
+            left -= more * int(lengths[j])
+    return take + subset_sum(lengths, counts - take, min(left, window))
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:

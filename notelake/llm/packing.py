@@ -18,7 +18,11 @@ ITEM = "doc_id long, piece int, pieces int, start long, tokens long"
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """argmin |ax - b| over x >= 0, by the active-set method of Lawson and Hanson."""
+    """argmin |ax - b| over x >= 0, by the active-set method of Lawson and Hanson.
+
+    After ``rounds`` patterns have come in, the fit is as it is then: still non-negative, and each round has bettered it. It
+    is rounded and its residuals are packed anyway, so no item depends on where it stops.
+    """
     n = a.shape[1]
     x, used = np.zeros(n), np.zeros(n, bool)
     scale = max(1.0, float(np.abs(b).max()))

@@ -27,31 +27,18 @@ PIECES = "chunk_key long, piece int, pieces int, start int, end int, overlap int
 
 
 def _boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a cut is thought of, and the cost of each. Weaker kinds are added only where stronger ones are sparse."""
+    """Positions where a cut is thought of, and the cost of each: every boundary of every kind, and steps between signs where there is none for long."""
     n = len(text)
     cost: dict[int, float] = {}
-    strong = 4
-    for k, (price, pattern) in enumerate(BREAKS):
-        if k >= strong:  # clauses, words: only inside gaps
-            at = np.array(sorted([0, n, *cost]))
-            for a, b in [(int(a), int(b)) for a, b in zip(at, at[1:]) if b - a > reach // 4]:
-                for m in pattern.finditer(text, a, b):
-                    if a < m.end() < b:
-                        cost.setdefault(m.end(), price)
-        else:
-            for m in pattern.finditer(text):
-                if 0 < m.end() < n:
-                    cost.setdefault(m.end(), price)
+    for price, pattern in BREAKS:
+        for m in pattern.finditer(text):
+            if 0 < m.end() < n:
+                cost.setdefault(m.end(), price)
     at = np.array(sorted([0, n, *cost]))
-    step, back = max(1, reach // 8), max(1, min(32, reach // 3))
+    step = max(1, reach // 8)
     for a, b in [(int(a), int(b)) for a, b in zip(at, at[1:]) if b - a > reach // 2]:  # no natural boundary for long: between characters
         for p in range(a + step, b, step):
-            q = p
-            while q > a + 1 and p - q < back and _joined(text, q):
-                q -= 1
-            if not (a < q < b) or _joined(text, q):
-                q = p
-            cost.setdefault(q, ANYWHERE)
+            cost.setdefault(_between(text, p, a, reach), ANYWHERE)
     fences = [m.start() for m in FENCE.finditer(text)]
     at = np.array(sorted(cost), dtype=np.int64)
     price = np.array([cost[int(p)] for p in at])
@@ -73,8 +60,16 @@ def _joined(text: str, p: int) -> bool:
     return "\U000e0020" <= b <= "\U000e007f"
 
 
+def _between(text: str, p: int, a: int, reach: int) -> int:
+    """The last place between signs at or before ``p``, after ``a`` and not too far back; ``p`` if there is none."""
+    q, back = p, max(1, min(32, reach // 3))
+    while q > a + 1 and p - q < back and _joined(text, q):
+        q -= 1
+    return p if _joined(text, q) else q
+
+
 def cuts(text: str, size: int, overlap: int) -> list[int]:
-    """Cut positions (the end of each piece but the last), cheapest by boundary costs plus squared imbalance.
+    """Cut positions (the end of each piece but the last), cheapest by boundary costs plus squared imbalance, over all boundary positions.
 
     Piece 1 is text[0:c1], piece i is text[c(i-1)-overlap:ci]; none is longer than ``size``. ``overlap`` is cut to size - 1.
     """
@@ -105,8 +100,11 @@ def cuts(text: str, size: int, overlap: int) -> list[int]:
             best[j], back[j] = total[k] + price[j], i0 + k
         elif head < np.inf:
             best[j], back[j] = head + price[j], 0
-    if not np.isfinite(best[-1]):  # boundaries too far apart: even steps
-        return list(range(size, n, reach))
+    if not np.isfinite(best[-1]):  # boundaries too far apart (long signs moved the steps): as far as each piece may reach
+        ends = [_between(text, size, 0, reach)]
+        while n - ends[-1] > reach:
+            ends.append(_between(text, ends[-1] + reach, ends[-1], reach))
+        return ends
     out, j = [], int(back[-1])
     while j > 0:
         out.append(int(at[j]))
@@ -149,9 +147,9 @@ def split(chunks: DataFrame, configs: DataFrame) -> DataFrame:
 
     A chunk within its maximum is one piece; so is a null content (null text) and a chunk whose configuration is
     unknown or has no positive maximum. Where a window has no natural boundary, cuts fall between visible signs;
-    a sign longer than a piece may be cut. Repeated chunks are split each. Work is per row; the text is never cut short.
+    a sign longer than a piece may be cut. Repeated chunks are split each; of a repeated configuration the greatest sizes hold. Work is per row; the text is never cut short.
     """
-    config = configs.select("config_id", "max_chunk_size", "overlap_size").dropDuplicates(["config_id"])
+    config = configs.groupBy("config_id").agg(F.max(F.struct("max_chunk_size", "overlap_size")).alias("c")).select("config_id", "c.*")
     rows = chunks.select(F.col("chunk_key").cast("long").alias("chunk_key"), "content", "config_id").join(config, "config_id", "left").select("chunk_key", "content", "max_chunk_size", "overlap_size")
     return rows.mapInArrow(_split, PIECES)
 

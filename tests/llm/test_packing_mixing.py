@@ -93,6 +93,13 @@ def test_fit_budget_is_near_and_seeded():
         assert (take == M.fit_budget(lengths, counts, budget, 5)).all()
 
 
+def test_fit_budget_with_long_documents():
+    lengths = np.array([80_000, 90_000, 100_000])
+    assert (M.fit_budget(lengths, np.ones(3, np.int64), 170_000, 1) == [1, 1, 0]).all()
+    assert (M.fit_budget(np.array([90_000, 100_000]), np.full(2, 20), 1_000_000, 1) * [90_000, 100_000]).sum() == 1_000_000
+    assert (M.fit_budget(np.array([100, 900_000]), np.array([1500, 4]), 800_000, 3) == [1500, 0]).all()  # nothing that fits is left out
+
+
 TARGET = "mix_id int, source string, weight double, max_repeats int, size_factor double, tokens long, rank int"
 
 

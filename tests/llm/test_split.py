@@ -21,6 +21,23 @@ def test_pieces(text, size, overlap):
     assert (len(parts) == 1) == (len(text) <= size)
 
 
+def test_weak_boundaries_are_thought_of_beside_strong_ones():
+    at, _ = S._boundaries("aa bb.\ncc dd. ee, ff gg" * 40, 100)
+    assert {3, 7, 10, 14, 18, 21} <= set(at.tolist())
+
+
+def test_long_signs_stay_whole_where_steps_are_even():
+    text = "👩\u200d👩\u200d👧" * 60
+    parts = S.pieces(text, 23, 0)
+    assert all((s % 5, e % 5) == (0, 0) for s, e in parts) and parts[-1][1] == len(text)
+
+
+def test_of_a_repeated_configuration_the_greatest_sizes_hold(spark):
+    chunks = spark.createDataFrame([(1, "a b " * 20, 7)], "chunk_key long, content string, config_id int")
+    configs = spark.createDataFrame([(7, 20, 3), (7, 40, 5), (7, None, 9)], "config_id int, max_chunk_size int, overlap_size int")
+    assert {r.overlap for r in S.split(chunks, configs).where("piece > 0").collect()} == {5}
+
+
 def brute(text, size, overlap):
     """Cost of the best cut over all subsets of the boundaries that are thought of."""
     reach = size - overlap
