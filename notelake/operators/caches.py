@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.operators import ordered
+
 
 def cache_key(*parts: Column) -> Column:
     """SHA-256 over the parts, nulls told from empty texts."""
@@ -61,7 +63,8 @@ def priority(base: Column, typing: Column, idle_ms: Column, recency: Column, loa
 
 def deduplicated_requests(requests: DataFrame, by: list[str], at: str, within: int) -> DataFrame:
     """Each request with the first one of its burst: requests with the same keys, each within so many seconds of the one before."""
-    w = Window.partitionBy(*by).orderBy(at, "request_id")
-    new = F.coalesce((F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp")) > within * 1_000_000).cast("int"), F.lit(1))
-    burst = requests.withColumn("_new", new).withColumn("_b", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return burst.withColumn("served_by", F.first("request_id").over(Window.partitionBy(*by, "_b").orderBy(at, "request_id"))).drop("_b")
+    order = [at, "request_id"]
+    rows = ordered.preceding(ordered.in_slices(requests, by, at), order, F.col(at), 1)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    new = F.coalesce(micros(F.col(at)) - micros(F.get("_before", F.lit(0))["v"]) > within * 1_000_000, F.lit(True))
+    return ordered.carried(rows.withColumn("_new", new), order, F.when(F.col("_new"), F.col("request_id")), "served_by").select(*requests.columns, "served_by")

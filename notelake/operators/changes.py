@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.paths import plain_path
+from notelake.session import written
 
 #: today's names of change types and the two older ones.
 CHANGE_TYPES = {"created": "created", "modified": "modified", "deleted": "deleted", "moved": "moved", "removed": "deleted", "renamed": "moved"}
 #: Epoch values beyond this are milliseconds (as seconds it is the year 5138).
 MILLISECONDS_FROM = 100_000_000_000
 
-STATE = "file_path string, alive boolean, seen_at long, seen_seq long, seen_step int, content_hash string, hash_at long, hash_seq long, hash_step int, bucket int"
+#: Rows of folded states that one bucket takes in: its database holds no more paths than that and needs no disk.
+BUCKET_ROWS = 250_000
+
+STATE = "file_path string, alive boolean, seen_at long, seen_seq long, seen_step int, content_hash string, hash_at long, hash_seq long, hash_step int"
 
 
 def whole_seconds(at: Column) -> Column:
@@ -65,10 +69,10 @@ def _upsert(batches: Iterator[pa.RecordBatch], memory_mb: int, flush_rows: int |
     """
     import duckdb
 
-    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "preserve_insertion_order": False})
+    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "preserve_insertion_order": False, "temp_directory": ""})  # never a folder of the machine
     db.execute(
         "CREATE TABLE state (file_path VARCHAR PRIMARY KEY, alive BOOLEAN, seen_at BIGINT, seen_seq BIGINT, seen_step INTEGER, "
-        "content_hash VARCHAR, hash_at BIGINT, hash_seq BIGINT, hash_step INTEGER, bucket INTEGER)"
+        "content_hash VARCHAR, hash_at BIGINT, hash_seq BIGINT, hash_step INTEGER)"
     )
     later = "(excluded.seen_at, excluded.seen_seq, excluded.seen_step, excluded.alive) > (state.seen_at, state.seen_seq, state.seen_step, state.alive)"
     fresher = (
@@ -82,8 +86,8 @@ def _upsert(batches: Iterator[pa.RecordBatch], memory_mb: int, flush_rows: int |
     )
     # an INSERT may touch a key once: a batch is folded to one row per path by the same two orders before it is upserted
     fold = (
-        "SELECT file_path, s.alive, s.seen_at, s.seen_seq, s.seen_step, h.content_hash, h.hash_at, h.hash_seq, h.hash_step, bucket FROM ("
-        "SELECT file_path, max(bucket) AS bucket, "
+        "SELECT file_path, s.alive, s.seen_at, s.seen_seq, s.seen_step, h.content_hash, h.hash_at, h.hash_seq, h.hash_step FROM ("
+        "SELECT file_path, "
         "arg_max({'alive': alive, 'seen_at': seen_at, 'seen_seq': seen_seq, 'seen_step': seen_step}, {'a': seen_at, 'b': seen_seq, 'c': seen_step, 'd': alive}) AS s, "
         "arg_max({'content_hash': content_hash, 'hash_at': hash_at, 'hash_seq': hash_seq, 'hash_step': hash_step}, {'a': hash_at, 'b': hash_seq, 'c': hash_step, 'd': content_hash}) "
         "FILTER (content_hash IS NOT NULL) AS h FROM batch GROUP BY file_path)"
@@ -108,14 +112,14 @@ def apply_changes(events: DataFrame, buckets: int | None = None, memory_mb: int
     """State table (tombstones included) after all events of :func:`path_events`, in whatever order and however often they came.
 
     Two rounds of the same upsert: each input partition folds its own rows first, so a path with a third of all
-    changes leaves every partition as one row; then states go to their bucket by path and are upserted there.
-    The merge is commutative, associative and idempotent. An empty feed gives an empty state.
+    changes leaves every partition as one row; the folded states are written, and their number says how many buckets are needed.
+    Then states go to their bucket by path and are upserted there. The merge is commutative, associative and idempotent. An
+    empty feed gives an empty state.
     """
     spark = events.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = events.withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int"))
-    local = rows.mapInArrow(partial(_upsert, memory_mb=memory_mb, flush_rows=400_000), STATE)
-    return local.repartition(n, "bucket").mapInArrow(partial(_upsert, memory_mb=memory_mb, flush_rows=None), STATE)
+    local = written(events.mapInArrow(partial(_upsert, memory_mb=memory_mb, flush_rows=BUCKET_ROWS), STATE), "folded")
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-local.count() // BUCKET_ROWS))
+    return local.repartition(n, F.xxhash64("file_path")).mapInArrow(partial(_upsert, memory_mb=memory_mb, flush_rows=None), STATE)
 
 
 def current_files(state: DataFrame) -> DataFrame:

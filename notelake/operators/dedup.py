@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,10 @@ from notelake.operators.search import block_search
 from notelake.session import written
 
 
+#: Open pairs that one task may settle.
+FEW_PAIRS = 2_000_000
+
+
 def digest(*columns: str) -> Column:
     """SHA-256 of the columns together: what is grouped and shuffled in place of whole texts."""
     return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
@@ -42,31 +50,51 @@ def close_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     return hits.where(F.col("query") < F.col("id")).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
 
 
-def greedy_clusters(entries: DataFrame, threshold: float, order: Column | None = None, rounds: int = 60) -> DataFrame:
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy order itself over pairs (a, b) that come sorted by a: who is taken by an earlier one that is not taken itself."""
+    taken: set[str] = set()
+    for batch in batches:
+        fresh = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            if a not in taken and b not in taken:
+                taken.add(b)
+                fresh.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.string())], ["id"])
+
+
+def taken_ids(pairs: DataFrame) -> DataFrame:
+    """(id) of the entries that an earlier one takes, by pairs (a, b), a < b: the entries that are left take all their later ones, in id order.
+
+    Rounds while the pairs are many: an entry without an earlier open one takes its later ones; pairs with a taken entry are
+    settled. Once no more than FEW_PAIRS are open, one task goes through them in order. Ids that say nothing about
+    similarity (hashes) settle in about the logarithm of their number of rounds; however many it takes, all are settled.
+    """
+    open_, found = pairs.select("a", "b"), []
+    while (n := open_.count()) > FEW_PAIRS:
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        now = written(open_.join(first, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "taken")
+        found.append(now)
+        open_ = written(open_.join(now.withColumnRenamed("id", "a"), "a", "left_anti").join(now.withColumnRenamed("id", "b"), "b", "left_anti"), "open")
+    if n:
+        found.append(open_.repartition(1).sortWithinPartitions("a", "b").mapInArrow(_in_order, "id string"))
+    if not found:
+        return pairs.select(F.col("b").alias("id")).limit(0)
+    return written(reduce(DataFrame.unionByName, found), "taken")
+
+
+def greedy_clusters(entries: DataFrame, threshold: float) -> DataFrame:
     """(seed, member, similarity): clusters in the greedy way, seeds taken in id order, each taking all free entries at or above the threshold.
 
-    Not transitive. Exact copies of a vector are taken together, so a hot group of copies makes no pairs. Found in rounds that are distributed: an entry whose earlier close entries are all decided to be members is a seed; an
-    entry with an earlier seed is a member of the first one. The pair list is the exact similarity join.
+    Not transitive. Exact copies of a vector are taken together, so a hot group of copies makes no pairs. The pair list is the exact
+    similarity join; :func:`taken_ids` settles it, and each member goes to its first close entry that is not taken.
     """
     usable = entries.select(F.col("id").cast("string").alias("id"), "vector").where("id is not null").withColumn("h", vector_hash(F.col("vector")))
     copies = written(usable.select("h", "id"), "copies")
     firsts = copies.groupBy("h").agg(F.min("id").alias("first"))
     distinct = written(usable.join(firsts, "h").where("id = first").select("id", "vector").dropDuplicates(["id"]), "distinct")
     pairs = written(close_pairs(distinct, threshold), "pairs")
-    ids = distinct.select("id")
-    seeds = written(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "seeds")
-    open_ = written(pairs.select(F.col("b").alias("id")).distinct(), "open")
-    for _ in range(rounds):
-        taken = open_.join(pairs.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-        left = written(open_.join(taken, "id", "left_anti"), "open")
-        if not left.limit(1).count():
-            break
-        blocked = pairs.join(left.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        fresh = left.join(blocked, "id", "left_anti")
-        seeds = written(seeds.unionByName(fresh), "seeds")
-        open_ = written(left.join(seeds, "id", "left_anti"), "open")
-    member = pairs.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").join(seeds.withColumnRenamed("id", "b"), "b", "left_anti")
-    found = member.groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("m")).select(F.col("m.a").alias("seed"), F.col("b").alias("member"), F.col("m.similarity").alias("similarity"))
+    taken = taken_ids(pairs)
+    found = pairs.join(taken.withColumnRenamed("id", "a"), "a", "left_anti").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("m")).select(F.col("m.a").alias("seed"), F.col("b").alias("member"), F.col("m.similarity").alias("similarity"))
     # a copy goes where the first one of its vector goes, or to that one if it is a seed
     twins = copies.join(firsts, "h").where("id <> first").select(F.col("first").alias("member"), "id").distinct()
     if threshold > 1 or not twins.limit(1).count():

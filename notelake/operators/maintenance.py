@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions.paths import plain_path
 from notelake.functions.vectors import is_zero
 from notelake.operators import dedup
-from notelake.operators.changes import change_kind
+from notelake.operators.changes import change_kind, whole_seconds
 from notelake.operators.metrics import index_health
 from notelake.sources.store import VersionedStore
 
@@ -37,10 +38,11 @@ def upsert(rows: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
 
 def moves_apart(changes: DataFrame) -> DataFrame:
     """A move as the deletion of ``file_path`` (step 0) and the creation of ``moved_to`` (step 1), so a move onto itself leaves the file. Adds ``step``;
-    ``change_type`` becomes the canonical one, rows of unknown type are void."""
+    ``change_type`` becomes the canonical one, rows of unknown type are void; paths come in plain form, ``detected_at`` (if there) in whole seconds."""
     rest = [c for c in changes.columns if c not in ("file_path", "moved_to", "change_type")]
     event = lambda path, kind, step: F.struct(path.alias("file_path"), kind.alias("change_type"), F.lit(step).alias("step"))
-    known = changes.withColumn("change_type", change_kind(F.col("change_type"))).where("change_type is not null")
+    plain = {c: plain_path(F.col(c)) for c in ("file_path", "moved_to")} | ({"detected_at": whole_seconds(F.col("detected_at"))} if "detected_at" in rest else {})
+    known = changes.withColumns(plain | {"change_type": change_kind(F.col("change_type"))}).where("change_type is not null")
     moved = F.array(event(F.col("file_path"), F.lit("deleted"), 0), event(F.col("moved_to"), F.lit("created"), 1))
     events = F.when(F.col("change_type") == "moved", moved).otherwise(F.array(event(F.col("file_path"), F.col("change_type"), 0)))
     return known.select(*rest, F.explode(events).alias("e")).select("e.*", *rest).where("file_path is not null")

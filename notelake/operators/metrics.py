@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.operators import ordered
+from notelake.session import written
+
 
 def average_metrics(ops: DataFrame, missing_as_zero: bool = False) -> DataFrame:
     """Per operation type: count and mean duration; rows without a duration are left out of the mean, or count as 0."""
@@ -31,18 +34,24 @@ def resource_summary(samples: DataFrame, column: str) -> DataFrame:
     return samples.agg(F.avg(column).alias("mean"), F.max(column).alias("peak"), F.sum(column).alias("total"), F.count(column).alias("samples"))
 
 
-def index_percentiles(ops: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """Count, min, max, mean, population deviation, and sorted[n * p / 100] for each p (not the same as percentile_disc).
+def index_percentiles(ops: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95, 99), slices: int = 64) -> DataFrame:
+    """Count, min, max, mean, population deviation, and sorted[n * p / 100] for each p (not the same as percentile_disc). Null groups are one group.
 
-    Exact and distributed: equal values are counted first (map-side), so a window runs over distinct values; a group that has a third of
-    all rows costs its number of distinct values.
+    Exact and distributed: equal values are counted first (map-side); the distinct values of a group are cut into slices of about equal
+    size by approximate quantiles, each slice is sorted by itself and knows how many rows the slices before it hold. So a group
+    that has a third of all rows is sorted by as many tasks as it has slices.
     """
-    counts = ops.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by)
-    placed = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 100), F.col(value))).alias(f"p{p}") for p in percents]
-    stats = ops.groupBy(by).agg(F.count(value).alias("samples"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
-    return stats.join(placed.groupBy(by).agg(*picks), by, "left")
+    counts = written(ops.where(F.col(value).isNotNull()).groupBy(F.struct(by).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), "values")
+    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    edges = counts.groupBy("g").agg(F.percentile_approx("v", steps, 10 * slices).alias("edges"))
+    cut = counts.join(edges, "g").select("g", "v", "c", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("slice"))
+    sizes = cut.groupBy("g", "slice").agg(F.sum("c").alias("rows"))
+    w = Window.partitionBy("g")
+    starts = sizes.select("g", "slice", (F.sum("rows").over(w.orderBy("slice")) - F.col("rows")).alias("before"), F.sum("rows").over(w).alias("n"))  # at most groups x slices rows
+    placed = cut.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "slice").orderBy("v"))).join(starts, ["g", "slice"])
+    picks = [F.min(F.when(F.col("before") + F.col("upto") > F.floor(F.col("n") * p / 100), F.col("v"))).alias(f"p{p}") for p in percents]
+    stats = ops.groupBy(F.struct(by).alias("g")).agg(F.count(value).alias("samples"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    return stats.join(placed.groupBy("g").agg(*picks), "g", "left").select(F.col(f"g.{by}").alias(by), *[c for c in stats.columns if c != "g"], *[f"p{p}" for p in percents])
 
 
 def stability(ops: DataFrame, by: str, value: str, at: list[str], last: int = 5, most_cv: float = 15.0) -> DataFrame:
@@ -139,12 +148,17 @@ def index_health(entries: int, files: int, size_bytes: int) -> dict[str, object]
 
 
 def growth_runs(samples: DataFrame, by: str, value: str, at: list[str], least: int = 3) -> DataFrame:
-    """Longest run of consecutive growths per group, and whether it is a suspected leak. Ordered windows per group; ties in time are settled by the rest of ``at``."""
-    w = Window.partitionBy(by).orderBy(*at)
-    grown = samples.withColumn("_up", F.coalesce((F.col(value) > F.lag(value).over(w)).cast("int"), F.lit(0)))
-    runs = grown.withColumn("_run", F.sum(1 - F.col("_up")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lengths = runs.groupBy(by, "_run").agg(F.sum("_up").alias("n"))
-    return lengths.groupBy(by).agg(F.max("n").alias("longest_growth")).withColumn("leak", F.col("longest_growth") >= least)
+    """Longest run of consecutive growths per group, and whether it is a suspected leak. Ties in time are settled by the rest of ``at``.
+
+    A run lies between two rows that didn't grow; the gaps between the positions of these are its length.
+    """
+    cut = ordered.numbered(ordered.preceding(ordered.in_slices(samples.select(by, value, *at), [by], at[0]), at, F.col(value), 1), at)
+    grown = F.coalesce(F.col(value) > F.get("_before", F.lit(0))["v"], F.lit(False))
+    stops = written(cut.select("_g", "_slice", "_position", (~grown).alias("_stop")), "positions")
+    gaps = ordered.preceding(stops.where("_stop"), ["_position"], F.col("_position"), 1).select("_g", (F.col("_position") - F.get("_before", F.lit(0))["v"] - 1).alias("n"), "_position")
+    longest = gaps.groupBy("_g").agg(F.max("n").alias("inside"), F.max("_position").alias("last")).join(stops.groupBy("_g").agg(F.max("_position").alias("rows")), "_g")
+    run = F.greatest(F.coalesce("inside", F.lit(0)), F.col("rows") - F.col("last"))
+    return longest.select(F.col(f"_g.{by}").alias(by), run.cast("long").alias("longest_growth")).withColumn("leak", F.col("longest_growth") >= least)
 
 
 def window_comparison(samples: DataFrame, by: str, value: str, at: list[str], size: int = 10) -> DataFrame:
@@ -168,30 +182,47 @@ def slow_share(ops: DataFrame, target: float, by: str = "operation_type") -> Dat
     return ops.groupBy(by).agg(F.avg((F.col("duration_ms") > target * 1.3).cast("int")).alias("slow_share"))
 
 
-def moving_average(ops: DataFrame, by: str, value: str, at: list[str], alpha: float, last: int = 200) -> DataFrame:
-    """Exponential moving average after the last value per group, over its last ``last`` values: what is older weighs less than (1 - alpha)^last."""
-    w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in at])
-    recent = ops.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last)
-    values = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("k"), F.col(value).alias("v")))), lambda s: s["v"])
-    folded = F.aggregate(F.slice("_v", 2, last), F.element_at("_v", 1).cast("double"), lambda acc, x: acc * (1 - alpha) + x * alpha)
-    return recent.groupBy(by).agg(values.alias("_v")).select(by, folded.alias("average"))
+def moving_average(ops: DataFrame, by: str, value: str, at: list[str], alpha: float) -> DataFrame:
+    """Exponential moving average after the last value per group, begun with its first one; null values are passed over.
+
+    The sum of all values, each weighted by alpha (1 - alpha)^(values after it), the first one without alpha; summed slice by
+    slice, each sum then aged by the values of the later slices.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    cut = ordered.in_slices(ops.where(F.col(value).isNotNull()).select(by, *at, F.col(value).cast("double").alias("_v")), [by], at[0])
+    w = Window.partitionBy("_g", "_slice")
+    after = F.row_number().over(w.orderBy(*[F.desc(c) for c in at])) - 1
+    aged = lambda n: F.when(n == 0, 1.0).otherwise(F.pow(F.lit(1.0 - alpha), n))
+    placed = cut.withColumn("_after", after)
+    sums = placed.groupBy("_g", "_slice").agg(F.sum(F.col("_v") * alpha * aged(F.col("_after"))).alias("_sum"), F.max_by("_v", "_after").alias("_oldest"), F.count(F.lit(1)).alias("_rows"))  # groups x slices rows
+    g = Window.partitionBy("_g")
+    later = F.coalesce(F.sum("_rows").over(g.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = F.when(F.col("_slice") == F.min("_slice").over(g), F.col("_oldest") * (1 - alpha) * aged(F.col("_rows") - 1)).otherwise(F.lit(0.0))
+    each = sums.select("_g", ((F.col("_sum") + begun) * aged(later)).alias("_part"))
+    return each.groupBy("_g").agg(F.sum("_part").alias("average")).select(F.col(f"_g.{by}").alias(by), "average")
 
 
 def throughput(items: Column, milliseconds: Column) -> Column:
     return F.when(milliseconds > 0, items / (milliseconds / 1000)).otherwise(F.lit(0.0))
 
 
-def co_access(accesses: DataFrame, by: str, item: str, at: list[str], within: int = 4) -> DataFrame:
-    """How often two items are used within a few accesses of each other, per pair (the earlier first)."""
-    w = Window.partitionBy(by).orderBy(*at)
-    pairs = F.array(*[F.struct(F.lag(item, k).over(w).alias("a"), F.col(item).alias("b")) for k in range(1, within + 1)])
-    return accesses.select(pairs.alias("p")).select(F.explode("p").alias("p")).where("p.a is not null and p.a <> p.b").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("times"))
+def co_access(accesses: DataFrame, by: str, item: str, at: list[str], within: int = 4, seconds: float | None = None) -> DataFrame:
+    """How often two items are used within a few accesses of each other, per pair (the earlier first); with ``seconds``, only where the first of ``at``, a
+    timestamp, lies no further apart."""
+    rows = ordered.preceding(ordered.in_slices(accesses.select(by, item, *[c for c in at if c not in (by, item)]), [by], at[0]), at, F.struct(F.col(item).alias("item"), F.col(at[0]).alias("at")), within)
+    seen = F.col("_before")
+    if seconds is not None:
+        micros = lambda c: F.unix_micros(c.cast("timestamp"))
+        seen = F.filter("_before", lambda x: micros(F.col(at[0])) - micros(x["v"]["at"]) <= int(seconds * 1_000_000))
+    pairs = rows.select(F.explode(F.transform(seen, lambda x: x["v"]["item"])).alias("a"), F.col(item).alias("b"))
+    return pairs.where("a is not null and a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
 def transitions(accesses: DataFrame, by: str, item: str, at: list[str]) -> DataFrame:
     """How often one item follows another."""
-    w = Window.partitionBy(by).orderBy(*at)
-    return accesses.select(F.lag(item).over(w).alias("previous"), F.col(item).alias("next")).where("previous is not null").groupBy("previous", "next").agg(F.count(F.lit(1)).alias("times"))
+    rows = ordered.preceding(ordered.in_slices(accesses.select(by, item, *[c for c in at if c not in (by, item)]), [by], at[0]), at, F.col(item), 1)
+    return rows.select(F.get("_before", F.lit(0))["v"].alias("previous"), F.col(item).alias("next")).where("previous is not null").groupBy("previous", "next").agg(F.count(F.lit(1)).alias("times"))
 
 
 def hour_histogram(accesses: DataFrame, item: str, at: str) -> DataFrame:

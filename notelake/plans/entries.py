@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.paths import plain_path
 from notelake.operators import caches, dedup, lookup, maintenance, orphans
-from notelake.plans import as_bigint
+from notelake.plans import EVENTS, KIND, PLAIN, SECONDS, as_bigint
 from notelake.session import load
 
 _FROM, _TO, _AGE = 1_710_000_000, 1_720_000_000, 1_715_000_000
@@ -134,7 +134,7 @@ def duplicate_counts(spark, folder):
 
 
 def orphans_by_file(spark, folder):
-    files = orphans.latest_listing(load(spark, folder, "file_info")).where("not is_deleted and not is_dir").select("path")
+    files = orphans.latest_listing(load(spark, folder, "file_info")).where("not coalesce(is_deleted, false) and not coalesce(is_dir, false)").select("path")
     rows = _live(spark, folder).where("file_path is not null").select("id", plain_path(F.col("file_path")).alias("path"))
     return rows.join(files, "path", "left_anti").select("id", "path")
 
@@ -174,10 +174,11 @@ def replace_by_file(spark, folder):
 
 
 def apply_change_batch(spark, folder):
-    changes = load(spark, folder, "change_record").where("detected_at is not null").select("file_path", "moved_to", "change_type", "detected_at", "watch_seq", "record_id")
-    last = maintenance.latest_changes(maintenance.moves_apart(changes), "file_path", ["detected_at", "watch_seq", "record_id", "step"], "change_type")
-    fresh = load(spark, folder, "note_chunk").where("file_path is not null").select(F.col("chunk_key").cast("string").alias("id"), "file_path")
-    return maintenance.apply_batch(_live(spark, folder).select("id", "file_path"), last, fresh).select("id")
+    """The changes of the feed applied to the entries by file; moves are a deletion and a creation. Void are rows without path or time."""
+    changes = load(spark, folder, "change_record").where("file_path is not null and detected_at is not null").select("file_path", "moved_to", "change_type", "detected_at", "watch_seq", "record_id")
+    last = maintenance.latest_changes(maintenance.moves_apart(changes), "file_path", ["detected_at", "watch_seq", "step", "record_id"], "change_type")
+    fresh = load(spark, folder, "note_chunk").where("file_path is not null").select(F.col("chunk_key").cast("string").alias("id"), plain_path(F.col("file_path")).alias("file_path"))
+    return maintenance.apply_batch(_live(spark, folder).select("id", plain_path(F.col("file_path")).alias("file_path")), last, fresh).select("id")
 
 
 def integrity_report(spark, folder):
@@ -210,7 +211,7 @@ def set_intersection(spark, folder):
 
 _L = "l AS (SELECT * FROM embedding_entry WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, vector DESC NULLS LAST, file_path DESC NULLS LAST, chunk_id DESC NULLS LAST, created_at DESC NULLS LAST, content_preview DESC NULLS LAST, text_length DESC NULLS LAST, model_name DESC NULLS LAST, text_hash DESC NULLS LAST) = 1)"
 _W = f"WITH {_L} "
-_P = "nfc_normalize(array_to_string(list_filter(string_split(replace({0}, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/'))"
+_P = PLAIN
 _BLANK = "coalesce(length(trim({0})), 0) = 0"
 _RULES = {
     **{c: _BLANK.format(c) for c in ("id", "file_path", "chunk_id", "model_name")}, "text_hash": "coalesce(length(text_hash), 0) <> 64", "text_length": "coalesce(text_length, 0) <= 0",
@@ -218,7 +219,7 @@ _RULES = {
 }
 _FOOT = "4 * coalesce(len(vector), 0) + " + " + ".join(f"coalesce(strlen({c}), 0)" for c in ("id", "file_path", "chunk_id", "content_preview", "model_name", "text_hash")) + " + coalesce(list_sum(list_transform(map_entries(custom_metadata), lambda e: coalesce(strlen(e.key), 0) + coalesce(strlen(e.value), 0))), 0) + 40"
 _DUP = "WITH g AS (SELECT text, min(doc_id) AS f, count(DISTINCT doc_id) AS n, max(doc_id) AS z FROM documents WHERE text IS NOT NULL GROUP BY text) "
-_FILES = f"f AS (SELECT {_P.format('path')} AS p, max((listed_at, modified, size, is_dir, is_deleted)) AS r FROM file_info WHERE path IS NOT NULL GROUP BY 1), ok AS (SELECT p FROM f WHERE NOT r[4] AND NOT r[5])"
+_FILES = f"f AS (SELECT {_P.format('path')} AS p, max((listed_at, modified, size, is_dir, is_deleted)) AS r FROM file_info WHERE path IS NOT NULL GROUP BY 1), ok AS (SELECT p FROM f WHERE NOT coalesce(r[4], false) AND NOT coalesce(r[5], false))"
 _ORPH = f"WITH {_L}, {_FILES} SELECT id, {_P.format('file_path')} AS path FROM l WHERE file_path IS NOT NULL AND {_P.format('file_path')} NOT IN (SELECT p FROM ok)"
 
 QUERIES = {f.__name__: f for f in (
@@ -260,7 +261,11 @@ SQL = {
     "delete_older": _W + f"SELECT id FROM l WHERE created_at IS NULL OR created_at >= {_AGE}",
     "upsert_entries": _W + "SELECT model_name, count(*) AS entries, max(CASE WHEN model_name = 'quill-embed-xs' THEN 2000000000 ELSE updated_at END) AS newest FROM l GROUP BY model_name",
     "replace_by_file": _W + ", n AS (SELECT sha256(concat_ws(':', file_path, chunk_id, CAST(chunk_key AS VARCHAR))) AS id, file_path FROM note_chunk WHERE content IS NOT NULL AND file_path IS NOT NULL) SELECT id FROM l WHERE file_path IS NULL OR file_path NOT IN (SELECT file_path FROM n) UNION ALL SELECT id FROM n",
-    "apply_change_batch": _W + ", c AS (SELECT file_path, CASE lower(trim(change_type)) WHEN 'removed' THEN 'deleted' ELSE lower(trim(change_type)) END AS k, detected_at, watch_seq, record_id FROM change_record WHERE detected_at IS NOT NULL AND file_path IS NOT NULL), m AS (SELECT file_path, arg_max(k, (detected_at, coalesce(watch_seq, -1), record_id)) AS k FROM c WHERE k IN ('created', 'modified', 'deleted') GROUP BY file_path) SELECT id FROM l WHERE file_path IS NULL OR file_path NOT IN (SELECT file_path FROM m) UNION ALL SELECT CAST(chunk_key AS VARCHAR) FROM note_chunk JOIN m USING (file_path) WHERE k <> 'deleted'",
+    "apply_change_batch": _W + f""", c AS (SELECT {KIND} AS k, {_P.format('file_path')} AS file_path, {_P.format('moved_to')} AS moved_to, {SECONDS} AS s, coalesce(watch_seq, -1) AS q, record_id
+            FROM change_record WHERE detected_at IS NOT NULL AND file_path IS NOT NULL), {EVENTS},
+        m AS (SELECT file_path, arg_max(k, (s, q, step, record_id)) AS k FROM ev GROUP BY file_path), p AS (SELECT id, {_P.format('file_path')} AS file_path FROM l),
+        n AS (SELECT chunk_key, {_P.format('file_path')} AS file_path FROM note_chunk WHERE file_path IS NOT NULL)
+        SELECT id FROM p WHERE file_path IS NULL OR file_path NOT IN (SELECT file_path FROM m) UNION ALL SELECT CAST(chunk_key AS VARCHAR) FROM n JOIN m USING (file_path) WHERE k <> 'deleted'""",
     "integrity_report": "WITH a AS (SELECT DISTINCT id FROM embedding_entry WHERE id IS NOT NULL), b AS (SELECT DISTINCT entry_id AS id FROM search_request WHERE entry_id IS NOT NULL) SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS indexed_rows, count(*) FILTER (b.id IS NULL) AS orphaned_rows, count(*) FILTER (a.id IS NULL) AS missing_rows FROM a FULL JOIN b ON a.id = b.id",
     "corruption_report": _W + ", x AS (SELECT vector IS NULL OR len(vector) = 0 OR len(list_filter(vector, lambda x: x IS NOT NULL AND x = 0)) = len(vector) AS v, " + " OR ".join(_BLANK.format(c) for c in ("file_path", "chunk_id", "model_name")) + " AS m FROM l) SELECT count(*) AS rows, count(*) FILTER (v) AS bad_vectors, count(*) FILTER (m) AS empty_metadata, count(*) FILTER (v OR m) AS corrupt, round(count(*) FILTER (v OR m) / count(*), 6) AS corrupt_share FROM x",
     "cache_hits_and_misses": "WITH d AS (SELECT doc_id, sha256(text) AS key FROM documents WHERE text IS NOT NULL) SELECT doc_id, key IN (SELECT key FROM d WHERE doc_id IN (SELECT doc_id FROM doc_label)) AS hit FROM d",

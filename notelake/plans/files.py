@@ -27,7 +27,7 @@ def listing_sorted(spark, folder):
 
 
 def listing_by_size(spark, folder):
-    return vault.sorted_listing(_files(spark, folder).where("size is not null").select("path", "name", "is_dir", "modified", "size").distinct(), "size").select("path", "size")
+    return vault.sorted_listing(_files(spark, folder).select("path", "name", "is_dir", "modified", "size").distinct(), "size").select("path", "size")
 
 
 def listing_page(spark, folder):
@@ -44,7 +44,7 @@ def folder_list(spark, folder):
 
 
 def vault_statistics(spark, folder):
-    return vault.statistics(orphans.latest_listing(_files(spark, folder)).where("not is_deleted"))
+    return vault.statistics(orphans.latest_listing(_files(spark, folder)).where("not coalesce(is_deleted, false)"))
 
 
 def path_parts(spark, folder):
@@ -66,8 +66,8 @@ def fuzzy_top(spark, folder):
 
 
 def snapshot_diff(spark, folder):
-    rows = orphans.latest_listing(_files(spark, folder).where("listed_at < '2024-07-01'")).where("not is_deleted and not is_dir")
-    later = orphans.latest_listing(_files(spark, folder)).where("not is_deleted and not is_dir")
+    rows = orphans.latest_listing(_files(spark, folder).where("listed_at < '2024-07-01'")).where("not coalesce(is_deleted, false) and not coalesce(is_dir, false)")
+    later = orphans.latest_listing(_files(spark, folder)).where("not coalesce(is_deleted, false) and not coalesce(is_dir, false)")
     return vault.snapshot_changes(rows, later)
 
 
@@ -127,16 +127,16 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "latest_listing": _F + " SELECT path, size, is_dir, is_deleted FROM f",
     "listing_sorted": "SELECT path, name, is_dir FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info) ORDER BY is_dir DESC, lower(name), path",
-    "listing_by_size": "SELECT path, size FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info WHERE size IS NOT NULL) ORDER BY is_dir DESC, size DESC, path",
+    "listing_by_size": "SELECT path, size FROM (SELECT DISTINCT path, name, is_dir, modified, size FROM file_info) ORDER BY is_dir DESC, size DESC, path",
     "listing_page": "SELECT path, name FROM (SELECT DISTINCT path, name FROM file_info) ORDER BY path, name LIMIT 25 OFFSET 100",
     "folder_tree": _F + " SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, len(string_split(path, '/')) - 1 AS depth, is_dir FROM f",
     "folder_list": _F + ", p AS (SELECT string_split(path, '/') AS s FROM f) SELECT DISTINCT array_to_string(s[1:i], '/') AS path FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)",
-    "vault_statistics": _F + " SELECT count(*) FILTER (NOT is_dir AND ends_with(lower(path), '.md')) AS notes, count(*) FILTER (is_dir) AS folders, sum(size) FILTER (NOT is_dir) AS bytes FROM f WHERE NOT is_deleted",
+    "vault_statistics": _F + " SELECT count(*) FILTER (NOT is_dir AND ends_with(lower(path), '.md')) AS notes, count(*) FILTER (is_dir) AS folders, sum(size) FILTER (NOT is_dir) AS bytes FROM f WHERE NOT coalesce(is_deleted, false)",
     "path_parts": f"SELECT path, regexp_extract(n, '([^/]*)$', 1) AS file, lower(regexp_extract(regexp_extract(n, '([^/]*)$', 1), '\\.([^.]+)$', 1)) AS extension, regexp_extract(n, '^(.*)/[^/]*$', 1) AS parent, regexp_replace(regexp_extract(n, '([^/]*)$', 1), '\\.[^.]+$', '') AS stem, {_P} AS plain FROM (SELECT DISTINCT path, replace(path, '\\', '/') AS n FROM file_info)",
     "natural_order": r"SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '([0-9]+)', '00000000000\1', 'g'), '0*([0-9]{12})([^0-9]|$)', '\1\2', 'g') AS key FROM file_info",
     "fuzzy_search": _FUZZY + "SELECT path, name, score FROM z WHERE score > 0",
     "fuzzy_top": _FUZZY + "SELECT path, name, score FROM z WHERE score > 0 ORDER BY score DESC, path, name LIMIT 20",
-    "snapshot_diff": "WITH a AS (WITH " + _LATEST.format(p=_P, w="AND listed_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'") + " SELECT * FROM f WHERE NOT is_deleted AND NOT is_dir), b AS (" + _F + " SELECT * FROM f WHERE NOT is_deleted AND NOT is_dir) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.modified IS DISTINCT FROM b.modified OR a.size IS DISTINCT FROM b.size",
+    "snapshot_diff": "WITH a AS (WITH " + _LATEST.format(p=_P, w="AND listed_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'") + " SELECT * FROM f WHERE NOT coalesce(is_deleted, false) AND NOT coalesce(is_dir, false)), b AS (" + _F + " SELECT * FROM f WHERE NOT coalesce(is_deleted, false) AND NOT coalesce(is_dir, false)) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.modified IS DISTINCT FROM b.modified OR a.size IS DISTINCT FROM b.size",
     "significant_changes": "SELECT path, listed_at, before, size FROM (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY listed_at, size) AS before FROM (SELECT DISTINCT path, listed_at, size FROM file_info WHERE size IS NOT NULL)) WHERE abs(size - before) >= 5",
     "store_roundtrip": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0",
     "batch_files_roundtrip": "SELECT model_name, count(*) AS entries, sum(text_length) AS text_bytes, sum(CASE WHEN len(vector) > 0 THEN len(vector) END) AS elements FROM embedding_entry WHERE id IS NOT NULL AND model_name = 'quill-embed-xs' GROUP BY 1",

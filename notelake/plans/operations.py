@@ -227,7 +227,7 @@ SQL = {
     "window_comparison": _OPS + _REC + ", t AS (SELECT operation_type, avg(duration_ms) FILTER (n <= 10) AS recent, avg(duration_ms) FILTER (n > 10) AS before FROM n WHERE n <= 20 GROUP BY 1) SELECT operation_type, round(recent, 6) AS recent, round(before, 6) AS before, CASE WHEN t.recent > t.before * 1.1 THEN 'increasing' WHEN t.recent < t.before * 0.9 THEN 'decreasing' ELSE 'stable' END AS trend FROM t",
     "short_window_growth": _OPS + _REC + ", t AS (SELECT operation_type, arg_min(duration_ms, n) - arg_max(duration_ms, n) AS growth FROM n WHERE n <= 30 GROUP BY 1) SELECT operation_type, round(growth, 6) AS growth, t.growth > 50 AS leak FROM t",
     "slow_share": _OPS + " SELECT operation_type, round(avg(CASE WHEN duration_ms > 65 THEN 1 ELSE 0 END), 6) AS slow_share FROM o GROUP BY 1",
-    "moving_average": _OPS + _REC + ", l AS (SELECT operation_type, list(duration_ms ORDER BY n DESC) AS v FROM n WHERE n <= 200 GROUP BY 1) SELECT operation_type, round(list_reduce(v, lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE), 6) AS average FROM l",
+    "moving_average": _OPS + _REC + ", l AS (SELECT operation_type, list(duration_ms ORDER BY n DESC) AS v FROM n GROUP BY 1) SELECT operation_type, round(list_reduce(v, lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE), 6) AS average FROM l",
     "co_access": _OPS + ", p AS (" + " UNION ALL ".join(f"SELECT lag(operation_type, {k}) OVER (PARTITION BY user_id ORDER BY started_at, event_id) AS a, operation_type AS b FROM o" for k in (1, 2, 3, 4)) + ") SELECT a, b, count(*) AS times FROM p WHERE a IS NOT NULL AND a <> b GROUP BY 1, 2",
     "transitions": _OPS + ", p AS (SELECT lag(operation_type) OVER (PARTITION BY user_id ORDER BY started_at, event_id) AS previous, operation_type AS next FROM o) SELECT previous, next, count(*) AS times FROM p WHERE previous IS NOT NULL GROUP BY 1, 2",
     "hour_histogram": _OPS + " SELECT operation_type, hour(started_at) AS hour, count(*) AS accesses FROM o GROUP BY 1, 2",

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.functions.paths import plain_path
 from notelake.operators import maintenance
+from notelake.plans import EVENTS, KIND, PLAIN
 from notelake.session import load, scratch
-from notelake.sources.store import VersionedStore
+from notelake.sources.store import BucketedStore
 from notelake.streaming import changes
 
 
@@ -40,11 +42,11 @@ def stream_debounced(spark, folder):
 
 
 def stream_applied_changes(spark, folder):
-    """A store of the notes' paths, kept up to date from the change records in their order of arrival."""
-    store = VersionedStore(spark, scratch(spark, "store"))
-    live = load(spark, folder, "documents").where("file_path is not null").groupBy("file_path").agg(F.min("doc_id").cast("string").alias("id"))
+    """A store of the notes' paths, kept up to date from the change records in their order of arrival; only buckets that changes touch are written anew."""
+    store = BucketedStore(spark, scratch(spark, "store"), 16, "file_path")
+    live = load(spark, folder, "documents").where("file_path is not null").groupBy(plain_path(F.col("file_path")).alias("file_path")).agg(F.min("doc_id").cast("string").alias("id"))
     store.publish(live.select("id", "file_path"))
-    feed = maintenance.moves_apart(_stream(spark, folder, "change_record").select("file_path", "moved_to", "change_type", "record_id"))
+    feed = maintenance.moves_apart(_stream(spark, folder, "change_record").where("file_path is not null").select("file_path", "moved_to", "change_type", "record_id"))
     fresh = lambda last: last.select(F.concat(F.lit("new "), "file_path").alias("id"), "file_path")
     changes.apply_stream(feed, store, fresh, f"{store.root}/_checkpoint", ["record_id", "step"]).awaitTermination()
     return store.read()
@@ -58,9 +60,9 @@ SQL = {
         b AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM n)
         SELECT CAST(user_id AS VARCHAR) AS path, max(ts) AS at, arg_max(event_type, (ts, event_type)) AS kind, count(*) AS changes FROM b GROUP BY user_id, b
         HAVING max(ts) + INTERVAL 5 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 MINUTE""",
-    "stream_applied_changes": """
-        WITH c AS (SELECT file_path, CASE lower(trim(change_type)) WHEN 'removed' THEN 'deleted' ELSE lower(trim(change_type)) END AS k, record_id FROM change_record WHERE file_path IS NOT NULL),
-        m AS (SELECT file_path, arg_max(k, record_id) AS k FROM c WHERE k IN ('created', 'modified', 'deleted') GROUP BY file_path)
-        SELECT CAST(min(doc_id) AS VARCHAR) AS id, file_path FROM documents WHERE file_path IS NOT NULL AND file_path NOT IN (SELECT file_path FROM m) GROUP BY file_path
+    "stream_applied_changes": f"""
+        WITH c AS (SELECT {KIND} AS k, {PLAIN.format('file_path')} AS file_path, {PLAIN.format('moved_to')} AS moved_to, 0 AS s, 0 AS q, record_id FROM change_record WHERE file_path IS NOT NULL), {EVENTS},
+        m AS (SELECT file_path, arg_max(k, (record_id, step)) AS k FROM ev GROUP BY file_path), d AS (SELECT doc_id, {PLAIN.format('file_path')} AS file_path FROM documents WHERE file_path IS NOT NULL)
+        SELECT CAST(min(doc_id) AS VARCHAR) AS id, file_path FROM d WHERE file_path NOT IN (SELECT file_path FROM m) GROUP BY file_path
         UNION ALL SELECT 'new ' || file_path, file_path FROM m WHERE k <> 'deleted'""",
 }

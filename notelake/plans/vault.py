@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake.operators import changes, orphans
+from notelake.plans import PLAIN
 from notelake.session import load, scratch
 from notelake.sources.store import VersionedStore
 
@@ -37,8 +38,7 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, folder))
 
 
-def _plain(x: str) -> str:
-    return f"nfc_normalize(array_to_string(list_filter(string_split(replace({x}, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/'))"
+_plain = PLAIN.format
 
 
 _EVENTS = f"""

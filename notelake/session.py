@@ -19,12 +19,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local mode) a temporary folder is made and removed at exit.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset in local mode (tests)
+    a temporary folder is made and removed at exit; a cluster without it raises RuntimeError, as its machines share no such folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="notelake-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)

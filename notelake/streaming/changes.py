@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from notelake.operators.lookup import is_note
 from notelake.operators.maintenance import apply_batch, latest_changes
-from notelake.sources.store import VersionedStore
+from notelake.session import written
+from notelake.sources.store import BucketedStore, VersionedStore
 
 #: What the binary file source gives.
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -50,9 +51,10 @@ def windowed_metrics(ops: DataFrame, at: str = "started_at", delay: str = "10 mi
     return ops.withWatermark(at, delay).groupBy(F.window(at, "1 hour").alias("w"), "operation_type").agg(F.count(F.lit(1)).alias("operations"), F.avg("duration_ms").alias("mean_duration_ms")).select(F.col("w.start").alias("hour"), "operation_type", "operations", "mean_duration_ms")
 
 
-def apply_stream(changes: DataFrame, store: VersionedStore, fresh: Callable[[DataFrame], DataFrame], checkpoint: str, at: list[str], path: str = "file_path", kind: str = "change_type") -> StreamingQuery:
+def apply_stream(changes: DataFrame, store: VersionedStore | BucketedStore, fresh: Callable[[DataFrame], DataFrame], checkpoint: str, at: list[str], path: str = "file_path", kind: str = "change_type") -> StreamingQuery:
     """Keeps a store up to date: per micro-batch the last change of each path is applied and a new snapshot published.
 
+    Of a store in buckets (by ``path``) only the buckets that the batch touches are read and written; another store is written whole.
     ``fresh`` makes the rows of created and modified paths from that batch. A batch that is run again after a failure gives the same snapshot content.
     """
 
@@ -60,6 +62,11 @@ def apply_stream(changes: DataFrame, store: VersionedStore, fresh: Callable[[Dat
         if batch.isEmpty():
             return
         last = latest_changes(batch, path, at, kind)
-        store.publish(apply_batch(store.read(), last, fresh(last), path, kind))
+        if isinstance(store, BucketedStore):
+            last = written(last, "batch")
+            touched = sorted(r["b"] for r in last.select(store.bucket().alias("b")).distinct().collect())  # at most the number of buckets
+            store.publish(apply_batch(store.read(touched), last, fresh(last), path, kind), touched)
+        else:
+            store.publish(apply_batch(store.read(), last, fresh(last), path, kind))
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ def plan(df):
 
 def test_top_per_group_is_limited_before_the_shuffle(spark, data):
     ops = load(spark, data, "events").select(F.col("event_type").alias("operation_type"), F.col("value").alias("duration_ms"), F.col("ts").alias("started_at"), "event_id")
-    for df in (metrics.trend(ops, "operation_type", "duration_ms", ["started_at", "event_id"]), metrics.moving_average(ops, "operation_type", "duration_ms", ["started_at"], 0.2), lookup.live(load(spark, data, "embedding_entry"))):
+    for df in (metrics.trend(ops, "operation_type", "duration_ms", ["started_at", "event_id"]), lookup.live(load(spark, data, "embedding_entry"))):
         assert "WindowGroupLimit" in plan(df)
 
 

@@ -57,7 +57,7 @@ def test_feed_partial_states_may_be_cut_anywhere(spark):
     from functools import partial
 
     rows = feed(400, 9)
-    events = C.path_events(spark.createDataFrame(rows, FEED)).withColumn("bucket", __import__("pyspark").sql.functions.lit(0))
+    events = C.path_events(spark.createDataFrame(rows, FEED))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     try:
         local = events.mapInArrow(partial(C._upsert, memory_mb=128, flush_rows=50), C.STATE).repartition(1).mapInArrow(partial(C._upsert, memory_mb=128, flush_rows=None), C.STATE)
