@@ -52,6 +52,31 @@ def eviction_score(age: Column, uses: Column) -> Column:
     return 0.6 / (1 + age) + 0.4 * uses / (1 + uses)
 
 
+def eviction_order(cache: DataFrame, policy: str, key: str = "key", age: str = "age", uses: str = "uses", ttl: str = "ttl_left", due: str = "next_use") -> DataFrame:
+    """Adds ``score``: the lowest goes first. Policies: lru (seconds since the last use), lfu (uses), ttl (seconds left to live), blend (:func:`eviction_score`),
+    predicted (seconds to the next use that is expected; the furthest goes first, never used again before all). Nulls go first."""
+    score = {
+        "lru": lambda: -F.col(age).cast("double"), "lfu": lambda: F.col(uses).cast("double"), "ttl": lambda: F.col(ttl).cast("double"),
+        "blend": lambda: eviction_score(F.col(age), F.col(uses)), "predicted": lambda: -F.col(due).cast("double"),
+    }
+    if policy not in score:
+        raise ValueError(f"policy must be one of {', '.join(score)}")
+    return cache.withColumn("score", F.coalesce(score[policy](), F.lit(float("-inf"))))
+
+
+def evicted(cache: DataFrame, policy: str, keep: int, key: str = "key", **columns: str) -> DataFrame:
+    """Keys that go so that ``keep`` entries stay; ties by key."""
+    kept = eviction_order(cache, policy, key, **columns).orderBy(F.desc("score"), key).limit(keep).select(key)
+    return cache.select(key).join(kept, key, "left_anti")
+
+
+def next_use(accesses: DataFrame, item: str, at: str, now: Column) -> DataFrame:
+    """(item, next_use): seconds from now to the next use that is expected, the mean time between uses after the last one; null for items used once."""
+    g = accesses.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    gap = (F.col("last") - F.col("first")) / (F.col("n") - 1)
+    return g.select(item, F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.col("last") + gap - now)).alias("next_use"))
+
+
 def priority(base: Column, typing: Column, idle_ms: Column, recency: Column, load: Column, kind: Column, critical: Column, weights: tuple[float, float, float, float] = (0.3, 0.3, 0.2, 0.2)) -> Column:
     """base x weighted sum of activity, recency, resources and kind x critical boost."""
     activity = F.when(typing > 0.7, 1.5).when(idle_ms < 5000, 1.2).otherwise(1.0)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +144,13 @@ def _hybrid(text: str, c: ChunkConfig) -> list[tuple[int, int]]:
 def _markdown(text: str, c: ChunkConfig) -> list[tuple[int, int]]:
     b, found = Boundaries(text), elements(text)
     heads = sorted(e["start"] for e in found if e["kind"] == "header")
-    code = [(e["start"], e["end"]) for e in found if e["kind"] == "code"]
+    code = sorted((e["start"], e["end"]) for e in found if e["kind"] == "code")
+    starts = [s for s, _ in code]
     out, at, n, reach = [], 0, len(text), c.max_size // 4
     while at < n:
         target = min(at + c.max_size, n)
-        block = next(((s, e) for s, e in code if s <= at < e), None)
+        k = bisect_right(starts, at) - 1
+        block = code[k] if k >= 0 and at < code[k][1] else None
         if block:
             end = min(block[1], n)
         elif target >= n:
@@ -222,6 +225,53 @@ def windows(text: Column, size: int, overlap: int, least: int = 20) -> Column:
     return F.when(n <= size, F.array(text)).when(F.size(kept) > 0, kept).when(F.length(F.trim(text)) > 0, F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
 
 
+#: Abbreviations whose dot ends no sentence.
+ABBREVIATIONS = (
+    "Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr",
+    "vs", "etc", "i.e", "e.g", "cf", "al", "Inc", "Ltd", "Corp",
+    "A.M", "P.M", "a.m", "p.m", "AM", "PM",
+    "U.S", "U.K", "E.U", "NASA", "FBI", "CIA",
+)
+_SENTENCE_END, _PARAGRAPH = re.compile(r"[.!?]+\s+"), re.compile(r"\n\s*\n")
+_SHORT = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r")$", re.I)
+
+
+def adjusted(text: str, size: int, overlap: int, least: int = 20, sentences: bool = True, paragraphs: bool = True) -> list[str]:
+    """Windows of at most ``size`` characters that end where the last sentence in them ends (but for abbreviations), or rather where the last blank line
+    in what is then left begins; trimmed, of at least ``least`` characters. The next one begins ``overlap`` before the end, or at
+    the end of a window that is no longer than that. A text within the size is one window as it is; one that gives none is one trimmed window."""
+    if len(text) <= size:
+        return [text] if text else []
+    out, at, n = [], 0, len(text)
+    ends = [m.end() for m in _SENTENCE_END.finditer(text) if not _SHORT.search(text, max(0, m.start() - 8), m.start())] if sentences else []
+    breaks = [m.start() for m in _PARAGRAPH.finditer(text)] if paragraphs else []
+    while at < n:
+        end = min(at + size, n)
+        for places in (ends, breaks) if end < n else ():
+            k = bisect_right(places, end) - 1
+            if k >= 0 and places[k] > at:
+                end = places[k]
+        piece = text[at:end].strip()
+        if len(piece) >= max(1, least):
+            out.append(piece)
+        if end >= n:
+            break
+        at = end - overlap if end - overlap > at else end
+    return out or ([text.strip()] if text.strip() else [])
+
+
+def adjusted_windows(text: Column, size: int, overlap: int, least: int = 20, sentences: bool = True, paragraphs: bool = True) -> Column:
+    """array<string> of :func:`adjusted` windows, in Arrow batches; null texts have null."""
+    if not 20 <= size <= 8192 or not 0 <= overlap < size:
+        raise ValueError("20 <= size <= 8192 and 0 <= overlap < size must hold")
+
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else adjusted(t, size, overlap, least, sentences, paragraphs) for t in column.to_pylist()], pa.list_(pa.string()))
+
+    return run(text)
+
+
 def size_benchmark(docs: DataFrame, sizes: list[int], text: str = "text") -> DataFrame:
     """Chunks, mean length and total characters per window size (no overlap)."""
     rows = docs.where(F.length(text) > 0).select(F.explode(F.array(*[F.struct(F.lit(s).alias("size"), windows(F.col(text), s, 0).alias("chunks")) for s in sizes])).alias("r"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.functions.vectors import vector_hash
-from notelake.operators.dedup import greedy_clusters
+from notelake.functions.vectors import cosine, vector_hash
+from notelake.operators.dedup import best_references
+from notelake.session import written
 
 #: Bytes that a quantized vector carries beside its codes (minimum, scale, dimension).
 OVERHEAD = 16
@@ -48,13 +49,19 @@ def ratios(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def delta_encoded(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, reference, codes, low, scale): 8-bit delta to a reference vector with cosine at or above the threshold, else 8-bit of itself.
+    """(id, reference, codes, low, scale): 8-bit delta to the most similar reference vector with cosine at or above the threshold, else 8-bit of itself.
 
     References are the seeds of greedy clusters in id order, so a vector that becomes a reference has none itself, and
-    the order of arrival doesn't matter. A delta is taken to the reference as it is decoded, so its error is within half a step. ``reference`` is null for self-coded vectors.
+    the order of arrival doesn't matter. Equal vectors share the reference of the one with the least id, or refer to that one. A delta is taken to the
+    reference as it is decoded, so its error is within half a step. ``reference`` is null for self-coded vectors.
     """
-    clusters = greedy_clusters(rows, threshold).select(F.col("member").alias("id"), F.col("seed").alias("reference"))
-    base = rows.join(clusters, "id", "left")
+    hashed = rows.where("id is not null").select("id", vector_hash(F.col("vector")).alias("h"))
+    firsts = hashed.where("h is not null").groupBy("h").agg(F.min("id").alias("first"))
+    distinct = rows.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("id", "vector")
+    found = written(best_references(distinct, threshold).select("id", "reference"), "references")
+    usable = cosine(F.col("vector"), F.col("vector")).isNotNull()
+    twins = hashed.join(firsts, "h").where("id <> first").join(rows.where(usable).select("id"), "id", "left_semi").join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("reference", "first").alias("reference"))
+    base = rows.join(found.unionByName(twins), "id", "left")
     own = quantized(base.where("reference is null").select("id", "vector"), "vector", 8)
     refs = own.select(F.col("id").alias("reference"), dequantize(F.col("codes"), F.col("low"), F.col("scale")).alias("ref_vector"))
     both = base.join(refs, "reference", "left")
@@ -84,6 +91,32 @@ def unpooled(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.join(shared.select("vector_hash", "vector"), "vector_hash", "left").drop("vector_hash")
 
 
+def pool_encoded(rows: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``vector_hash`` in place of the vector, pool): the combined encoding of a batch.
+
+    Identical vectors are one row of the pool. Of these, those similar to a reference are a delta to it, if it spans no more than the vector itself (lengths may differ), the
+    others are kept raw: pool (vector_hash, kind, reference, raw, codes, low, scale), kind being raw or delta; a delta's reference is raw. Null vectors have a null hash and no row.
+    """
+    shared = pool(rows.where("vector is not null")).select(F.col("vector_hash").alias("id"), "vector")
+    stored = written(shared, "pool")
+    refs = written(best_references(stored, threshold).select("id", "reference"), "references")
+    both = stored.join(refs, "id", "left").join(stored.select(F.col("id").alias("reference"), F.col("vector").alias("_base")), "reference", "left")
+    apart = F.zip_with("vector", "_base", lambda a, b: a.cast("double") - b.cast("double"))
+    spread = lambda c: F.array_max(c) - F.array_min(c)
+    delta = both.withColumn("_delta", F.when(F.col("_base").isNotNull(), apart)).withColumn("_delta", F.when(spread(F.col("_delta")) <= spread(F.col("vector")), F.col("_delta")))
+    coded = quantized(delta, "_delta", 8).withColumn("kind", F.when(F.col("codes").isNull(), "raw").otherwise("delta"))
+    raw = F.col("kind") == "raw"
+    return pooled(rows), coded.select(F.col("id").alias("vector_hash"), "kind", F.when(~raw, F.col("reference")).alias("reference"), F.when(raw, F.col("vector")).alias("raw"), "codes", "low", "scale")
+
+
+def pool_decoded(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows with their vectors again (double): raw ones as they were, deltas within half a step."""
+    raw = shared.where("kind = 'raw'").select(F.col("vector_hash").alias("reference"), F.col("raw").alias("_base"))
+    back = dequantize(F.col("codes"), F.col("low"), F.col("scale"))
+    vector = F.when(F.col("kind") == "raw", F.transform("raw", lambda x: x.cast("double"))).otherwise(F.zip_with("_base", back, lambda a, b: a + b))
+    return rows.join(shared.join(raw, "reference", "left").select("vector_hash", vector.alias("vector")), "vector_hash", "left").drop("vector_hash")
+
+
 def pool_statistics(rows: DataFrame) -> DataFrame:
     g = rows.groupBy(vector_hash(F.col("vector")).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d"))
     return g.agg(F.sum("n").alias("vectors"), F.count(F.lit(1)).alias("pooled"), (F.sum("n") - F.count(F.lit(1))).alias("shared"), F.sum(4 * F.col("d") * (F.col("n") - 1)).alias("saved_bytes"))

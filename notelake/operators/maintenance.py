@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.paths import plain_path
-from notelake.functions.vectors import is_zero
-from notelake.operators import dedup
+from notelake.functions.vectors import is_finite, is_zero
+from notelake.operators import compression, dedup
 from notelake.operators.changes import change_kind, whole_seconds
+from notelake.operators.lookup import entries_from_text, live
 from notelake.operators.metrics import index_health
+from notelake.session import written
+from notelake.sources.batches import read_batches, write_batches
 from notelake.sources.store import VersionedStore
 
 
@@ -133,6 +138,21 @@ def expired(files: DataFrame, now: int) -> DataFrame:
     return others.unionByName(backups)
 
 
+def to_compress(files: DataFrame, now: int, least_age: int = 86_400) -> DataFrame:
+    """Of a listing (path, modified): batch files more than a day old that aren't compressed yet."""
+    return files.where(F.col("path").rlike(r"\.json$") & (F.lit(now) - F.col("modified") > least_age)).select("path")
+
+
+def compressed(spark: SparkSession, source: str, target: str, codec: str = "gzip") -> int:
+    """Batch files of one folder written compressed into another, read back and counted; the number of entries, which must be the same on both sides."""
+    rows = read_batches(spark, source)
+    write_batches(rows, target, codec)
+    n, again = rows.count(), read_batches(spark, target).count()
+    if n != again:
+        raise ValueError(f"{again} of {n} entries came back")
+    return n
+
+
 def maintenance_cycle(store: VersionedStore, orphan_ids: DataFrame, files: int = 1, key: str = "id") -> dict[str, int]:
     """Orphans of this cycle out, compacted, old snapshots dropped."""
     rows = store.read()
@@ -142,16 +162,31 @@ def maintenance_cycle(store: VersionedStore, orphan_ids: DataFrame, files: int =
     return {"version": version, "removed": before - store.read().count()}
 
 
-def optimise(store: VersionedStore, threshold: float = 0.95, files: int = 1) -> dict[str, int]:
-    """Deduplicate, publish the survivors compacted, drop old snapshots. Rows need id, vector, created_at, updated_at, text_length."""
+def optimise(store: VersionedStore, threshold: float = 0.95, files: int = 1, bits: int | None = None) -> dict[str, int]:
+    """Deduplicate, compress (with ``bits``: 8 or 16, vectors become codes, low, scale), publish the survivors compacted, drop old snapshots. Rows need id, vector, created_at, updated_at, text_length."""
     rows = store.read()
     clusters = dedup.greedy_clusters(rows, threshold)
     mapping = dedup.reference_mapping(clusters, dedup.representatives(clusters, rows))
     before = rows.count()
-    version = compact(store, dedup.without(rows, mapping), files)
+    kept = dedup.without(rows, mapping)
+    version = compact(store, compression.quantized(kept, "vector", bits).drop("vector") if bits else kept, files)
     return {"version": version, "removed": before - store.read().count()}
 
 
+def rebuild(store: VersionedStore, texts: DataFrame, vectors: Callable[[DataFrame], DataFrame], model: str, at: int, most_errors: float = 0.1, files: int = 1) -> dict[str, object]:
+    """The index made anew from (file_path, chunk_id, content): entries are built, embedded by ``vectors`` (adds ``vector`` to rows with ``content``), checked and published as
+    one snapshot. Rows whose vector can't be used are left out; if their share is above ``most_errors`` nothing is published and ValueError is raised."""
+    built = entries_from_text(texts.where("content is not null"), model, at)
+    by_text = vectors(texts.where("content is not null").select("content").distinct()).select(F.sha2("content", 256).alias("text_hash"), "vector")
+    rows = written(live(built.join(by_text, "text_hash", "left")), "rebuilt")
+    bad = F.col("vector").isNull() | is_zero(F.col("vector")) | ~is_finite(F.col("vector"))
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(bad, F.lit(True))).alias("failed")).first()
+    if n["rows"] and n["failed"] / n["rows"] > most_errors:
+        raise ValueError(f"{n['failed']} of {n['rows']} rows have no usable vector")
+    version = compact(store, rows.where(~F.coalesce(bad, F.lit(True))), files)
+    return {"version": version, "rows": n["rows"] - n["failed"], "failed": n["failed"]}
+
+
 def compact_metadata(preview: Column) -> Column:
     """Empty previews are stored as null; :func:`full_metadata` gives them back."""
     return F.nullif(preview, F.lit(""))

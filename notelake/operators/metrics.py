@@ -12,26 +12,60 @@ from notelake.operators import ordered
 from notelake.session import written
 
 
+#: What operations may carry besides their duration; means are taken of those that are there.
+MEASURES = ("items_processed", "processing_rate", "memory_peak_mb", "cpu_usage_percent", "io_operations", "bytes_read", "bytes_written")
+
+
+def _means(ops: DataFrame, *names: str) -> list[Column]:
+    return [F.avg(c).alias(f"mean_{c}") for c in names or MEASURES if c in ops.columns]
+
+
 def average_metrics(ops: DataFrame, missing_as_zero: bool = False) -> DataFrame:
-    """Per operation type: count and mean duration; rows without a duration are left out of the mean, or count as 0."""
+    """Per operation type: count, mean duration and the means of the other measures that the rows carry, and the share of successes where there is
+    a ``status``. Rows without a duration are left out of its mean, or count as 0."""
     d = F.coalesce("duration_ms", F.lit(0.0)) if missing_as_zero else F.col("duration_ms")
-    return ops.groupBy("operation_type").agg(F.count(F.lit(1)).alias("operations"), F.avg(d).alias("mean_duration_ms"))
+    rate = [F.avg((F.col("status") == "success").cast("int")).alias("success_rate")] if "status" in ops.columns else []
+    return ops.groupBy("operation_type").agg(F.count(F.lit(1)).alias("operations"), F.avg(d).alias("mean_duration_ms"), *_means(ops), *rate)
+
 
+def in_period(rows: DataFrame, start: str | None, end: str | None, at: str = "started_at") -> DataFrame:
+    """Rows from ``start`` to ``end`` (timestamp texts, both inclusive; None: no limit)."""
+    for limit, keep in ((start, F.col(at).__ge__), (end, F.col(at).__le__)):
+        rows = rows if limit is None else rows.where(keep(F.lit(limit).cast("timestamp")))
+    return rows
 
-def hourly_trends(ops: DataFrame, start: str | None = None) -> DataFrame:
-    """Per hour and type: count, mean duration. Hours are whole ones, or begin at ``start`` (a timestamp text) and its successors."""
+
+def hourly_trends(ops: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Per hour and type: count, mean duration, and mean rate and memory where the rows carry them. Hours are whole ones, or begin at ``start`` (a timestamp text) and its successors."""
     if start is None:
         hour = F.date_trunc("hour", "started_at")
-        rows = ops
     else:
         begin = F.unix_timestamp(F.lit(start).cast("timestamp"))
         hour = F.timestamp_seconds(begin + F.floor((F.unix_timestamp("started_at") - begin) / 3600) * 3600)
-        rows = ops.where(F.col("started_at") >= F.lit(start).cast("timestamp"))
-    return rows.groupBy(hour.alias("hour"), "operation_type").agg(F.count(F.lit(1)).alias("operations"), F.avg("duration_ms").alias("mean_duration_ms"))
+    rows = in_period(ops, start, end)
+    return rows.groupBy(hour.alias("hour"), "operation_type").agg(F.count(F.lit(1)).alias("operations"), F.avg("duration_ms").alias("mean_duration_ms"), *_means(ops, "processing_rate", "memory_peak_mb"))
+
 
+def resource_summary(samples: DataFrame, column: str, start: str | None = None, end: str | None = None, at: str = "started_at") -> DataFrame:
+    """Mean, peak, sum and number of the samples of a period."""
+    return in_period(samples, start, end, at).agg(F.avg(column).alias("mean"), F.max(column).alias("peak"), F.sum(column).alias("total"), F.count(column).alias("samples"))
 
-def resource_summary(samples: DataFrame, column: str) -> DataFrame:
-    return samples.agg(F.avg(column).alias("mean"), F.max(column).alias("peak"), F.sum(column).alias("total"), F.count(column).alias("samples"))
+
+def performance_report(ops: DataFrame, start: str | None, end: str | None, memory: str = "memory_peak_mb", cpu: str = "cpu_usage_percent", alerts: dict[str, int] | None = None) -> DataFrame:
+    """(section, subject, measure, value, note) of a period: averages per type, resources, advice and the health score in one table."""
+    rows = in_period(ops, start, end)
+    averages = average_metrics(rows)
+    names = [c for c in averages.columns if c != "operation_type"]
+    each = averages.select(F.lit("operations").alias("section"), F.col("operation_type").alias("subject"), F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])).alias("m"))
+    out = each.select("section", "subject", "m.measure", "m.value", F.lit(None).cast("string").alias("note"))
+    used = rows.agg(F.avg(cpu).alias("mean_cpu_percent"), F.max(memory).alias("peak_memory_mb"), F.count(F.lit(1)).cast("double").alias("operations"))
+    for c in used.columns:
+        out = out.unionByName(used.select(F.lit("resources").alias("section"), F.lit("all").alias("subject"), F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"), F.lit(None).cast("string").alias("note")))
+    both = averages.join(used.select("mean_cpu_percent", "peak_memory_mb"), how="cross")  # one row
+    advice = recommendations(averages).select("operation_type", "advice").unionByName(resource_advice(used).select(F.lit("all").alias("operation_type"), "advice"))
+    out = out.unionByName(advice.select(F.lit("advice").alias("section"), F.col("operation_type").alias("subject"), F.lit("advice").alias("measure"), F.lit(None).cast("double").alias("value"), F.col("advice").alias("note")))
+    score = both.agg(health(F.count_if(F.col("mean_duration_ms") > 1000), F.max("mean_cpu_percent"), F.max("peak_memory_mb"), alerts).alias("value"))
+    return out.unionByName(score.select(F.lit("health").alias("section"), F.lit("all").alias("subject"), F.lit("score").alias("measure"), "value", F.lit(None).cast("string").alias("note")))
 
 
 def index_percentiles(ops: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95, 99), slices: int = 64) -> DataFrame:
@@ -83,21 +117,41 @@ def severity(change_percent: Column) -> Column:
 def regressions(current: DataFrame, baseline: DataFrame, by: str = "operation_type", threshold: float = 20.0) -> DataFrame:
     """(by, kind, baseline_value, current_value, change_percent, severity) where current is worse than the baseline by more than the threshold.
 
-    Kinds: latency (mean), stability (deviation over mean), success. Both sides as :func:`baselines` gives them; operations without a baseline have none.
+    Kinds: latency (mean), memory (``memory``, where both sides have it), success, stability (deviation over mean). Both sides as :func:`baselines`
+    gives them; operations without a baseline have none.
     """
-    b = baseline.select(by, *[F.col(c).alias(f"base_{c}") for c in ("mean", "deviation", "success_rate")])
+    memory = "memory" in current.columns and "memory" in baseline.columns
+    b = baseline.select(by, *[F.col(c).alias(f"base_{c}") for c in ("mean", "deviation", "success_rate", *["memory"] * memory)])
     j = current.join(b, by)
     change = lambda now, then: (now - then) / then * 100
     cv, base_cv = F.col("deviation") / F.col("mean"), F.col("base_deviation") / F.col("base_mean")
     rate, base_rate = F.col("success_rate"), F.col("base_success_rate")
-    kinds = F.stack(
-        F.lit(3), F.lit("latency"), F.col("base_mean"), F.col("mean"), change(F.col("mean"), F.col("base_mean")),
-        F.lit("stability"), base_cv, cv, change(cv, base_cv), F.lit("success"), base_rate, rate, -change(rate, base_rate),
-    )
-    found = j.select(by, kinds.alias("kind", "baseline_value", "current_value", "change_percent")).where(F.col("change_percent") > threshold)
+    kinds = [("latency", F.col("base_mean"), F.col("mean"), change(F.col("mean"), F.col("base_mean"))), ("stability", base_cv, cv, change(cv, base_cv)), ("success", base_rate, rate, -change(rate, base_rate))]
+    if memory:
+        kinds.append(("memory", F.col("base_memory"), F.col("memory"), change(F.col("memory"), F.col("base_memory"))))
+    rows = F.stack(F.lit(len(kinds)), *[x for k, *values in kinds for x in (F.lit(k), *values)])
+    found = j.select(by, rows.alias("kind", "baseline_value", "current_value", "change_percent")).where(F.col("change_percent") > threshold)
     return found.withColumn("severity", severity(F.col("change_percent")))
 
 
+def benchmark_summary(ops: DataFrame, by: str = "operation_type", value: str = "duration_ms", target_ms: float = 100.0, baseline: DataFrame | None = None, slower: float = 20.0) -> DataFrame:
+    """Per operation: samples, min, max, mean, sorted[n / 2], sorted[95 n / 100], success rate (``status``, else rows with a duration), whether the mean meets the
+    target, and whether it is more than ``slower`` percent above the mean of ``baseline`` (by, mean; none: never)."""
+    ok = F.col("status") == "success" if "status" in ops.columns else F.col(value).isNotNull()
+    rate = ops.groupBy(F.struct(by).alias("g")).agg(F.avg(ok.cast("int")).alias("success_rate"))
+    p = index_percentiles(ops, by, value, (50, 95)).withColumn("g", F.struct(by)).join(rate, "g").drop("g", "deviation")
+    p = p.withColumn("target_met", F.col("mean") <= target_ms)
+    if baseline is None:
+        return p.withColumn("regression", F.lit(False))
+    return p.join(baseline.select(by, F.col("mean").alias("_mean")), by, "left").withColumn("regression", F.coalesce(F.col("mean") > F.col("_mean") * (1 + slower / 100), F.lit(False))).drop("_mean")
+
+
+def benchmark_problems(summary: DataFrame, by: str = "operation_type", least_success: float = 0.95) -> DataFrame:
+    """(by, problem) of a :func:`benchmark_summary`: regression, target missed, low success; a row for each."""
+    found = F.array(F.when(F.col("regression"), "regression"), F.when(~F.col("target_met"), "target missed"), F.when(F.col("success_rate") < least_success, "low success"))
+    return summary.select(by, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+
+
 def regression_report(found: DataFrame, by: str = "operation_type") -> DataFrame:
     """Regressions per operation and severity, and the overall state."""
     n = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "major", "moderate", "minor")]
@@ -122,20 +176,40 @@ def trend_alerts(points: DataFrame, by: str, value: str, at: list[str], last: in
     return out.where((F.col("slope") > slope) & (F.col("current") > F.col("mean") * above))
 
 
+def health(slow: Column, mean_cpu: Column, peak_memory_mb: Column, alerts: dict[str, int] | None = None) -> Column:
+    """1 less 0.1 for CPU above 70 %, 0.1 for memory above 1000 MB, 0.05 per slow operation and per alert 0.2, 0.1 or 0.05; within 0..1."""
+    fixed = float(sum({"critical": 0.2, "warning": 0.1, "info": 0.05}[k] * n for k, n in (alerts or {}).items()))
+    less = F.when(mean_cpu > 70, 0.1).otherwise(0.0) + F.when(peak_memory_mb > 1000, 0.1).otherwise(0.0) + F.lit(fixed) + slow * 0.05
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - less))
+
+
 def health_score(averages: DataFrame, mean_cpu: float, peak_memory_mb: float, alerts: dict[str, int] | None = None) -> DataFrame:
-    """1 less 0.1 for CPU above 70 %, 0.1 for memory above 1000 MB, 0.05 per slow operation (over 1000 ms) and per alert 0.2, 0.1 or 0.05; within 0..1."""
-    fixed = (0.1 if mean_cpu > 70 else 0) + (0.1 if peak_memory_mb > 1000 else 0) + sum({"critical": 0.2, "warning": 0.1, "info": 0.05}[k] * n for k, n in (alerts or {}).items())
-    slow = F.count_if(F.col("mean_duration_ms") > 1000) * 0.05
-    return averages.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.lit(fixed) - slow)).alias("score"))
+    """:func:`health` of averages by type, those over 1000 ms being slow."""
+    return averages.agg(health(F.count_if(F.col("mean_duration_ms") > 1000), F.lit(mean_cpu), F.lit(peak_memory_mb), alerts).alias("score"))
+
+
+#: Milliseconds that operations of a type may take on the mean.
+TARGETS_MS = {"incremental_update": 100.0, "maintenance": 5000.0, "rebuilding": 30_000.0}
 
 
 def recommendations(averages: DataFrame) -> DataFrame:
-    """One row per advice: slow operation types (over 1000 ms), very slow ones (over 5000 ms)."""
-    advice = F.array(
-        F.when(F.col("mean_duration_ms") > 1000, F.concat(F.lit("speed up "), "operation_type")), F.when(F.col("mean_duration_ms") > 5000, F.concat(F.lit("split "), "operation_type")))
+    """One row per advice: slow operation types (over 1000 ms), very slow ones (over 5000 ms), and types over their own target (a rebuild only if it had
+    fewer than 1000 items on the mean, where that is known)."""
+    d, kind = F.col("mean_duration_ms"), F.lower("operation_type")
+    late = F.lit(False)
+    for name, most in TARGETS_MS.items():
+        few = F.col("mean_items_processed") < 1000 if name == "rebuilding" and "mean_items_processed" in averages.columns else F.lit(True)
+        late = late | ((kind == name) & (d > most) & few)
+    advice = F.array(F.when(d > 1000, F.concat(F.lit("speed up "), "operation_type")), F.when(d > 5000, F.concat(F.lit("split "), "operation_type")), F.when(late, F.concat("operation_type", F.lit(" misses its target"))))
     return averages.select("operation_type", F.explode(F.filter(advice, lambda x: x.isNotNull())).alias("advice"))
 
 
+def resource_advice(used: DataFrame, most_memory_mb: float = 500.0, most_cpu_percent: float = 80.0) -> DataFrame:
+    """(advice) from (mean_cpu_percent, peak_memory_mb): smaller batches above 500 MB, fewer tasks at once above 80 % CPU."""
+    advice = F.array(F.when(F.col("peak_memory_mb") > most_memory_mb, "make batches smaller"), F.when(F.col("mean_cpu_percent") > most_cpu_percent, "run fewer tasks at once"))
+    return used.select(F.explode(F.filter(advice, lambda x: x.isNotNull())).alias("advice"))
+
+
 def index_health(entries: int, files: int, size_bytes: int) -> dict[str, object]:
     """Fragmentation (files against one per 1000 entries, percent), efficiency (4096 bytes a row are ideal), density per MB, status."""
     ideal = max(1, entries // 1000)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -224,6 +225,24 @@ def approximate_top_k(entries: DataFrame, query: list[float], config: SearchConf
     return hits if hits.count() >= config.keep else top_k(entries, query, config, id_col, vector)
 
 
+def search_metrics(hits: DataFrame, kind: str, searched: int, milliseconds: float, target_ms: float = 50.0) -> DataFrame:
+    """One metrics row of a search that has run: kind, vectors searched, results, best and mean score, duration, vectors a second, whether the target was met."""
+    rate = searched / (milliseconds / 1000) if milliseconds > 0 else 0.0
+    return hits.agg(F.count(F.lit(1)).alias("results"), F.max("similarity").alias("top_score"), F.avg("similarity").alias("mean_score")).select(
+        F.lit(kind).alias("operation_type"), F.lit(searched).cast("long").alias("searched"), "results", "top_score", "mean_score",
+        F.lit(float(milliseconds)).alias("duration_ms"), F.lit(rate).alias("vectors_per_second"), F.lit(milliseconds <= target_ms).alias("target_met"))
+
+
+def monitored_top_k(entries: DataFrame, query: list[float], config: SearchConfig = ENGINE, target_ms: float = 50.0, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """(ranked hits, metrics row) of :func:`top_k`, which is run here. The hits are at most ``config.keep`` rows."""
+    began = time.perf_counter()
+    hits = with_rank(top_k(entries, query, config, **columns), F.desc("similarity"), columns.get("id_col", "id"))
+    rows = hits.collect()
+    took = (time.perf_counter() - began) * 1000
+    held = entries.sparkSession.createDataFrame(rows, hits.schema)
+    return held, search_metrics(held, "knn", entries.count(), took, target_ms)
+
+
 def summary(hits: DataFrame, searched: int, query: str = "query") -> DataFrame:
     """Per query: results, best and mean score, efficiency (results per searched vector)."""
     return hits.groupBy(query).agg(F.count(F.lit(1)).alias("results"), F.max("similarity").alias("top_score"), F.avg("similarity").alias("mean_score"), (F.count(F.lit(1)) / F.lit(max(1, searched))).alias("efficiency"))

@@ -139,7 +139,7 @@ SQL = {
     "snapshot_diff": "WITH a AS (WITH " + _LATEST.format(p=_P, w="AND listed_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'") + " SELECT * FROM f WHERE NOT coalesce(is_deleted, false) AND NOT coalesce(is_dir, false)), b AS (" + _F + " SELECT * FROM f WHERE NOT coalesce(is_deleted, false) AND NOT coalesce(is_dir, false)) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.modified IS DISTINCT FROM b.modified OR a.size IS DISTINCT FROM b.size",
     "significant_changes": "SELECT path, listed_at, before, size FROM (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY listed_at, size) AS before FROM (SELECT DISTINCT path, listed_at, size FROM file_info WHERE size IS NOT NULL)) WHERE abs(size - before) >= 5",
     "store_roundtrip": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0",
-    "batch_files_roundtrip": "SELECT model_name, count(*) AS entries, sum(text_length) AS text_bytes, sum(CASE WHEN len(vector) > 0 THEN len(vector) END) AS elements FROM embedding_entry WHERE id IS NOT NULL AND model_name = 'quill-embed-xs' GROUP BY 1",
+    "batch_files_roundtrip": "SELECT model_name, count(*) AS entries, sum(text_length) AS text_bytes, sum(CASE WHEN len(vector) > 0 THEN len(vector) END) AS elements FROM embedding_entry WHERE id IS NOT NULL GROUP BY 1",
     "embedded_notes": "SELECT count(*) AS rows, count(*) FILTER (content IS NOT NULL AND regexp_matches(content, '[^\\s\\x{85}\\p{Z}\\x1c-\\x1f]') AND strlen(content) <= 8192) AS embedded, 32 AS dimension FROM note_chunk",
     "retention": "SELECT path, CASE WHEN ends_with(path, '.tmp') THEN 'temporary' WHEN ends_with(path, '.lock') THEN 'lock' ELSE 'log' END AS kind FROM (SELECT DISTINCT path, modified FROM file_info) WHERE (ends_with(path, '.tmp') AND 1740000000 - modified > 3600) OR (ends_with(path, '.lock') AND 1740000000 - modified > 300) OR (ends_with(path, '.log') AND 1740000000 - modified > 604800)",
 }

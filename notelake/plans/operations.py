@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from notelake.plans import as_bigint
 from notelake.session import load
 
 _AT = ["started_at", "event_id"]
+_PERIOD = ("2024-01-02 00:30:00", "2024-02-15 00:00:00")
 
 
 def _ops(spark, folder):
@@ -134,6 +137,77 @@ def adaptive_timeout(spark, folder):
     return g.select("operation_type", F.round(metrics.adaptive_timeout(30000.0, F.col("f"), F.col("x")), 3).alias("timeout_ms"))
 
 
+def _measured(spark, folder):
+    """Operations with all their measures, derived from the events."""
+    i = F.col("event_id")
+    return _ops(spark, folder).withColumns({
+        "items_processed": i % 50 + 1, "processing_rate": metrics.throughput(i % 50 + 1, F.col("duration_ms")), "memory_peak_mb": F.col("user_id") % 700 + i % 13, "cpu_usage_percent": i % 100,
+        "bytes_read": i % 4096, "status": F.when(i % 17 == 0, "failed").otherwise("success"),
+    })
+
+
+def operation_averages(spark, folder):
+    return metrics.average_metrics(_measured(spark, folder)).select(
+        "operation_type", "operations", *[_r(f"mean_{c}") for c in ("duration_ms", "items_processed", "processing_rate", "memory_peak_mb", "cpu_usage_percent", "bytes_read")], _r("success_rate"))
+
+
+def operation_trends(spark, folder):
+    return metrics.hourly_trends(_measured(spark, folder), *_PERIOD).select("hour", "operation_type", "operations", *[_r(f"mean_{c}") for c in ("duration_ms", "processing_rate", "memory_peak_mb")])
+
+
+def resource_period(spark, folder):
+    return metrics.resource_summary(_measured(spark, folder), "memory_peak_mb", *_PERIOD).select(_r("mean"), "peak", "total", "samples")
+
+
+def performance_report(spark, folder):
+    return metrics.performance_report(_measured(spark, folder).withColumn("duration_ms", F.col("duration_ms") * 20), *_PERIOD).select("section", "subject", "measure", _r("value"), "note")
+
+
+def resource_advice(spark, folder):
+    used = _measured(spark, folder).agg((F.avg("cpu_usage_percent") + 40).alias("mean_cpu_percent"), F.max("memory_peak_mb").alias("peak_memory_mb"))
+    return metrics.resource_advice(used)
+
+
+def benchmark_summary(spark, folder):
+    ops = _measured(spark, folder)
+    early = F.col("event_id") % 2 == 0
+    base = ops.where(early).groupBy("operation_type").agg(F.avg("duration_ms").alias("mean"))
+    now = ops.where(~early).withColumn("duration_ms", F.col("duration_ms") * F.when(F.col("operation_type") == "click", 1.6).otherwise(1.0))
+    return metrics.benchmark_summary(now, target_ms=60.0, baseline=base).select("operation_type", "samples", "min", "max", _r("mean"), "p50", "p95", _r("success_rate"), "target_met", "regression")
+
+
+def benchmark_problems(spark, folder):
+    return metrics.benchmark_problems(benchmark_summary(spark, folder))
+
+
+def memory_regressions(spark, folder):
+    ops = _measured(spark, folder)
+    early = F.col("event_id") % 2 == 0
+    side = lambda rows: metrics.baselines(rows).join(rows.groupBy("operation_type").agg(F.avg("memory_peak_mb").alias("memory")), "operation_type")
+    now = side(ops.where(~early).withColumn("memory_peak_mb", F.col("memory_peak_mb") * F.when(F.col("operation_type") == "view", 1.4).otherwise(1.0)))
+    return metrics.regressions(now, side(ops.where(early))).where("kind = 'memory'").select("operation_type", _r("baseline_value"), _r("current_value"), _r("change_percent"), "severity")
+
+
+def memory_trend_alerts(spark, folder):
+    """More than .1 MB a sample and 10 % above the mean of the last ten."""
+    rows = _measured(spark, folder).withColumn("shelf", F.col("user_id") % 40)
+    return metrics.trend_alerts(rows, "shelf", "memory_peak_mb", _AT, slope=0.1, above=1.1).select("shelf", _r("slope"), _r("mean"), "current")
+
+
+def co_access_within_a_minute(spark, folder):
+    return metrics.co_access(_ops(spark, folder).withColumn("shelf", (F.col("user_id") % 40).cast("string")), "shelf", "operation_type", _AT, 4, 60)
+
+
+def eviction_by_policy(spark, folder):
+    """What each policy would drop to keep a hundred users' entries."""
+    now = F.lit(1_735_689_600)
+    at = F.unix_timestamp("started_at")
+    ops = _ops(spark, folder).withColumn("at", at)
+    cache = ops.groupBy("user_id").agg((now - F.max("at")).alias("age"), F.count(F.lit(1)).alias("uses"), (F.min("at") + 86400 * 400 - now).alias("ttl_left")).join(caches.next_use(ops, "user_id", "at", now), "user_id")
+    out = [caches.evicted(cache, p, 100, "user_id").select(F.lit(p).alias("policy"), "user_id") for p in ("lru", "lfu", "ttl", "blend", "predicted")]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def memory_levels(spark, folder):
     return _ops(spark, folder).groupBy(metrics.memory_level(F.col("duration_ms"), 50, 100).alias("level")).agg(F.count(F.lit(1)).alias("samples"))
 
@@ -206,7 +280,8 @@ f AS (SELECT *, CASE WHEN abs(change_percent) >= 100 THEN 'critical' WHEN abs(ch
 QUERIES = {f.__name__: f for f in (
     average_metrics, average_metrics_with_missing, hourly_trends, hourly_trends_from, resource_summary, index_percentiles, baseline_metrics, baseline_stability, regressions, regression_report, linear_trend,
     trend_alerts, health_score, recommendations, memory_growth, window_comparison, short_window_growth, slow_share, moving_average, co_access, transitions, hour_histogram, metric_rows, progress, adaptive_timeout,
-    memory_levels, history_latest, queue_statistics, request_deduplication, cache_expiry, cache_relevance, eviction_order, dynamic_priority, session_activity, paged_scan, rollup_by_type_and_user_group, last_samples,
+    operation_averages, operation_trends, resource_period, performance_report, resource_advice, benchmark_summary, benchmark_problems, memory_regressions, memory_trend_alerts, co_access_within_a_minute,
+    eviction_by_policy, memory_levels, history_latest, queue_statistics, request_deduplication, cache_expiry, cache_relevance, eviction_order, dynamic_priority, session_activity, paged_scan, rollup_by_type_and_user_group, last_samples,
 )}
 SQL = {
     "average_metrics": _OPS + " SELECT operation_type, count(*) AS operations, round(avg(duration_ms), 6) AS mean_duration_ms FROM o GROUP BY 1",
@@ -247,5 +322,35 @@ SQL = {
     "rollup_by_type_and_user_group": "SELECT event_type, user_id % 4 AS user_group, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 4)",
     "last_samples": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean_last_5 FROM events",
 }
+_MEAS = """WITH o AS (SELECT event_id, event_type AS operation_type, ts AS started_at, value AS duration_ms, user_id, event_id % 50 + 1 AS items_processed, CASE WHEN value > 0 THEN (event_id % 50 + 1) / (value / 1000) ELSE 0 END AS processing_rate,
+  user_id % 700 + event_id % 13 AS memory_peak_mb, event_id % 100 AS cpu_usage_percent, event_id % 4096 AS bytes_read, CASE WHEN event_id % 17 = 0 THEN 0 ELSE 1 END AS ok FROM events),
+p AS (SELECT * FROM o WHERE started_at >= TIMESTAMP '2024-01-02 00:30:00' AND started_at <= TIMESTAMP '2024-02-15 00:00:00')"""
+_AVG = "count(*) AS operations, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("duration_ms", "items_processed", "processing_rate", "memory_peak_mb", "cpu_usage_percent", "bytes_read")) + ", round(avg(ok), 6) AS success_rate"
+_SUMMARY = _MEAS + """, b AS (SELECT operation_type, avg(duration_ms) AS bm FROM o WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT operation_type, duration_ms * CASE WHEN operation_type = 'click' THEN 1.6 ELSE 1.0 END AS d, ok FROM o WHERE event_id % 2 = 1),
+s AS (SELECT operation_type, list_sort(list(d)) AS l, count(*) AS samples, min(d) AS min, max(d) AS max, avg(d) AS mean, avg(ok) AS success_rate FROM n GROUP BY 1),
+r AS (SELECT operation_type, samples, min, max, mean, l[samples * 50 // 100 + 1] AS p50, l[samples * 95 // 100 + 1] AS p95, success_rate, mean <= 60 AS target_met, mean > bm * 1.2 AS regression FROM s JOIN b USING (operation_type))"""
+_CACHE = """WITH c AS (SELECT user_id, 1735689600 - max(floor(epoch(ts)))::BIGINT AS age, count(*) AS uses, min(floor(epoch(ts)))::BIGINT + 86400 * 400 - 1735689600 AS ttl,
+  CASE WHEN count(*) > 1 THEN greatest(0, max(floor(epoch(ts))) + (max(floor(epoch(ts))) - min(floor(epoch(ts)))) / (count(*) - 1) - 1735689600) END AS due FROM events GROUP BY user_id),
+s AS (SELECT user_id, unnest([{'p': 'lru', 's': -age::DOUBLE}, {'p': 'lfu', 's': uses::DOUBLE}, {'p': 'ttl', 's': ttl::DOUBLE}, {'p': 'blend', 's': 0.6::DOUBLE / (1 + age) + 0.4::DOUBLE * uses / (1 + uses)}, {'p': 'predicted', 's': coalesce(-due, '-inf'::DOUBLE)}]) AS x FROM c)"""
+SQL |= {
+    "operation_averages": _MEAS + f" SELECT operation_type, {_AVG} FROM o GROUP BY 1",
+    "operation_trends": _MEAS + " SELECT time_bucket(INTERVAL 1 HOUR, started_at, TIMESTAMP '2024-01-02 00:30:00') AS hour, operation_type, count(*) AS operations, round(avg(duration_ms), 6) AS mean_duration_ms, round(avg(processing_rate), 6) AS mean_processing_rate, round(avg(memory_peak_mb), 6) AS mean_memory_peak_mb FROM p GROUP BY 1, 2",
+    "resource_period": _MEAS + " SELECT round(avg(memory_peak_mb), 6) AS mean, max(memory_peak_mb) AS peak, CAST(sum(memory_peak_mb) AS BIGINT) AS total, count(*) AS samples FROM p",
+    "performance_report": _MEAS + """, q AS (SELECT * REPLACE (duration_ms * 20 AS duration_ms) FROM p), a AS (SELECT operation_type AS subject, count(*)::DOUBLE AS operations, avg(duration_ms) AS mean_duration_ms, avg(items_processed) AS mean_items_processed, avg(processing_rate) AS mean_processing_rate,
+          avg(memory_peak_mb) AS mean_memory_peak_mb, avg(cpu_usage_percent) AS mean_cpu_usage_percent, avg(bytes_read) AS mean_bytes_read, avg(ok) AS success_rate FROM q GROUP BY 1),
+        u AS (SELECT avg(cpu_usage_percent) AS mean_cpu_percent, max(memory_peak_mb)::DOUBLE AS peak_memory_mb, count(*)::DOUBLE AS operations FROM q),
+        m AS (SELECT 'operations' AS section, subject, measure, value FROM (UNPIVOT a ON COLUMNS(* EXCLUDE subject) INTO NAME measure VALUE value) UNION ALL SELECT 'resources', 'all', measure, value FROM (UNPIVOT u ON COLUMNS(*) INTO NAME measure VALUE value)
+          UNION ALL SELECT 'health', 'all', 'score', greatest(0, least(1, 1 - CASE WHEN (SELECT mean_cpu_percent FROM u) > 70 THEN 0.1 ELSE 0 END - CASE WHEN (SELECT peak_memory_mb FROM u) > 1000 THEN 0.1 ELSE 0 END - 0.05 * count(*) FILTER (mean_duration_ms > 1000)))::DOUBLE FROM a),
+        n AS (SELECT subject, 'speed up ' || subject AS note FROM a WHERE mean_duration_ms > 1000 UNION ALL SELECT subject, 'split ' || subject FROM a WHERE mean_duration_ms > 5000 UNION ALL SELECT 'all', 'make batches smaller' FROM u WHERE peak_memory_mb > 500 UNION ALL SELECT 'all', 'run fewer tasks at once' FROM u WHERE mean_cpu_percent > 80)
+        SELECT section, subject, measure, round(value, 6) AS value, NULL::VARCHAR AS note FROM m UNION ALL SELECT 'advice', subject, 'advice', NULL, note FROM n""",
+    "resource_advice": _MEAS + ", u AS (SELECT avg(cpu_usage_percent) + 40 AS c, max(memory_peak_mb) AS m FROM o) SELECT 'make batches smaller' AS advice FROM u WHERE m > 500 UNION ALL SELECT 'run fewer tasks at once' FROM u WHERE c > 80",
+    "benchmark_summary": _SUMMARY + " SELECT * REPLACE (round(mean, 6) AS mean, round(success_rate, 6) AS success_rate) FROM r",
+    "benchmark_problems": _SUMMARY + " SELECT operation_type, 'regression' AS problem FROM r WHERE regression UNION ALL SELECT operation_type, 'target missed' FROM r WHERE NOT target_met UNION ALL SELECT operation_type, 'low success' FROM r WHERE success_rate < 0.95",
+    "memory_regressions": _MEAS + """, g AS (SELECT operation_type, avg(memory_peak_mb) FILTER (event_id % 2 = 0) AS b, avg(memory_peak_mb * CASE WHEN operation_type = 'view' THEN 1.4 ELSE 1.0 END) FILTER (event_id % 2 = 1) AS c FROM o GROUP BY 1), h AS (SELECT *, (c - b) / b * 100 AS x FROM g)
+        SELECT operation_type, round(b, 6) AS baseline_value, round(c, 6) AS current_value, round(x, 6) AS change_percent, CASE WHEN x >= 100 THEN 'critical' WHEN x >= 50 THEN 'major' WHEN x >= 30 THEN 'moderate' ELSE 'minor' END AS severity FROM h WHERE x > 20""",
+    "memory_trend_alerts": _MEAS + ", n AS (SELECT *, user_id % 40 AS shelf, row_number() OVER (PARTITION BY user_id % 40 ORDER BY started_at DESC, event_id DESC) AS n FROM o), t AS (SELECT shelf, regr_slope(memory_peak_mb, -n) AS slope, avg(memory_peak_mb) AS mean, max(memory_peak_mb) FILTER (n = 1) AS current FROM n WHERE n <= 10 GROUP BY 1) SELECT shelf, round(slope, 6) AS slope, round(mean, 6) AS mean, current FROM t WHERE t.slope > 0.1 AND current > t.mean * 1.1",
+    "co_access_within_a_minute": _OPS + ", p AS (" + " UNION ALL ".join(f"SELECT lag(operation_type, {k}) OVER w AS a, operation_type AS b, epoch_us(started_at) - epoch_us(lag(started_at, {k}) OVER w) AS d FROM o WINDOW w AS (PARTITION BY user_id % 40 ORDER BY started_at, event_id)" for k in (1, 2, 3, 4)) + ") SELECT a, b, count(*) AS times FROM p WHERE a <> b AND d <= 60000000 GROUP BY 1, 2",
+    "eviction_by_policy": _CACHE + " SELECT x.p AS policy, user_id FROM s QUALIFY row_number() OVER (PARTITION BY x.p ORDER BY x.s DESC, user_id) > 100",
+}
 SQL["memory_growth"] = as_bigint(SQL["memory_growth"], "longest_growth")
 SQL["metric_rows"] = as_bigint(SQL["metric_rows"], "items")

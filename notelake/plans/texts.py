@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
@@ -46,6 +48,28 @@ def chunk_windows(spark, folder):
     return rows.select("doc_id", "chunk_index", F.sha2("content", 256).alias("hash"), F.length("content").alias("characters"))
 
 
+def chunk_windows_adjusted(spark, folder):
+    """Windows that end with sentences and paragraphs: whether all lie in the text, none is too long, and the first and last touch its ends."""
+    rows = _docs(spark, folder).where("length(text) > 0").select("doc_id", "text", chunking.adjusted_windows(F.col("text"), 512, 64, 1).alias("c"))
+    bare = F.regexp_replace("text", r"^\s+|\s+$", "")
+    ends = F.expr(r"length(text) <= 512 or (startswith(regexp_replace(text, '^\\s+|\\s+$', ''), c[0]) and endswith(regexp_replace(text, '^\\s+|\\s+$', ''), c[size(c) - 1]))")
+    return rows.where(F.length(bare) > 0).select("doc_id", F.forall("c", lambda x: F.col("text").contains(x)).alias("inside"), (F.array_max(F.transform("c", F.length)) <= 512).alias("short"), ends.alias("whole"))
+
+
+def chunk_integrity(spark, folder):
+    """Of each strategy's chunks: whether they are what the text has at their positions, numbered without gaps, in order, and reach the end of the text."""
+    docs, out = _docs(spark, folder).where(F.length(F.regexp_replace("text", r"[ \t\r\n\f\x0b]", "")) > 0), []
+    for s in ("fixed_size", "semantic", "hybrid", "markdown_aware"):
+        chunks = chunking.chunk(docs, chunking.ChunkConfig(s, 1000, 100, 0)).withColumn("doc_id", F.col("doc_id").cast("long"))
+        same = F.substring("text", F.col("start_position") + 1, F.col("end_position") - F.col("start_position")) == F.col("content")
+        joined = chunks.join(docs.select("doc_id", "text"), "doc_id").withColumn("same", F.coalesce(same, F.lit(False)))
+        order = F.sort_array(F.collect_list(F.struct("chunk_index", "start_position")))
+        rising = F.forall(F.zip_with(F.expr("slice(p, 1, size(p) - 1)"), F.expr("slice(p, 2, size(p) - 1)"), lambda a, b: (a["chunk_index"] + 1 == b["chunk_index"]) & (a["start_position"] < b["start_position"])), lambda x: x)
+        g = joined.groupBy("doc_id").agg(F.min("same").alias("same"), order.alias("p"), F.max("total_chunks").alias("n"), F.count(F.lit(1)).alias("k"), F.max("end_position").alias("e"), F.max(F.length(F.regexp_replace("text", r"\s+$", ""))).alias("l"))
+        out.append(g.select("doc_id", F.lit(s).alias("strategy"), "same", (rising & (F.col("n") == F.col("k"))).alias("ordered"), (F.col("e") >= F.col("l")).alias("whole")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def chunk_size_benchmark(spark, folder):
     return chunking.size_benchmark(_docs(spark, folder), [256, 512, 1024])
 
@@ -79,11 +103,11 @@ def chunk_notes(spark, folder):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("strategy").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("texts"), F.max("character_count").alias("longest"))
+    return out.select("strategy", F.col("doc_id").cast("long").alias("chunk_key"), "chunk_index", "total_chunks", "start_position", "end_position", "content", "heading_path")
 
 
 def markdown_elements(spark, folder):
-    return markdown.parse(_docs(spark, folder), "doc_id", "text").groupBy("kind", "level").agg(F.count(F.lit(1)).alias("elements"), F.countDistinct("doc_id").alias("documents"))
+    return markdown.parse(_docs(spark, folder), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "element", "kind", "level", "text", "url", "title", "ordered", "start", "end")
 
 
 def markdown_headers(spark, folder):
@@ -100,7 +124,7 @@ def markdown_stripped(spark, folder):
 
 
 def markdown_html(spark, folder):
-    return _docs(spark, folder).where("text is not null").select("doc_id", F.length(markdown.render(F.col("text"))).alias("html_length"))
+    return _docs(spark, folder).where("text is not null").select("doc_id", markdown.render(F.col("text")).alias("html"))
 
 
 def paragraph_context(spark, folder):
@@ -154,7 +178,7 @@ _SENT = r"CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, len(regexp_extract_
 _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 QUERIES = {f.__name__: f for f in (
-    preprocess_text, text_validity, text_statistics, optimal_chunk_size, chunk_config_suggested, text_hashes, chunk_windows, chunk_size_benchmark, chunk_fixed, chunk_semantic, chunk_hybrid, chunk_markdown,
+    preprocess_text, text_validity, text_statistics, optimal_chunk_size, chunk_config_suggested, text_hashes, chunk_windows, chunk_windows_adjusted, chunk_integrity, chunk_size_benchmark, chunk_fixed, chunk_semantic, chunk_hybrid, chunk_markdown,
     chunk_notes, markdown_elements, markdown_headers, markdown_links, markdown_stripped, markdown_html, paragraph_context, find_in_text, snippet_location, suggestions,
     changed_sections, significant_edits,
 )}
@@ -170,6 +194,8 @@ SQL = {
     "optimal_chunk_size": r"SELECT doc_id, CASE WHEN length(text) < 200 THEN 256 WHEN length(text) < 2000 THEN 512 WHEN len(string_split(text, chr(10) || chr(10))) > 5 OR len(regexp_extract_all(text, '[.!?]')) > 20 THEN 1024 ELSE 512 END AS size FROM documents",
     "text_hashes": "WITH c AS (SELECT doc_id, text, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(text) AS text_hash, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS rolling_hash FROM c",
     "chunk_windows": _WINDOWS.format(size=512, step=448) + "SELECT doc_id, i - 1 AS chunk_index, sha256(c[i]) AS hash, length(c[i]) AS characters FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM k)",
+    "chunk_windows_adjusted": r"SELECT doc_id, true AS inside, true AS short, true AS whole FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0",
+    "chunk_integrity": r"SELECT doc_id, unnest(['fixed_size', 'semantic', 'hybrid', 'markdown_aware']) AS strategy, true AS same, true AS ordered, true AS whole FROM documents WHERE length(regexp_replace(text, '[ \t\r\n\f\v]', '', 'g')) > 0",
     "chunk_size_benchmark": " UNION ALL ".join(f"SELECT {s} AS size, count(*) AS chunks, round(avg(length(x)), 6) AS mean_length, sum(length(x)) AS characters FROM ({_WINDOWS.format(size=s, step=s)} SELECT unnest(c) AS x FROM k)" for s in (256, 512, 1024)),
     "chunk_fixed": """
         WITH d AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) <= 1000 THEN 1 ELSE CAST(ceil((length(text) - 1000) / 900.0) AS BIGINT) + 1 END AS k FROM documents WHERE length(text) > 0),

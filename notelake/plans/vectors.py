@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from notelake.functions import vectors as V
 from notelake.operators import compression, dedup, search
+from notelake.operators.entries import MODEL_DIMENSIONS
 from notelake.plans import as_bigint
-from notelake.session import load
+from notelake.session import load, written
 
 NOW = 1_735_689_600
 _AT = 1_700_000_000
@@ -217,6 +218,28 @@ def delta_roundtrip(spark, folder):
     return back.join(rows, "id").select("id", (worst <= F.col("scale") * 0.51 + 1e-6).alias("within"))
 
 
+def vector_pool_roundtrip(spark, folder):
+    """Entries through the pool of shared, delta-coded and raw vectors and back: how far any is off, by model."""
+    rows = load(spark, folder, "embedding_entry").where("model_name = 'quill-embed-xs' or model_name = 'quill-embed-s'").select(F.monotonically_increasing_id().alias("n"), "id", "model_name", "vector")
+    rows = written(rows, "rows")
+    out = None
+    for model, width in MODEL_DIMENSIONS.items():
+        mine = rows.where((F.col("model_name") == model) & (F.size("vector") == width))
+        held, shared = compression.pool_encoded(mine, 0.9)
+        back = compression.pool_decoded(held, shared).withColumnRenamed("vector", "back")
+        off = F.array_max(F.zip_with("vector", "back", lambda a, b: F.abs(a - b)))
+        good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        each = mine.select("n", "vector", "model_name").join(back.select("n", "back"), "n").where(good).groupBy("model_name").agg(F.count(F.lit(1)).alias("entries"), (F.max(off / F.greatest(F.lit(1.0), F.array_max(F.transform("vector", F.abs)))) < 0.01).alias("near"))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def search_metrics(spark, folder):
+    """The metrics row of a search, but for what the clock says."""
+    _, row = search.monitored_top_k(_others(spark, folder), _query(spark, folder), search.SearchConfig(min_threshold=-1.0))
+    return row.select("operation_type", "searched", "results", _sim("top_score"), _sim("mean_score"))
+
+
 def vector_pool(spark, folder):
     rows = load(spark, folder, "embedding_entry").where("vector is not null").select("id", "vector")
     return compression.pool_statistics(rows)
@@ -239,7 +262,7 @@ _FILES = "('notes/1.md', 'notes/2.md', 'notes/3.md')"
 QUERIES = {f.__name__: f for f in (
     knn_topk, knn_default, threshold_search, threshold_capped, knn_exclude_context, knn_exclude_first, knn_recency, knn_age_rerank, knn_approximate, knn_batch_topk, threshold_batch, knn_batch_summary,
     knn_diversity, knn_batch_recency, vector_norms, vector_normalize, vector_validate, vector_equal, vector_hash_groups, pairwise_statistics, dedup_pairs, duplication_analysis, dedup_clusters, dedup_mapping,
-    dedup_survivors, dedup_statistics, dedup_integrity, dedup_central, quantize_8bit, quantize_16bit_error, quantize_8bit_error, compression_ratio, delta_encode, delta_roundtrip, vector_pool,
+    dedup_survivors, dedup_statistics, dedup_integrity, dedup_central, quantize_8bit, quantize_16bit_error, quantize_8bit_error, compression_ratio, delta_encode, delta_roundtrip, vector_pool_roundtrip, search_metrics, vector_pool,
 )}
 _Q8 = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -264,7 +287,9 @@ SQL = {
     "dedup_survivors": _GREEDY + _MAP.format("-updated_at") + "SELECT CAST(id AS VARCHAR) AS id FROM e WHERE CAST(id AS VARCHAR) NOT IN (SELECT member FROM mp)",
     "dedup_statistics": _GREEDY + _MAP.format("-text_length") + ", t AS (SELECT (SELECT count(*) FROM e) AS a, (SELECT count(DISTINCT member) FROM mp) AS b) SELECT a AS rows, b AS replaced, a - b AS kept, (b * 100.0 / a)::DOUBLE AS reduction_percent FROM t",
     "dedup_central": _GREEDY + f", w AS (SELECT a.seed, a.id, round(avg({_C.format('x.v', 'y.v')}), 9) AS mean FROM cm a JOIN cm b ON a.seed = b.seed AND a.id <> b.id JOIN e x ON CAST(x.id AS VARCHAR) = a.id JOIN e y ON CAST(y.id AS VARCHAR) = b.id WHERE {_C.format('x.v', 'y.v')} >= 0.35 GROUP BY 1, 2) SELECT seed, arg_min(id, (-mean, id)) AS representative FROM w GROUP BY seed",
-    "delta_encode": _GREEDY + """, r AS (SELECT CAST(e.id AS VARCHAR) AS id, e.v::DOUBLE[] AS v, seed AS reference FROM e LEFT JOIN c ON c.member = CAST(e.id AS VARCHAR)),
+    "delta_encode": _GREEDY + f""", sim AS (SELECT CAST(x.id AS VARCHAR) AS id, CAST(y.id AS VARCHAR) AS ref, {_C.format('x.v', 'y.v')} AS s FROM e x JOIN e y ON x.id <> y.id WHERE CAST(x.id AS VARCHAR) IN (SELECT member FROM c) AND CAST(y.id AS VARCHAR) NOT IN (SELECT member FROM c) AND {_C.format('x.v', 'y.v')} >= 0.35),
+        bf AS (SELECT id, arg_min(ref, (-s, ref)) AS reference FROM sim GROUP BY id),
+        r AS (SELECT CAST(e.id AS VARCHAR) AS id, e.v::DOUBLE[] AS v, reference FROM e LEFT JOIN bf ON bf.id = CAST(e.id AS VARCHAR)),""" + """
         z AS (SELECT id, v, list_min(v) AS lo, CASE WHEN list_max(v) > list_min(v) THEN (list_max(v) - list_min(v)) / 255.0 ELSE 1.0 END AS sc FROM r WHERE reference IS NULL),
         y AS (SELECT id, list_transform(v, lambda x: lo + least(round((x - lo) / sc), 255.0) * sc) AS back FROM z),
         d AS (SELECT r.id, r.reference, CASE WHEN y.id IS NULL THEN r.v ELSE list_transform(range(1, len(r.v) + 1), lambda i: r.v[i] - y.back[i]) END AS w FROM r LEFT JOIN y ON r.reference = y.id)
@@ -302,5 +327,8 @@ SQL = {
     "delta_roundtrip": "SELECT CAST(vec_id AS VARCHAR) AS id, true AS within FROM embeddings",
     "vector_pool": "WITH g AS (SELECT vector, count(*) AS n FROM embedding_entry WHERE vector IS NOT NULL GROUP BY vector) SELECT sum(n) AS vectors, count(*) AS pooled, sum(n) - count(*) AS shared, sum(4 * len(vector) * (n - 1)) AS saved_bytes FROM g",
 }
+SQL["vector_pool_roundtrip"] = """SELECT model_name, count(*) AS entries, true AS near FROM embedding_entry WHERE len(vector) = CASE model_name WHEN 'quill-embed-s' THEN 128 WHEN 'quill-embed-xs' THEN 64 END
+    AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = len(vector) GROUP BY model_name"""
+SQL["search_metrics"] = _BASE + "SELECT 'knn' AS operation_type, (SELECT count(*) FROM s) AS searched, count(*) AS results, round(max(similarity), 6) AS top_score, round(avg(similarity), 6) AS mean_score FROM (SELECT similarity FROM s ORDER BY similarity DESC, id LIMIT 10)"
 SQL["compression_ratio"] = as_bigint(SQL["compression_ratio"], "original_bytes", "bytes_8bit", "bytes_16bit")
 SQL["vector_pool"] = as_bigint(SQL["vector_pool"], "vectors", "shared", "saved_bytes")

@@ -17,9 +17,9 @@ HEADER = T.StructType([T.StructField("major", T.IntegerType()), T.StructField("m
 
 
 def write_batches(entries: DataFrame, path: str, codec: str = "gzip", rows_per_file: int = 1000) -> None:
-    """One JSON object per file part of at most ``rows_per_file`` entries of one model, compressed (gzip, none)."""
-    if codec not in ("gzip", "none"):
-        raise ValueError("codec must be gzip or none")
+    """One JSON object per file part of at most ``rows_per_file`` entries of one model, compressed (gzip, lz4, none)."""
+    if codec not in ("gzip", "lz4", "none"):
+        raise ValueError("codec must be gzip, lz4 or none")
     names = [f.name for f in ENTRY.fields]
     n = max(1, -(-entries.count() // rows_per_file))
     grouped = entries.select(*names).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("model_name", "_part").agg(F.collect_list(F.struct(*names)).alias("entries"))
