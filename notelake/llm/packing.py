@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from notelake.llm.ranks import salted_rank, text_tokens
 from notelake.session import written
 
+#: Tokens that a container holds.
+CAPACITY = 8192
+
 ITEM = "doc_id long, piece int, pieces int, start long, tokens long"
 
 
@@ -167,7 +170,7 @@ def items(docs: DataFrame, capacity: int) -> DataFrame:
     return docs.select("doc_id", size.alias("tokens"), F.when(size > capacity, F.col("text")).alias("text")).mapInArrow(partial(_cut, capacity=capacity), ITEM)
 
 
-def pack(docs: DataFrame, capacity: int = 8192, width: int = 32) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, width: int = 32) -> DataFrame:
     """(doc_id, piece, pieces, start, tokens, container) for every row of ``docs`` (doc_id, text).
 
     Lengths are rounded up to classes of ``width`` tokens, so no container overflows. Only the histogram of classes
@@ -198,7 +201,7 @@ def pack(docs: DataFrame, capacity: int = 8192, width: int = 32) -> DataFrame:
     return ranked.join(F.broadcast(plan), "class").where(hit).select("doc_id", "piece", "pieces", "start", "tokens", at.cast("long").alias("container"))
 
 
-def utilisation(packed: DataFrame, capacity: int = 8192) -> DataFrame:
+def utilisation(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers, tokens and the share of space that is used. Containers are summed in two steps, so none is hot."""
     each = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
     return each.agg(

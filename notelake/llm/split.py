@@ -142,6 +142,11 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
 
 
+def _configured(configs: DataFrame) -> DataFrame:
+    """One row per configuration; of a repeated one the greatest sizes."""
+    return configs.groupBy("config_id").agg(F.max(F.struct("max_chunk_size", "overlap_size")).alias("c")).select("config_id", "c.*")
+
+
 def split(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """(chunk_key, piece, pieces, start, end, overlap, text) of every chunk; positions are in code points.
 
@@ -149,10 +154,23 @@ def split(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     unknown or has no positive maximum. Where a window has no natural boundary, cuts fall between visible signs;
     a sign longer than a piece may be cut. Repeated chunks are split each; of a repeated configuration the greatest sizes hold. Work is per row; the text is never cut short.
     """
-    config = configs.groupBy("config_id").agg(F.max(F.struct("max_chunk_size", "overlap_size")).alias("c")).select("config_id", "c.*")
+    config = _configured(configs)
     rows = chunks.select(F.col("chunk_key").cast("long").alias("chunk_key"), "content", "config_id").join(config, "config_id", "left").select("chunk_key", "content", "max_chunk_size", "overlap_size")
     return rows.mapInArrow(_split, PIECES)
 
 
 def oversized(split_rows: DataFrame) -> DataFrame:
     return split_rows.where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("chunk_key")
+
+
+def rejoined(split_rows: DataFrame, chunks: DataFrame, configs: DataFrame) -> DataFrame:
+    """(chunk_key, text, within, overlapping): pieces of each chunk put together without their overlaps, whether none is longer than the maximum, and whether each but the first
+    begins with as much of the one before as is configured (all of what is before it, at most). Chunk keys must be unique. A group is the pieces of one text."""
+    order = F.sort_array(F.collect_list(F.struct("piece", F.expr("substring(text, overlap + 1)").alias("t"))))
+    known = chunks.select("chunk_key", "config_id").join(_configured(configs), "config_id", "left").select("chunk_key", "max_chunk_size", "overlap_size")
+    used = F.greatest(F.lit(0), F.least(F.col("overlap_size"), F.col("max_chunk_size") - 1))
+    rows = split_rows.join(known, "chunk_key")
+    within = F.coalesce(F.length("text") <= F.col("max_chunk_size"), F.lit(True))
+    overlapping = F.coalesce((F.col("piece") == 0) | (F.col("overlap") == F.least(used, F.col("start") + F.col("overlap"))), F.lit(True))
+    return rows.groupBy("chunk_key").agg(order.alias("p"), F.count("text").alias("n"), F.min(within).alias("within"), F.min(overlapping).alias("overlapping")).select(
+        "chunk_key", F.when(F.col("n") > 0, F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("text"), "within", "overlapping")
