@@ -22,7 +22,7 @@ CELLS = 128
 #: Rows of a block that one task holds, at most, but for uneven hashes.
 BLOCK_ROWS = 262_144
 #: Blocks of a model that has rows enough for several tasks.
-LEAST_BLOCKS = 7
+LEAST_BLOCKS = 5
 #: Blocks from which on a block's visitors are shared among several tasks.
 MANY_BLOCKS = 64
 #: Visitors and held rows that are scored at once.
