@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.neighbours import matrix
+from notelake.llm.cells import SLACK, STEP, Layout, by_model, cells_for, centers_of, homes, matrix, model_counts, nearest_center, sampled
 from notelake.session import written
 
 #: Rows on which one round of farthest-first selection runs; a partition is worked through in such parts.
 PART_ROWS = 32_768
 #: Representatives that may be pooled on the driver; more are thinned out by further distributed rounds first.
 POOL_ROWS = 12_288
-#: Cells of a model for the join: the k-center's entries, each with what is nearest to it.
+#: Entries of the k-center from which the cells of the join begin.
 CELLS = 128
 #: Rows of a block that one task holds, at most, but for uneven hashes.
 BLOCK_ROWS = 262_144
@@ -25,16 +25,15 @@ BLOCK_ROWS = 262_144
 LEAST_BLOCKS = 5
 #: Blocks from which on a block's visitors are shared among several tasks.
 MANY_BLOCKS = 64
-#: Visitors and held rows that are scored at once.
-TILE = (512, 2048)
+#: Visitors and held rows that are scored at once, and rows whose near cells are known at once.
+TILE, SLAB = (512, 2048), 8192
 #: Pairs in doubt that are broadcast, at most.
 FEW = 20_000
 #: What single precision may add to a similarity's error.
 ROUNDING = 1e-5
 
 PICKED = "model_name string, id string, unit binary"
-HOMES = "model_name string, cell int, n long, least double"
-PLACED = "task int, side int, key long, short binary"
+PLACED = "task int, side int, cell int, key long, short binary"
 LINK = "a long, b long, sure boolean"
 
 
@@ -85,7 +84,7 @@ class Centers:
     """The k-center of each model, chosen from pooled representatives."""
 
     def __init__(self, usable: DataFrame, size: int):
-        counts = {r["model_name"]: r["count"] for r in usable.groupBy("model_name").count().collect()}  # one row per model
+        counts = model_counts(usable)
         k = {m: min(n, size) for m, n in counts.items()}  # of any part too: it may hold what no other one does
         if (wanted := sum(k.values())) > POOL_ROWS:
             raise ValueError(f"{wanted} entries of all models are asked for; the driver chooses among {POOL_ROWS} at most")
@@ -201,6 +200,9 @@ class Short:
     def joined(cls, parts: list[Short]) -> Short:
         return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("codes", "step", "error")))
 
+    def at(self, rows: np.ndarray | slice) -> Short:
+        return Short(self.codes[rows], self.step[rows], self.error[rows])
+
     def rows(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         return self.codes[at] * self.step[at][:, None]
 
@@ -211,23 +213,35 @@ class Short:
 class _Held:
     """The rows of one block that are held, their sets, and what is compared with them."""
 
-    def __init__(self, x: Short, keys: np.ndarray, threshold: float, directions: np.ndarray):
-        self.x, self.keys, self.threshold, self.directions = x, keys, threshold, directions
-        self.outline, self.sets = self.drawn(x), _Sets(len(x))
+    def __init__(self, x: Short, cells: np.ndarray, keys: np.ndarray, threshold: float, plan: Plan):
+        order = np.argsort(cells, kind="stable")
+        self.x, self.keys, self.threshold, self.plan = x.at(order), keys[order], threshold, plan
+        self.cells, begin = np.unique(cells[order], return_index=True)
+        self.bounds = np.append(begin, len(order))
+        self.of = cells[order]
+        self.outline, self.sets = self.drawn(self.x), _Sets(len(x))
         self.error = float(x.error.max())
         self.score = np.empty(TILE[0] * TILE[1], np.float32)
 
     def drawn(self, x: Short) -> np.ndarray:
-        return np.concatenate([outline(x.rows(slice(s, s + 8192)), self.directions) for s in range(0, len(x), 8192)])
+        return np.concatenate([outline(x.rows(slice(s, s + 8192)), self.plan.directions) for s in range(0, len(x), 8192)])
 
-    def _candidates(self, drawn: np.ndarray, error: float, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of ``drawn``, held row from s to e) whose outlines don't rule the threshold out."""
-        score = self.score[: len(drawn) * (e - s)].reshape(len(drawn), e - s)
-        np.matmul(drawn, self.outline[s:e].T, out=score)
+    def _candidates(self, drawn: np.ndarray, error: float, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row of ``drawn``, held row) whose outlines don't rule the threshold out, in cells that are near the row."""
         low = np.float32(self.threshold - ROUNDING - error - self.error)
-        rows = np.flatnonzero(score.max(axis=1) >= low)
-        a, b = np.nonzero(score[rows] >= low)
-        return rows[a], b + s
+        for c in np.flatnonzero(near.any(axis=0)):
+            mine = np.flatnonzero(near[:, c])
+            for s in range(0, len(mine), TILE[0]):
+                rows = mine[s : s + TILE[0]]
+                part = drawn[rows]
+                for t in range(self.bounds[c], self.bounds[c + 1], TILE[1]):
+                    e = min(int(self.bounds[c + 1]), t + TILE[1])
+                    score = self.score[: len(rows) * (e - t)].reshape(len(rows), e - t)
+                    np.matmul(part, self.outline[t:e].T, out=score)
+                    hit = np.flatnonzero(score.max(axis=1) >= low)
+                    if len(hit):
+                        a, b = np.nonzero(score[hit] >= low)
+                        yield rows[hit[a]], b + t
 
     def _verified(self, y: Short, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs (row of ``y``, held row) reach the threshold for sure, and which may reach it."""
@@ -260,11 +274,12 @@ class _Held:
     def within(self) -> tuple[np.ndarray, np.ndarray]:
         """Connects the held rows among each other; gives the pairs that stay in doubt."""
         left = []
-        for s in range(0, len(self.x), TILE[0]):
-            top = min(len(self.x), s + TILE[0])
-            y = Short(self.x.codes[s:top], self.x.step[s:top], self.x.error[s:top])
-            for t in range(0, top, TILE[1]):
-                a, b = self._candidates(self.outline[s:top], self.error, t, min(top, t + TILE[1]))
+        for s in range(0, len(self.x), SLAB):
+            y = self.x.at(slice(s, s + SLAB))
+            top = s + len(y)
+            near = self.plan.near(y.rows(), self.of[s:top], self.cells)
+            near[:, self.bounds[:-1] >= top] = False
+            for a, b in self._candidates(self.outline[s:top], self.error, near):
                 new = b < a + s
                 a, b = a[new], b[new]
                 new = self.sets.find(a + s) != self.sets.find(b)  # what is connected already needs no link
@@ -276,22 +291,17 @@ class _Held:
         open_ = self.sets.find(a) != self.sets.find(b)
         return self.keys[a[open_]], self.keys[b[open_]]
 
-    def across(self, y: Short, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def across(self, y: Short, cells: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(held key, key, sure): one sure link of each row of ``y`` that has any, whereupon the held rows that it links are one set, and its doubtful ones."""
         first, left = np.full(len(y), -1), []
-        drawn, error = self.drawn(y), float(y.error.max())
-        for s in range(0, len(y), TILE[0]):
-            top = min(len(y), s + TILE[0])
-            part = Short(y.codes[s:top], y.step[s:top], y.error[s:top])
-            for t in range(0, len(self.x), TILE[1]):
-                a, b = self._candidates(drawn[s:top], error, t, min(len(self.x), t + TILE[1]))
-                if len(a):
-                    a, b, sure = self._links(part, a, b)
-                    left.append((a[~sure] + s, b[~sure]))
-                    a, b = a[sure] + s, b[sure]
-                    fresh = first[a] < 0
-                    first[a[fresh]] = b[fresh]
-                    self.sets.merge(first[a], b)
+        near = np.concatenate([self.plan.near(y.rows(slice(s, s + SLAB)), cells[s : s + SLAB], self.cells) for s in range(0, len(y), SLAB)])
+        for a, b in self._candidates(self.drawn(y), float(y.error.max()), near):
+            a, b, sure = self._links(y, a, b)
+            left.append((a[~sure], b[~sure]))
+            a, b = a[sure], b[sure]
+            fresh = first[a] < 0
+            first[a[fresh]] = b[fresh]
+            self.sets.merge(first[a], b)
         a, b = (np.concatenate([x[i] for x in left]) if left else np.empty(0, np.int64) for i in (0, 1))
         open_ = (first[a] < 0) | (self.sets.find(first[a]) != self.sets.find(b))
         has = np.flatnonzero(first >= 0)
@@ -307,102 +317,65 @@ class _Held:
         return smallest[root][linked], self.keys[linked]
 
 
-class Plan:
-    """The cells of one model, in an order in which neighbours follow each other, and the blocks that this order is cut into.
-
-    Blocks have equal numbers of rows, whatever the cells hold: a cell's rows are spread over its stretch by a hash, and a
-    large cell reaches over several blocks.
-    """
+class Plan(Layout):
+    """The layout of a model's cells for the join, and the bounds that say which cells may hold a row's partners."""
 
     def __init__(self, units: np.ndarray, counts: np.ndarray, least: np.ndarray, threshold: float):
-        order, left = [0], set(range(1, len(units)))
-        while left:  # a chain from each center to the nearest one that is left
-            last = units[order[-1]]
-            order.append(max(left, key=lambda j: (float(units[j] @ last), -j)))
-            left.remove(order[-1])
-        self.units, n = units[order], counts[order]
-        self.ends = np.cumsum(n)
-        self.starts, total = self.ends - n, int(n.sum())
-        self.blocks = max(-(-total // BLOCK_ROWS), min(-(-total // 4096), LEAST_BLOCKS))
+        super().__init__(units, counts, least, BLOCK_ROWS, LEAST_BLOCKS, 4096)
         self.parts = max(1, self.blocks // MANY_BLOCKS)
-        self.length = max(1, -(-total // self.blocks))
-        inside = np.arange(self.blocks)[None, :]
-        self.reaches = ((self.starts // self.length)[:, None] <= inside) & (inside <= (np.maximum(self.ends - 1, 0) // self.length)[:, None]) & (n > 0)[:, None]
         # two rows within `radius` whose nearest centers are c and d: the first is at most `radius` on c's side of the plane between them
-        self.radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        self.apart = np.sqrt(np.maximum(0, 2 - 2 * np.clip(self.units @ self.units.T, -1, 1)))
+        self.radius = np.float32(np.sqrt(max(0.0, 2 - 2 * threshold)))
         # and the angle between a row and d is at most the threshold's more than that of d's farthest row
-        reach = np.arccos(np.clip(least[order], -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
-        self.floor = np.where(reach < np.pi, np.cos(np.minimum(reach, np.pi)), -2.0)
-        self.directions = basis(units)
+        reach = np.arccos(np.clip(self.least - SLACK, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
+        self.floor = np.where(reach < np.pi, np.cos(np.minimum(reach, np.pi)), -2.0).astype(np.float32)
+        self.directions = basis(self.units)
         step = np.arange(self.blocks)
         self.goes = (step[:, None] < step[None, :]) == ((step[:, None] + step[None, :]) % 2 == 1)  # of two blocks, which one's rows visit the other
         np.fill_diagonal(self.goes, False)
 
-    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cell of each row, cosines with all centers)."""
-        score = x @ self.units.T
-        return score.argmax(axis=1), score
-
-    def place(self, x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(home block of each row, whether it visits each block): wherever a row may have a partner by what the centers tell."""
-        cell, score = self.homes(x)
-        share = (keys.view(np.uint64) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        home = np.minimum(self.starts[cell] + (share * (self.ends - self.starts)[cell]).astype(np.int64), np.maximum(self.ends[cell] - 1, 0)) // self.length
-        own = score[np.arange(len(x)), cell]
-        near = (own[:, None] - score <= self.radius * self.apart[cell] + 1e-4) & (score >= self.floor - 1e-4)
-        return home, ((near.astype(np.float32) @ self.reaches.astype(np.float32)) > 0) & self.goes[home]
-
-
-def _by_model(b: pa.RecordBatch, models: dict) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(model, row numbers, unit rows) of a batch."""
-    names = np.array(b.column("model_name").to_pylist(), object)
-    for model, width in models.items():
-        mine = np.flatnonzero(names == model)
-        if len(mine):
-            yield model, mine, matrix(b.column("unit").take(pa.array(mine)), np.float32, width)
-
-
-def _homes(batches: Iterator[pa.RecordBatch], units: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of each cell, and the least cosine of one with its center."""
-    n, least = {m: np.zeros(len(u), np.int64) for m, u in units.items()}, {m: np.ones(len(u)) for m, u in units.items()}
-    for b in batches:
-        for model, _, x in _by_model(b, {m: u.shape[1] for m, u in units.items()}):
-            score = x @ units[model].T
-            cell = score.argmax(axis=1)
-            n[model] += np.bincount(cell, minlength=len(n[model]))
-            np.minimum.at(least[model], cell, score[np.arange(len(x)), cell].astype(np.float64))
-    for m in units:
-        at = np.flatnonzero(n[m])
-        yield pa.RecordBatch.from_arrays([pa.array([m] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[m][at]), pa.array(least[m][at])], ["model_name", "cell", "n", "least"])
+    def near(self, x: np.ndarray, cell: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Which of ``cells`` may hold partners of each row, whose own cell is ``cell``."""
+        own, units = self.units[cell], self.units[cells]
+        score = x @ units.T
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (own @ units.T)))
+        return (np.einsum("ij,ij->i", x, own)[:, None] - score <= self.radius * apart + 2 * SLACK) & (score >= self.floor[cells] - SLACK)
+
+    def visits(self, x: np.ndarray, cell: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Whether each row visits each block: wherever it may have a partner by what the centers tell."""
+        reaches = self.reaches.astype(np.float32)
+        near = [self.near(x[s : s + STEP], cell[s : s + STEP]).astype(np.float32) @ reaches > 0 for s in range(0, len(x), STEP)]
+        return np.concatenate(near) & self.goes[home]
 
 
 def _place(batches: Iterator[pa.RecordBatch], plans: dict[str, Plan], first: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Each row to the tasks of its home block (side 0, where the block is compared with itself, or 1) and to those blocks that it visits (side 2)."""
     for b in batches:
         keys = b.column("key").to_numpy()
-        for model, mine, x in _by_model(b, {m: p.units.shape[1] for m, p in plans.items()}):
+        for model, mine, x in by_model(b, {m: p.units.shape[1] for m, p in plans.items()}):
             plan, key = plans[model], keys[mine]
-            home, visits = plan.place(x, key)
+            cell = nearest_center(x, plan.units)
+            home = plan.home(cell, key)
             part = np.tile(np.arange(plan.parts), len(mine))
             rows = [(np.repeat(mine, plan.parts), first[model] + np.repeat(home, plan.parts) * plan.parts + part, np.minimum(part, 1))]
-            who, block = np.nonzero(visits)
+            who, block = np.nonzero(plan.visits(x, cell, home))
             rows.append((mine[who], first[model] + block * plan.parts + (key[who] % plan.parts), np.full(len(who), 2)))
             at, task, side = (np.concatenate(c) for c in zip(*rows))
+            cells = np.zeros(b.num_rows, np.int32)
+            cells[mine] = cell
             short = np.empty(b.num_rows, object)
             short[mine] = Short.of(x).packed()
             short = pa.array(short, pa.binary())
             for s in range(0, len(at), 20_000):
                 rows_at = pa.array(at[s : s + 20_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(task[s : s + 20_000].astype(np.int32)), pa.array(side[s : s + 20_000].astype(np.int32)), b.column("key").take(rows_at), short.take(rows_at)],
-                    ["task", "side", "key", "short"],
+                    [pa.array(task[s : s + 20_000].astype(np.int32)), pa.array(side[s : s + 20_000].astype(np.int32)), pa.array(cells[at[s : s + 20_000]]), b.column("key").take(rows_at), short.take(rows_at)],
+                    ["task", "side", "cell", "key", "short"],
                 )
 
 
-def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], threshold: float, plans: list[tuple[int, Plan]]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (task, side): the rows of a task's block are held; those that visit it stream past them."""
-    parts: list[tuple[Short, np.ndarray]] = []
+    parts: list[tuple[Short, np.ndarray, np.ndarray]] = []
     held: _Held | None = None
     doubts: list[tuple[np.ndarray, np.ndarray]] = []
     at, same = None, False
@@ -411,7 +384,7 @@ def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
     def hold() -> _Held:
-        found = _Held(Short.joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), threshold, next(d for end, d in directions if at < end))
+        found = _Held(Short.joined([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2)), threshold, next(p for end, p in plans if at < end))
         parts.clear()
         if same:
             doubts.append(found.within())
@@ -436,12 +409,12 @@ def _join(batches: Iterator[pa.RecordBatch], threshold: float, directions: list[
             if where[s] // 3 != at:
                 yield from close()
                 at, same, held = where[s] // 3, where[s] % 3 == 0, None
-            x, keys = Short.unpacked(piece.column("short")), piece.column("key").to_numpy()
+            x, cells, keys = Short.unpacked(piece.column("short")), piece.column("cell").to_numpy().astype(np.int64), piece.column("key").to_numpy()
             if where[s] % 3 < 2:
-                parts.append((x, keys))
+                parts.append((x, cells, keys))
             elif parts or held:
                 held = held or hold()
-                yield links(*held.across(x, keys))
+                yield links(*held.across(x, cells, keys))
     yield from close()
 
 
@@ -456,29 +429,30 @@ def _decide(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 def close_links(usable: DataFrame, threshold: float) -> DataFrame:
     """(a, b) keys of linked entries: enough links that entries are connected by them just as by all pairs of cosine >= ``threshold``.
 
-    Exact. The entries of a model are cut into cells around a k-center's entries (:class:`Centers`), the cells into blocks of equal size;
-    each entry is compared with its own block and visits, of each two blocks one way, those that may hold a partner by two bounds: the plane
-    between the centers, and the angle of a cell's farthest row. Where vectors spread over all directions the bounds rule little out and work and
-    shuffle are quadratic; where they lie in clusters, a block meets its neighbours only. Within a task, pairs are first looked at by
+    Exact. The entries of a model are cut into cells, as many as the square root of their number, around centers that begin with a k-center's entries
+    (:class:`Centers`) and rows of a bounded sample and are moved to the middle of what the sample has near them; the cells are cut into blocks of equal
+    size. Each entry is compared with its own block and visits, of each two blocks one way, those that may hold a partner; in a block, only cells that
+    may. Two bounds say which: the plane between two centers, and the angle of a cell's farthest row. The more cells, the
+    less is left: work grows slower than the square, but where vectors spread evenly over all directions. Pairs are first looked at by
     outlines of a quarter of the dimensions, whose product bounds the cosine from above. Vectors travel in sixteen bits a dimension
     with a bound of their error; the pairs that this can't tell are decided from whole vectors, in double. No pair list of a group is
     made: a set of connected rows leaves a block as one star, and a visitor as one link, besides pairs in doubt between sets.
     """
     spark = usable.sparkSession
-    centers = Centers(usable, CELLS)
-    if not centers.ids:
+    centers, counts = Centers(usable, CELLS), model_counts(usable)
+    if not counts:
         return spark.createDataFrame([], "a long, b long")
-    counts, least = ({m: np.full(len(u), v) for m, u in centers.units.items()} for v in (0, 1.0))
     rows = usable.select("model_name", F.xxhash64("id").alias("key"), "unit")
-    for r in rows.select("model_name", "unit").mapInArrow(partial(_homes, units=centers.units), HOMES).groupBy("model_name", "cell").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect():  # models x CELLS rows
-        counts[r["model_name"]][r["cell"]], least[r["model_name"]][r["cell"]] = r["n"], r["least"]
-    plans = {m: Plan(centers.units[m], counts[m], least[m], threshold) for m in sorted(centers.units)}
-    first, total, directions = {}, 0, []
+    samples = sampled(usable, counts, 23)
+    units = {m: centers_of(samples.get(m, u), cells_for(counts[m]), u) for m, u in centers.units.items()}
+    sizes, least = homes(usable, units)
+    plans = {m: Plan(units[m], sizes[m], least[m], threshold) for m in counts}
+    first, total, ends = {}, 0, []
     for m, p in plans.items():
         first[m], total = total, total + p.blocks * p.parts
-        directions.append((total, p.directions))
+        ends.append((total, p))
     placed = rows.mapInArrow(partial(_place, plans=plans, first=first), PLACED)
-    found = written(placed.repartitionById(total, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(partial(_join, threshold=threshold, directions=directions), LINK), "links")
+    found = written(placed.repartitionById(total, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(partial(_join, threshold=threshold, plans=ends), LINK), "links")
     doubtful = found.where("not sure")
     if n := doubtful.count():
         few = F.broadcast if n <= FEW else lambda df: df  # few of them go to where the vectors are; many meet them by key

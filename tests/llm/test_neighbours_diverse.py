@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from notelake.llm import cells as C
 from notelake.llm import diverse as D
 from notelake.llm import neighbours as N
 
@@ -107,14 +108,29 @@ def test_close_groups(spark, monkeypatch, block_rows, many):
 
 def test_clustered_vectors_visit_few_blocks():
     r = np.random.default_rng(5)
-    centers = unit(r.normal(size=(40, 64)))
-    x = unit(centers[r.integers(0, 40, 60_000)] + r.normal(size=(60_000, 64)) * 0.2 / 8)
-    cell = (x @ centers.T).argmax(axis=1)
-    least = np.array([(x[cell == c] @ centers[c]).min() for c in range(40)])
-    plan = D.Plan(centers, np.bincount(cell, minlength=40), least, 0.95)
-    home, visits = plan.place(x, r.integers(-(2**62), 2**62, len(x)))
+    middle = unit(r.normal(size=(40, 64)))
+    x = unit(middle[r.integers(0, 40, 60_000)] + r.normal(size=(60_000, 64)) * 0.2 / 8)
+    units = C.centers_of(x[::20], 40, middle)
+    cell = C.nearest_center(x, units)
+    least = np.array([(x[cell == c] @ units[c]).min(initial=1.0) for c in range(40)])
+    plan = D.Plan(units, np.bincount(cell, minlength=40), least, 0.95)
+    cell = C.nearest_center(x, plan.units)
+    home = plan.home(cell, r.integers(-(2**62), 2**62, len(x)))
     assert plan.blocks == 5 and np.bincount(home).max() < 1.1 * len(x) / 5
-    assert visits.sum() < 0.25 * 2 * len(x)  # of the two other blocks that an entry could visit
+    assert plan.visits(x, cell, home).sum() < 0.25 * 2 * len(x)  # of the two other blocks that an entry could visit
+
+
+def test_near_cells_hold_all_partners():
+    r = np.random.default_rng(8)
+    x = unit(r.normal(size=(4000, 24)) * np.linspace(2, 0.2, 24))
+    units = C.centers_of(x[::4], 60)
+    cell = C.nearest_center(x, units)
+    least = np.array([(x[cell == c] @ units[c]).min(initial=1.0) for c in range(60)])
+    plan = D.Plan(units, np.bincount(cell, minlength=60), least, 0.95)
+    cell = C.nearest_center(x, plan.units)
+    near = plan.near(x, cell)
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    assert near[a, cell[b]].all() and near.mean() < 0.6
 
 
 def test_outlines_bound_the_cosine():
