@@ -1,4 +1,4 @@
-"""Most similar vectors: score-aware (anisotropic) quantisation, four-bit table scans, exact reranking."""
+"""Most similar vectors: score-aware (anisotropic) quantisation, four-bit table scans of the cells near a query, exact reranking."""
 
 from __future__ import annotations
 
@@ -10,18 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows per model (but for the chance of a hash) on which codebooks are fitted; every row is then indexed.
+from notelake.llm.cells import Layout, by_model, cells_for, centers_of, homes, matrix, model_counts, nearest_center, sampled
+
+#: Rows per model, of the sample on which cells are fitted, on which codebooks are; every row is then indexed.
 TRAINING_ROWS = 6_000
+#: Share of the sample's own nearest rows that the cells near a query must hold (the table is denser, so it is more there), and the queries that it is measured with.
+RECALL, PROBES = 0.99, 512
 #: Inner products from this on are those whose error matters (the threshold of the score-aware loss).
 SCORE_THRESHOLD = 0.2
 #: Rows of a block of the index.
 BLOCK_ROWS = 131_072
 LEVELS = 16
-#: Queries and rows whose scores are held at once, rows whose best score stands for them when the k-th best is looked for, and candidates that wait for reranking.
-TILE, GROUP, WAITING = (1024, 4096), 64, 500_000
+#: Queries and rows whose scores are held at once, groups of rows whose best score stands for them when the k-th best is looked for, and candidates that wait for reranking.
+TILE, GROUPS, WAITING = (4096, 2048), 64, 500_000
 
 HITS = "query string, id string, similarity double"
-ROW = "model_name string, id string, path long, unit binary, codes binary"
+PLACED = "block int, kind int, cell int, model_name string, id string, path long, unit binary, codes binary"
 
 
 class Codebook:
@@ -108,30 +112,76 @@ def from_nibbles(packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+class Index:
+    """What all tasks know of one model: its codebook, the layout of its cells, how many of them a query visits, and the number of its first block."""
+
+    def __init__(self, book: Codebook, layout: Layout, probes: int, first: int):
+        self.book, self.layout, self.probes, self.first = book, layout, probes, first
+        self.width = len(book.levels)
+
+    def visited(self, q: np.ndarray) -> np.ndarray:
+        """Which cells each query visits: the nearest ones."""
+        score = q @ self.layout.units.T
+        if self.probes >= score.shape[1]:
+            return np.ones(score.shape, bool)
+        return score >= np.partition(score, score.shape[1] - self.probes, axis=1)[:, score.shape[1] - self.probes, None] - np.float32(1e-6)
+
 
+def probes_for(x: np.ndarray, units: np.ndarray, k: int) -> int:
+    """How many of its nearest cells a row must visit so that these hold RECALL of the ``k`` rows of ``x`` that are nearest to it; all, where there are too few rows to tell."""
+    if len(x) < 4 * k + 20 or len(units) < 8:
+        return len(units)
+    at = np.unique(np.linspace(0, len(x) - 1, PROBES).astype(np.int64))
+    cell, need = nearest_center(x, units), []
+    for s in range(0, len(at), 64):
+        rows = at[s : s + 64]
+        score = x[rows] @ x.T
+        score[np.arange(len(rows)), rows] = -2
+        best = np.argpartition(-score, k, axis=1)[:, :k]
+        to = x[rows] @ units.T
+        need.append((to[:, None, :] > np.take_along_axis(to, cell[best], axis=1)[:, :, None]).sum(axis=2))
+    return min(len(units), int(np.quantile(np.concatenate(need).ravel(), RECALL, method="higher")) + 1)
 
-def _encode(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook]) -> Iterator[pa.RecordBatch]:
+
+def _place(batches: Iterator[pa.RecordBatch], indexes: dict[str, Index]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index, each with its codes to the block of its cell."""
+    for b in batches:
+        keys = b.column("key").to_numpy()
+        for model, mine, x in by_model(b, {m: i.width for m, i in indexes.items()}):
+            i, at = indexes[model], pa.array(mine)
+            cell = nearest_center(x, i.layout.units)
+            block = i.first + i.layout.home(cell, keys[mine])
+            codes = [row.tobytes() for row in nibbles(i.book.encode(x))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.astype(np.int32)), pa.array(np.zeros(len(mine), np.int32)), pa.array(cell.astype(np.int32)), *[b.column(c).take(at) for c in ("model_name", "id", "path", "unit")], pa.array(codes, pa.binary())],
+                [c.split()[0] for c in PLACED.split(", ")],
+            )
+
+
+def _ask(batches: Iterator[pa.RecordBatch], indexes: dict[str, Index]) -> Iterator[pa.RecordBatch]:
+    """Queries, each to the blocks that its cells reach into."""
     for b in batches:
-        models = np.array(b.column("model_name").to_pylist(), object)
-        codes: list[bytes | None] = [None] * b.num_rows
-        for model, book in books.items():
-            mine = np.flatnonzero(models == model)
-            if len(mine):
-                for i, row in zip(mine, nibbles(book.encode(matrix(b.column("unit").take(pa.array(mine)), np.float32, len(book.levels))))):
-                    codes[i] = row.tobytes()
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("model_name", "id", "path", "unit")], pa.array(codes, pa.binary())], ["model_name", "id", "path", "unit", "codes"])
+        for model, mine, x in by_model(b, {m: i.width for m, i in indexes.items()}):
+            i = indexes[model]
+            for s in range(0, len(mine), 1024):
+                who, block = np.nonzero(i.visited(x[s : s + 1024]).astype(np.float32) @ i.layout.reaches.astype(np.float32) > 0)
+                at = pa.array(mine[s + who])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((i.first + block).astype(np.int32)), pa.array(np.ones(len(who), np.int32)), pa.array(np.zeros(len(who), np.int32)), *[b.column(c).take(at) for c in ("model_name", "id", "path", "unit")], pa.nulls(len(who), pa.binary())],
+                    [c.split()[0] for c in PLACED.split(", ")],
+                )
 
 
 class _Block:
-    """The rows of one block of the index, in order of their files, and the scan over their codes."""
+    """The rows of one block of the index, in order of their cells and files, and the scan over their codes."""
 
-    def __init__(self, book: Codebook, parts: list[tuple], k: int):
-        self.book, self.k = book, k
-        path = np.concatenate([p[1] for p in parts])
-        order = np.argsort(path, kind="stable")
+    def __init__(self, index: Index, parts: list[tuple], k: int):
+        self.index, self.book, self.k = index, index.book, k
+        path, cell = np.concatenate([p[1] for p in parts]), np.concatenate([p[4] for p in parts])
+        order = np.lexsort((path, cell))
         self.path = path[order]
+        self.cells, begin = np.unique(cell[order], return_index=True)
+        self.bounds = np.append(begin, len(order))
         self.ids = np.array([i for p in parts for i in p[0]], object)[order]
         self.at = {i: j for j, i in enumerate(self.ids)}
         self.by_id = np.empty(len(self.ids), np.int64)  # each row's place by id, as the window outside sorts
@@ -159,47 +209,52 @@ class _Block:
             yield ids[s + a], self.ids[b], exact
 
     def _search(self, ids: np.ndarray, path: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, k = len(self.ids), self.k
+        k = self.k
         own = np.array([self.at.get(i, -1) for i in ids], np.int64)
-        files, which = np.unique(path, return_inverse=True)
-        begin, end = np.searchsorted(self.path, files, side="left"), np.searchsorted(self.path, files, side="right")
-        end[files == 0] = 0  # no path is no shared file
-        top = np.full((len(q), k), -1.5, np.float32)  # scores of the best groups so far; the last is at most the k-th best score
+        visited = self.index.visited(q)[:, self.cells]
+        low = np.full(len(q), -1.5, np.float32)
+        top = np.full((len(q), k), -1.5, np.float32)  # scores of the best groups so far; the least of them is at most the k-th best score
         a, b, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-        for s in range(0, n, TILE[1]):
-            e = min(n, s + TILE[1])
-            found = q @ self.scan(s, e).T
-            for f in np.flatnonzero((begin < e) & (end > s)):
-                found[np.flatnonzero(which == f), max(0, begin[f] - s) : end[f] - s] = -2.0
-            mine = np.flatnonzero((own >= s) & (own < e))
-            found[mine, own[mine] - s] = -2.0
-            groups = -(-(e - s) // GROUP)
-            if groups > k and (e - s) % groups == 0:
-                heads = found.reshape(len(q), -1, groups).max(axis=1)
-                heads = np.partition(heads, groups - k, axis=1)[:, groups - k :]
-            else:
-                heads = np.partition(found, e - s - k, axis=1)[:, e - s - k :] if e - s > k else found
-            top = -np.partition(-np.concatenate([top, heads], axis=1), k - 1, axis=1)[:, :k]
-            low = np.maximum(top.min(axis=1) - self.book.margin, np.float32(-1.5))
-            x, y = np.nonzero(found >= low[:, None])
-            a, b, score = np.append(a, x), np.append(b, y + s), np.append(score, found[x, y])
-            if len(a) > WAITING or e == n:
-                near = score >= low[a]
-                kept = self._best(q, a[near], b[near])
-                a, b, score = kept[0], kept[1], np.full(len(kept[0]), 2, np.float32)  # reranked already: stays in
-        return kept
-
-
-def _scan(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook], k: int) -> Iterator[pa.RecordBatch]:
+        tiles = [(c, s, min(int(self.bounds[c + 1]), s + TILE[1])) for c in range(len(self.cells)) for s in range(int(self.bounds[c]), int(self.bounds[c + 1]), TILE[1])]
+        for c, s, e in tiles:
+            rows = np.flatnonzero(visited[:, c])
+            if not len(rows):
+                continue
+            found = q[rows] @ self.scan(s, e).T
+            p = path[rows]
+            begin, end = np.searchsorted(self.path[s:e], p, side="left"), np.searchsorted(self.path[s:e], p, side="right")
+            for i in np.flatnonzero((end > begin) & (p != 0)):  # no path is no shared file
+                found[i, begin[i] : end[i]] = -2.0
+            mine = np.flatnonzero((own[rows] >= s) & (own[rows] < e))
+            found[mine, own[rows[mine]] - s] = -2.0
+            groups = min(e - s, max(GROUPS, k + 1))
+            whole = (e - s) // groups * groups
+            heads = np.concatenate([top[rows], found[:, :whole].reshape(len(rows), -1, groups).max(axis=1), found[:, whole:]], axis=1)
+            top[rows] = np.partition(heads, heads.shape[1] - k, axis=1)[:, heads.shape[1] - k :]
+            low[rows] = np.maximum(top[rows].min(axis=1) - self.book.margin, np.float32(-1.5))
+            x, y = np.nonzero(found >= low[rows][:, None])
+            a, b, score = np.append(a, rows[x]), np.append(b, y + s), np.append(score, found[x, y])
+            if len(a) > WAITING:
+                a, b, score = self._reranked(q, a, b, score, low)
+        a, b, _ = self._reranked(q, a, b, score, low)
+        return self._best(q, a, b)
+
+    def _reranked(self, q: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = score >= low[a]
+        a, b, _ = self._best(q, a[near], b[near])
+        return a, b, np.full(len(a), 2, np.float32)  # stays in, whatever the later limits are
+
+
+def _scan(batches: Iterator[pa.RecordBatch], indexes: dict[str, Index], k: int) -> Iterator[pa.RecordBatch]:
     """Rows come by block, in each block first the index's rows, then the queries; queries stream through."""
     block, parts, model, at = None, [], "", None
 
     def column(b: pa.RecordBatch, model: str) -> tuple:
-        width = len(books[model].levels)
+        width = indexes[model].width
         index = b.column("codes").null_count == 0
         return (
             np.array(b.column("id").to_pylist(), object), b.column("path").to_numpy(zero_copy_only=False), matrix(b.column("unit"), np.float32, width),
-            matrix(b.column("codes"), np.uint8, width // 2) if index else None,
+            matrix(b.column("codes"), np.uint8, width // 2) if index else None, b.column("cell").to_numpy().astype(np.int64),
         )
 
     for batch in batches:
@@ -215,8 +270,8 @@ def _scan(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook], k: int)
             if where[a] % 2 == 0:
                 parts.append(column(piece, model))
             elif parts:
-                block = block or _Block(books[model], parts, k)
-                ids, path, unit, _ = column(piece, model)
+                block = block or _Block(indexes[model], parts, k)
+                ids, path, unit, _, _ = column(piece, model)
                 for found in block.search(ids, path, unit):
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], ["query", "id", "similarity"])
 
@@ -225,41 +280,34 @@ def nearest(usable: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 3) ->
     """(query, id, similarity, rank): for each wanted id among the usable entries its ``k`` most similar entries of the same model
     in other files, by cosine, ties by id.
 
-    ``usable`` is (id, model_name, file_path, unit), best read from a written table: it is passed over three times.
-    Codebooks are fitted on about TRAINING_ROWS sampled rows per model; every row is indexed as 4 bits per dimension. The index is
-    cut into blocks of about BLOCK_ROWS rows by a hash of the id; each task holds one block and the queries stream
-    through it, so neither side is gathered or broadcast. A scan scores all rows of the block from the codes, a tile at a time; rows whose score is within the
-    codebook's margin of the block's k-th best so far are reranked exactly, however many they are, by (similarity, id). The loss: a neighbour is missed only if
-    its score errs by more than the margin (README has measured recall).
+    ``usable`` is (id, model_name, file_path, unit), best read from a written table: it is passed over four times.
+    Cells are fitted on a bounded sample, as many as the square root of the rows, codebooks on about TRAINING_ROWS rows of it; every row is indexed, in
+    the cell nearest to it, as 4 bits per dimension. Cells lie in blocks of equal size; each task holds one block, and a query goes to the blocks of the cells
+    nearest to it, so neither side is gathered or broadcast. How many cells these are is measured on the sample: so many that they hold RECALL of the rows nearest
+    to a row. Where vectors spread over all directions that is all of them. A scan scores the rows of these cells from the codes; rows whose score is within the
+    codebook's margin of the block's k-th best so far are reranked exactly, however many they are, by (similarity, id). The
+    loss: a neighbour is missed if it lies in none of these cells, or if its score errs by more than the margin (README has measured recall).
 
-    A null path is no shared file. Fewer than k rows come back where fewer entries exist. Wanted ids that are null, unknown or repeated
+    A null path is no shared file. Fewer than k rows come back where fewer entries exist (or lie in the cells visited). Wanted ids that are null, unknown or repeated
     add nothing. Empty tables give no rows.
     """
     spark = usable.sparkSession
-    counts = {r["model_name"]: r["count"] for r in usable.groupBy("model_name").count().collect()}  # one row per model
-    rows = usable.select("model_name", "id", F.when(F.col("file_path").isNull(), F.lit(0)).otherwise(F.xxhash64("file_path")).alias("path"), "unit")
-    books, blocks = {}, {}
-    cores = spark.sparkContext.defaultParallelism
-    for model, n in sorted(counts.items()):
-        share = min(1.0, TRAINING_ROWS / n)  # of the ids by their hash: the same rows in every run
-        slice_ = rows.where((F.col("model_name") == model) & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).select("id", "unit")
-        got = [bytes(r["unit"]) for r in sorted(slice_.collect(), key=lambda r: r["id"])]
-        books[model] = Codebook.fit(np.frombuffer(b"".join(got), np.float32).reshape(len(got), -1))
-        blocks[model] = max(-(-n // BLOCK_ROWS), min(-(-n // 2048), 2 * cores))
-    if not books:
+    counts = model_counts(usable)
+    samples = sampled(usable, counts, seed)
+    if not samples:
         return spark.createDataFrame([], HITS + ", rank int")
-    first, total = {}, 0
-    for model, n in blocks.items():
-        first[model], total = total, total + n
-    pairs = [F.lit(x) for m in blocks for x in (m, F.struct(F.lit(first[m]).alias("first"), F.lit(blocks[m]).alias("n")))]
-    place = F.create_map(*pairs)[F.col("model_name")]
-    number = lambda c: (F.col("place.first") + c).cast("int").alias("block")
-    index = rows.mapInArrow(partial(_encode, books=books), ROW).withColumn("place", place).select(
-        number(F.pmod(F.xxhash64("id"), F.col("place.n"))), F.lit(0).alias("kind"), "model_name", "id", "path", "unit", "codes")
-    asked = rows.join(wanted.select("id").where(F.col("id").isNotNull()).distinct(), "id", "left_semi").withColumn("place", place)
-    queries = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("place.n") - 1)).alias("b")).select(number(F.col("b")), F.lit(1).alias("kind"), "model_name", "id", "path", "unit", F.lit(None).cast("binary").alias("codes"))
-    placed = index.unionByName(queries).repartitionById(total, F.col("block")).sortWithinPartitions("block", "kind")
-    hits = placed.mapInArrow(partial(_scan, books=books, k=k), HITS)
+    units = {m: centers_of(x, cells_for(counts[m])) for m, x in samples.items()}
+    sizes, least = homes(usable, units)
+    indexes, total = {}, 0
+    for m, x in samples.items():
+        layout = Layout(units[m], sizes[m], least[m], BLOCK_ROWS, 2 * spark.sparkContext.defaultParallelism, 2048)
+        book = Codebook.fit(x[:: max(1, len(x) // TRAINING_ROWS)])
+        indexes[m], total = Index(book, layout, probes_for(x, layout.units, k), total), total + layout.blocks
+    path = F.when(F.col("file_path").isNull(), F.lit(0)).otherwise(F.xxhash64("file_path")).alias("path")
+    rows = usable.select("model_name", "id", path, "unit", F.xxhash64("id").alias("key"))
+    asked = rows.join(wanted.select("id").where(F.col("id").isNotNull()).distinct(), "id", "left_semi").select(*rows.columns)
+    placed = rows.mapInArrow(partial(_place, indexes=indexes), PLACED).unionByName(asked.mapInArrow(partial(_ask, indexes=indexes), PLACED))
+    hits = placed.repartitionById(total, F.col("block")).sortWithinPartitions("block", "kind").mapInArrow(partial(_scan, indexes=indexes, k=k), HITS)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -256,9 +256,16 @@ def test_close_pairs_of_spread_vectors_are_all_found(spark, monkeypatch):
     assert got == {(f"e{i:05d}", f"e{i + 6000:05d}") for i in range(6000)}
 
 
-def block(ids, x, k):
-    book = N.Codebook.fit(x)
-    return N._Block(book, [(ids, np.zeros(len(x), np.int64), x, N.nibbles(book.encode(x)))], k)
+def index(x, cells=1, probes=1):
+    units = C.centers_of(x, cells)
+    cell = C.nearest_center(x, units)
+    layout = C.Layout(units, np.bincount(cell, minlength=cells), np.ones(cells), 10**9, 1, 1)
+    return N.Index(N.Codebook.fit(x), layout, probes, 0), C.nearest_center(x, layout.units)
+
+
+def block(ids, x, k, path=None, **options):
+    i, cell = index(x, **options)
+    return N._Block(i, [(ids, np.zeros(len(x), np.int64) if path is None else path, x, N.nibbles(i.book.encode(x)), cell)], k)
 
 
 def test_ties_of_many_copies_go_to_the_least_ids():
@@ -279,19 +286,20 @@ def test_a_query_takes_no_place_among_its_own_neighbours():
     x = unit(x)
     b = block([f"e{i:05d}" for i in range(40)], x, 5)
     b.scan, b.book.margin = lambda s, e: x[s:e], 0.1
+    assert (b.ids == [f"e{i:05d}" for i in range(40)]).all()
     (q, found, _), = b.search(np.array(["e00000"], object), np.zeros(1, np.int64), x[:1])
     assert sorted(found) == [f"e{i:05d}" for i in range(1, 6)]
 
 
-def test_a_block_of_many_tiles_keeps_the_best(monkeypatch):
+@pytest.mark.parametrize("cells", [1, 20])
+def test_a_block_of_many_tiles_keeps_the_best(monkeypatch, cells):
     monkeypatch.setattr(N, "TILE", (7, 96))
-    monkeypatch.setattr(N, "GROUP", 8)
+    monkeypatch.setattr(N, "GROUPS", 8)
     monkeypatch.setattr(N, "WAITING", 50)
     x = vectors(1003, seed=9)
     x[500:700] = x[3]
     ids, path = np.array([f"e{i:05d}" for i in range(1003)], object), np.arange(1003) % 9
-    book = N.Codebook.fit(x)
-    b = N._Block(book, [(list(ids), path, x, N.nibbles(book.encode(x)))], 6)
+    b = block(list(ids), x, 6, path, cells=cells, probes=cells)
     got = {}
     for q, found, similarity in b.search(ids[:60], path[:60], x[:60]):
         for i, j, s in zip(q, found, similarity):
@@ -303,3 +311,20 @@ def test_a_block_of_many_tiles_keeps_the_best(monkeypatch):
         if i == 3:
             assert sorted(g[1] for g in got[ids[i]]) == sorted(w[1] for w in want)
     assert hits >= 0.99 * 360
+
+
+def test_clustered_queries_visit_few_cells():
+    r = np.random.default_rng(7)
+    middle = unit(r.normal(size=(60, 32)))
+    x = unit(middle[r.integers(0, 60, 6000)] + r.normal(size=(6000, 32)) * 0.4 / np.sqrt(32))
+    units = C.centers_of(x, 77)
+    few = N.probes_for(x, units, 5)
+    assert few < 30
+    cell = C.nearest_center(x, units)
+    i = N.Index(N.Codebook.fit(x[:500]), C.Layout(units, np.bincount(cell, minlength=77), np.ones(77), 500, 4, 1), few, 0)
+    s = x[::10] @ x.T
+    s[np.arange(600), np.arange(0, 6000, 10)] = -2
+    best = np.argsort(-s, axis=1)[:, :5]
+    seen = np.take_along_axis(i.visited(x[::10]), C.nearest_center(x, i.layout.units)[best], axis=1)
+    assert seen.mean() >= 0.98 and i.visited(x[::10]).mean() < 0.5
+    assert N.probes_for(x[:10], units[:3], 5) == 3
