@@ -195,6 +195,14 @@ class _Block:
 
     def _best(self, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, exact similarity) of the first k rows of each query, by similarity, then by id."""
+        rough = np.empty(len(a), np.float32)
+        for c in range(0, len(a), 100_000):
+            rough[c : c + 100_000] = np.einsum("ij,ij->i", q[a[c : c + 100_000]], self.unit[b[c : c + 100_000]])
+        order = np.lexsort((-rough, a))
+        a, b, rough = a[order], b[order], rough[order]
+        last = np.minimum(np.searchsorted(a, a, side="left") + self.k, np.searchsorted(a, a, side="right")) - 1
+        near = rough >= rough[last] - np.float32(4e-6)  # single precision leaves out what can't be one of the first k
+        a, b = a[near], b[near]
         exact = np.empty(len(a))
         for c in range(0, len(a), 100_000):
             exact[c : c + 100_000] = np.einsum("ij,ij->i", q[a[c : c + 100_000]].astype(np.float64), self.unit[b[c : c + 100_000]].astype(np.float64))
