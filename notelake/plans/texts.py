@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 from notelake.functions import text as T
 from notelake.operators import chunking, diff, markdown
 from notelake.plans import as_bigint
-from notelake.session import load
+from notelake.session import load, spread
 
 
 def _docs(spark, folder):
     return load(spark, folder, "documents")
 
 
+def _dealt(spark, folder):
+    """Documents for work that is costly per row."""
+    return spread(_docs(spark, folder), "doc_id")
+
+
 def preprocess_text(spark, folder):
-    return _docs(spark, folder).select("doc_id", T.preprocess(F.col("text")).alias("plain"))
+    return _dealt(spark, folder).select("doc_id", T.preprocess(F.col("text")).alias("plain"))
 
 
 def text_validity(spark, folder):
@@ -27,7 +32,7 @@ def text_validity(spark, folder):
 def text_statistics(spark, folder):
     t = F.col("text")
     words, chars = T.editor_counts(t)
-    return _docs(spark, folder).select("doc_id", T.word_count(t).alias("words"), T.sentence_count(t).alias("sentences"), words.alias("editor_words"), chars.alias("characters"), F.octet_length(t).alias("bytes"))
+    return _dealt(spark, folder).select("doc_id", T.word_count(t).alias("words"), T.sentence_count(t).alias("sentences"), words.alias("editor_words"), chars.alias("characters"), F.octet_length(t).alias("bytes"))
 
 
 def optimal_chunk_size(spark, folder):
@@ -35,22 +40,22 @@ def optimal_chunk_size(spark, folder):
 
 
 def chunk_config_suggested(spark, folder):
-    return _docs(spark, folder).where("text is not null").select("doc_id", T.suggested_config(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return _dealt(spark, folder).where("text is not null").select("doc_id", T.suggested_config(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 def text_hashes(spark, folder):
     t = F.col("text")
-    return _docs(spark, folder).where("text is not null").select("doc_id", F.sha2(t, 256).alias("text_hash"), T.rolling_hash(t).alias("rolling_hash"))
+    return _dealt(spark, folder).where("text is not null").select("doc_id", F.sha2(t, 256).alias("text_hash"), T.rolling_hash(t).alias("rolling_hash"))
 
 
 def chunk_windows(spark, folder):
-    rows = _docs(spark, folder).where("length(text) > 0").select("doc_id", F.posexplode(chunking.windows(F.col("text"), 512, 64)).alias("chunk_index", "content"))
+    rows = _dealt(spark, folder).where("length(text) > 0").select("doc_id", F.posexplode(chunking.windows(F.col("text"), 512, 64)).alias("chunk_index", "content"))
     return rows.select("doc_id", "chunk_index", F.sha2("content", 256).alias("hash"), F.length("content").alias("characters"))
 
 
 def chunk_windows_adjusted(spark, folder):
     """Windows that end with sentences and paragraphs: whether all lie in the text, none is too long, and the first and last touch its ends."""
-    rows = _docs(spark, folder).where("length(text) > 0").select("doc_id", "text", chunking.adjusted_windows(F.col("text"), 512, 64, 1).alias("c"))
+    rows = _dealt(spark, folder).where("length(text) > 0").select("doc_id", "text", chunking.adjusted_windows(F.col("text"), 512, 64, 1).alias("c"))
     bare = F.regexp_replace("text", r"^\s+|\s+$", "")
     ends = F.expr(r"length(text) <= 512 or (startswith(regexp_replace(text, '^\\s+|\\s+$', ''), c[0]) and endswith(regexp_replace(text, '^\\s+|\\s+$', ''), c[size(c) - 1]))")
     return rows.where(F.length(bare) > 0).select("doc_id", F.forall("c", lambda x: F.col("text").contains(x)).alias("inside"), (F.array_max(F.transform("c", F.length)) <= 512).alias("short"), ends.alias("whole"))
@@ -58,7 +63,7 @@ def chunk_windows_adjusted(spark, folder):
 
 def chunk_integrity(spark, folder):
     """Of each strategy's chunks: whether they are what the text has at their positions, numbered without gaps, in order, and reach the end of the text."""
-    docs, out = _docs(spark, folder).where(F.length(F.regexp_replace("text", r"[ \t\r\n\f\x0b]", "")) > 0), []
+    docs, out = _dealt(spark, folder).where(F.length(F.regexp_replace("text", r"[ \t\r\n\f\x0b]", "")) > 0), []
     for s in ("fixed_size", "semantic", "hybrid", "markdown_aware"):
         chunks = chunking.chunk(docs, chunking.ChunkConfig(s, 1000, 100, 0)).withColumn("doc_id", F.col("doc_id").cast("long"))
         same = F.substring("text", F.col("start_position") + 1, F.col("end_position") - F.col("start_position")) == F.col("content")
@@ -71,16 +76,16 @@ def chunk_integrity(spark, folder):
 
 
 def chunk_size_benchmark(spark, folder):
-    return chunking.size_benchmark(_docs(spark, folder), [256, 512, 1024])
+    return chunking.size_benchmark(_dealt(spark, folder), [256, 512, 1024])
 
 
 def chunk_fixed(spark, folder):
-    out = chunking.chunk(_docs(spark, folder), chunking.ChunkConfig("fixed_size", 1000, 100, 100))
+    out = chunking.chunk(_dealt(spark, folder), chunking.ChunkConfig("fixed_size", 1000, 100, 100))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "chunk_index", "total_chunks", "start_position", "end_position", F.sha2("content", 256).alias("hash"), "has_previous_overlap", "has_next_overlap")
 
 
 def _summary(spark, folder, strategy):
-    out = chunking.chunk(_docs(spark, folder), chunking.ChunkConfig(strategy, 1000, 100, 100))
+    out = chunking.chunk(_dealt(spark, folder), chunking.ChunkConfig(strategy, 1000, 100, 100))
     return out.select("doc_id", "chunk_index", "total_chunks", "start_position", "end_position", "word_count", "sentence_count", "heading_path")
 
 
@@ -107,7 +112,7 @@ def chunk_notes(spark, folder):
 
 
 def markdown_elements(spark, folder):
-    return markdown.parse(_docs(spark, folder), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "element", "kind", "level", "text", "url", "title", "ordered", "start", "end")
+    return markdown.parse(_dealt(spark, folder), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "element", "kind", "level", "text", "url", "title", "ordered", "start", "end")
 
 
 def markdown_headers(spark, folder):
@@ -120,11 +125,11 @@ def markdown_links(spark, folder):
 
 
 def markdown_stripped(spark, folder):
-    return _docs(spark, folder).select("doc_id", T.strip_formatting(F.col("text")).alias("plain"))
+    return _dealt(spark, folder).select("doc_id", T.strip_formatting(F.col("text")).alias("plain"))
 
 
 def markdown_html(spark, folder):
-    return _docs(spark, folder).where("text is not null").select("doc_id", markdown.render(F.col("text")).alias("html"))
+    return _dealt(spark, folder).where("text is not null").select("doc_id", markdown.render(F.col("text")).alias("html"))
 
 
 def paragraph_context(spark, folder):
