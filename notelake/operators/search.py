@@ -14,12 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.vectors import cosine
+from notelake.functions.vectors import cosine, unit_rows
+from notelake.operators.cells import STEP, Layout, cells_for, centers_of, homes, matrix, may_reach, model_counts, nearest_center, sampled
+from notelake.session import written
 
-#: Rows of the collection in one block of a batch search.
-BLOCK_ROWS = 32_768
+#: Rows of the collection in one block of a batch search, and from which on blocks are of near cells.
+BLOCK_ROWS, CELLS_FROM = 32_768, 65_536
 FLOAT_SLACK = 1e-5
 
+HITS = "query string, id string, similarity double"
+UNITS = "model_name string, id string, key long, vector array<double>, unit binary"
+
 
 @dataclass(frozen=True)
 class SearchConfig:
@@ -145,14 +150,14 @@ def diverse(hits: DataFrame, threshold: float, max_results: int = 0, query: str
     return hits.groupBy(query).applyInPandas(partial(_diverse, threshold=threshold, most=max_results), schema)
 
 
-def _columns(b: pa.RecordBatch) -> tuple[list, np.ndarray]:
+def _columns(b: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
     values = b.column("vector")
     width = int(values.value_lengths()[0].as_py())
-    return b.column("id").to_pylist(), values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, width)
+    return b.column("id").to_pylist(), values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, width), b.column("low").to_numpy(zero_copy_only=False)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (block, kind): first the block's rows, then queries stream through. Single precision finds candidates, double decides."""
+    """Rows by (block, kind): first the block's rows, then queries stream through, each with the least similarity that it asks for. Single precision finds candidates, double decides."""
     at, ids, parts, rows, unit, small = None, [], [], None, None, None
 
     def units(x: np.ndarray) -> np.ndarray:
@@ -164,7 +169,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float)
         for a, z in zip(edges, edges[1:]):
             if a == z:
                 continue
-            mine, x = _columns(batch.slice(a, z - a))
+            mine, x, least = _columns(batch.slice(a, z - a))
             if key[a] // 2 != at:
                 at, ids, parts, rows = key[a] // 2, [], [], None
             if key[a] % 2 == 0:
@@ -180,34 +185,103 @@ def _search(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float)
             for s in range(0, len(q), 256):
                 part = q[s : s + 256]
                 score = part.astype(np.float32) @ small.T
-                low = np.full(len(part), threshold - FLOAT_SLACK, np.float32)
+                low = (least[s : s + 256] - FLOAT_SLACK).astype(np.float32)
                 if k is not None and len(rows) > k:
                     low = np.maximum(low, np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k] - FLOAT_SLACK)
                 i, j = np.nonzero(score >= low[:, None])
-                exact = np.clip(np.einsum("ij,ij->i", part[i], unit[j]), -1.0, 1.0)
-                keep = exact >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array([mine[s + n] for n in i[keep]], pa.string()), pa.array(rows[j[keep]], pa.string()), pa.array(exact[keep])], ["query", "id", "similarity"])
+                for c in range(0, len(i), 200_000):
+                    exact = np.clip(np.einsum("ij,ij->i", part[i[c : c + 200_000]], unit[j[c : c + 200_000]]), -1.0, 1.0)
+                    keep = np.flatnonzero(exact >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array([mine[s + n] for n in i[c + keep]], pa.string()), pa.array(rows[j[c + keep]], pa.string()), pa.array(exact[keep])], ["query", "id", "similarity"])
+
+
+def _good(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("string").alias("id"), "vector").where(F.col("id").isNotNull() & (F.size("vector") > 0)).where(cosine(F.col("vector"), F.col("vector")).isNotNull())
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scanned(index: DataFrame, asked: DataFrame, blocks: int, k: int | None, threshold: float) -> DataFrame:
+    """Hits of (block, id, vector) against (block, id, vector, low): one task holds one block, and the queries stream through it."""
+    both = index.select("block", F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("low")).unionByName(asked.select("block", F.lit(1).alias("kind"), "id", "vector", "low"))
+    placed = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    return placed.mapInArrow(partial(_search, k=k, threshold=threshold), HITS)
 
 
 def block_search(queries: DataFrame, entries: DataFrame, k: int | None, threshold: float = -1.0) -> DataFrame:
     """(query, id, similarity): for each query its ``k`` most similar entries (all, if k is None) at or above the threshold, exactly.
 
     Both sides are (id string, vector array) with vectors of one length; unusable vectors are dropped on both. The entries are cut
-    into blocks by a hash of the id, one task holds one block, and queries stream through it: nothing is broadcast, no group is
-    gathered. Work is queries x entries, done as matrix products.
+    into blocks, one task holds one block, and queries stream through it as matrix products: nothing is broadcast, no group is
+    gathered. Up to CELLS_FROM entries, blocks are by a hash of the id and every query goes to each of them. Beyond that, blocks are of near cells, and a
+    query goes to those only that may hold what it asks for (:func:`cell_search`).
     """
     spark = entries.sparkSession
-    good = lambda df: df.select(F.col("id").cast("string").alias("id"), "vector").where(F.col("id").isNotNull() & (F.size("vector") > 0)).where(cosine(F.col("vector"), F.col("vector")).isNotNull())
     n = entries.count()
+    if n > CELLS_FROM:
+        return cell_search(queries, entries, k, threshold)
     blocks = max(1, -(-n // BLOCK_ROWS), min(-(-n // 1024), spark.sparkContext.defaultParallelism))
-    index = good(entries).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vector")
-    asked = good(queries).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "vector")
-    placed = index.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
-    hits = placed.mapInArrow(partial(_search, k=k, threshold=threshold), "query string, id string, similarity double")
+    index = _good(entries).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = _good(queries).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "vector", F.lit(float(threshold)).alias("low"))
+    hits = _scanned(index, asked, blocks, k, threshold)
+    return hits if k is None else _best(hits, k)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            _, x = unit_rows(b.column("vector"), len(b.column("vector")[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([""] * b.num_rows), b.column("id"), b.column("key"), b.column("vector"), pa.array([r.tobytes() for r in x], pa.binary())], ["model_name", "id", "key", "vector", "unit"])
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch], layout: Layout, visits: bool) -> Iterator[pa.RecordBatch]:
+    """Rows to the block of their cell, or (``visits``) to all blocks whose cells may hold what is as similar as they ask for."""
+    width = layout.units.shape[1]
+    for b in batches:
+        keys, lows = b.column("key").to_numpy(), b.column("low").to_numpy()
+        for s in range(0, b.num_rows, STEP):
+            x = matrix(b.column("unit").slice(s, STEP), np.float32, width)
+            cell = nearest_center(x, layout.units)
+            if visits:
+                near = may_reach(x, layout.units[cell], layout.units, layout.least, lows[s : s + STEP])
+                who, block = np.nonzero(near.astype(np.float32) @ layout.reaches.astype(np.float32) > 0)
+            else:
+                who, block = np.arange(len(x)), layout.home(cell, keys[s : s + STEP])
+            at = pa.array(s + who)
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *[b.column(c).take(at) for c in ("id", "vector", "low")]], ["block", "id", "vector", "low"])
+
+
+def cell_search(queries: DataFrame, entries: DataFrame, k: int | None, threshold: float = -1.0) -> DataFrame:
+    """:func:`block_search` by cells: exact, for tables of any size.
+
+    Entries lie in cells around centers fitted on a bounded sample, cells in blocks of equal size. A query for all hits goes to the blocks that may hold any by
+    the bounds of :func:`may_reach`. A query for ``k`` first searches the block of its own cell; its k-th best there is what others must reach, so then it goes
+    to those only that may. Where vectors lie in clusters that is a few blocks, where they spread over all directions it is most.
+    """
+    spark = entries.sparkSession
+    packed = lambda df: written(_good(df).select("id", F.col("vector").cast("array<double>").alias("vector"), F.xxhash64("id").alias("key")).mapInArrow(_units, UNITS), "units")
+    index = packed(entries)
+    counts = model_counts(index)
+    if not counts:
+        return spark.createDataFrame([], HITS if k is None else HITS + ", rank int")
+    sample = sampled(index, counts, 29)
+    units = {m: centers_of(x, cells_for(counts[m])) for m, x in sample.items()}
+    sizes, least = homes(index, units)
+    (model, centers), = units.items()
+    layout = Layout(centers, sizes[model], least[model], BLOCK_ROWS, spark.sparkContext.defaultParallelism, 1024)
+    asked = index if queries is entries else packed(queries)
+    place = lambda df, visits: df.mapInArrow(partial(_to_blocks, layout=layout, visits=visits), "block int, id string, vector array<double>, low double")
+    least_wanted = F.lit(float(threshold)).alias("low")
+    held = place(index.select("*", least_wanted), False)
     if k is None:
-        return hits
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return _scanned(held, place(asked.select("*", least_wanted), True), layout.blocks, None, threshold)
+    near = _best(_scanned(held, place(asked.select("*", least_wanted), False), layout.blocks, k, threshold), k)
+    reached = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low")).where(F.col("n") >= k).select(F.col("query").alias("id"), "low")
+    limited = asked.join(reached, "id", "left").withColumn("low", F.coalesce("low", F.lit(float(threshold))))
+    return _best(_scanned(held, place(limited, True), layout.blocks, k, threshold), k)
 
 
 def approximate_top_k(entries: DataFrame, query: list[float], config: SearchConfig, sample_key: Column, seed: int = 0, id_col: str = "id", vector: str = "vector", small: int = 1000) -> DataFrame:

@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.operators import caches, dedup, metrics, ordered
+from notelake.operators import caches, cells, dedup, metrics, ordered, search
 from notelake.sources.store import BucketedStore
 
 
@@ -112,3 +113,30 @@ def test_ordered_computations_across_slices(spark, monkeypatch, slices):
     assert {x.user: x.longest_growth for x in metrics.growth_runs(df, "user", "v", at).collect()} == runs
     assert {x.request_id: x.served_by for x in caches.deduplicated_requests(df, ["user"], "at", 3).collect()} == served
     assert metrics.growth_runs(df.limit(0), "user", "v", at).count() == 0 and metrics.transitions(df.limit(0), "user", "item", at).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.3, 3.0])
+def test_search_by_cells_is_exact(spark, monkeypatch, spread):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(30, 8))[r.integers(0, 30, 1200)] + r.normal(size=(1200, 8)) * spread / 3
+    x[100:130] = x[99] * 2
+    rows = [(f"e{i:04d}", [float(v) for v in a]) for i, a in enumerate(x)] + [("bad", [0.0] * 8), ("none", None), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    some = df.where("id < 'e0200'")
+    table = lambda d: {(t.query, t.id): round(t.similarity, 9) for t in d.collect()}
+    want = [table(search.block_search(some, df, 7, 0.1)), table(search.block_search(some, df, None, 0.95)), table(search.block_search(df, df, None, 0.97))]
+    monkeypatch.setattr(search, "CELLS_FROM", 10)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 100)
+    assert [table(search.block_search(some, df, 7, 0.1)), table(search.block_search(some, df, None, 0.95)), table(search.block_search(df, df, None, 0.97))] == want
+    assert search.cell_search(some, df.limit(0), 3).count() == 0 and search.cell_search(df.limit(0), df, None, 0.9).count() == 0
+
+
+def test_clustered_queries_visit_few_blocks():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(60, 32))[r.integers(0, 60, 6000)] + r.normal(size=(6000, 32)) * 0.1
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    units = cells.centers_of(x[::3], 77)
+    cell = cells.nearest_center(x, units)
+    least = np.array([(x[cell == c] @ units[c]).min(initial=1.0) for c in range(77)])
+    near = cells.may_reach(x, units[cell], units, least, 0.9)
+    assert near.mean() < 0.25 and near[np.arange(6000), cell].all()
