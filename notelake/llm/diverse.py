@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.cells import SLACK, STEP, Layout, by_model, cells_for, centers_of, homes, matrix, model_counts, nearest_center, sampled
+from notelake.operators.cells import STEP, Layout, by_model, cells_for, centers_of, homes, matrix, may_reach, model_counts, nearest_center, sampled
 from notelake.session import written
 
 #: Rows on which one round of farthest-first selection runs; a partition is worked through in such parts.
@@ -323,11 +323,7 @@ class Plan(Layout):
     def __init__(self, units: np.ndarray, counts: np.ndarray, least: np.ndarray, threshold: float):
         super().__init__(units, counts, least, BLOCK_ROWS, LEAST_BLOCKS, 4096)
         self.parts = max(1, self.blocks // MANY_BLOCKS)
-        # two rows within `radius` whose nearest centers are c and d: the first is at most `radius` on c's side of the plane between them
-        self.radius = np.float32(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        # and the angle between a row and d is at most the threshold's more than that of d's farthest row
-        reach = np.arccos(np.clip(self.least - SLACK, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
-        self.floor = np.where(reach < np.pi, np.cos(np.minimum(reach, np.pi)), -2.0).astype(np.float32)
+        self.threshold = threshold
         self.directions = basis(self.units)
         step = np.arange(self.blocks)
         self.goes = (step[:, None] < step[None, :]) == ((step[:, None] + step[None, :]) % 2 == 1)  # of two blocks, which one's rows visit the other
@@ -335,10 +331,7 @@ class Plan(Layout):
 
     def near(self, x: np.ndarray, cell: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Which of ``cells`` may hold partners of each row, whose own cell is ``cell``."""
-        own, units = self.units[cell], self.units[cells]
-        score = x @ units.T
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (own @ units.T)))
-        return (np.einsum("ij,ij->i", x, own)[:, None] - score <= self.radius * apart + 2 * SLACK) & (score >= self.floor[cells] - SLACK)
+        return may_reach(x, self.units[cell], self.units[cells], self.least[cells], self.threshold)
 
     def visits(self, x: np.ndarray, cell: np.ndarray, home: np.ndarray) -> np.ndarray:
         """Whether each row visits each block: wherever it may have a partner by what the centers tell."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.cells import Layout, by_model, cells_for, centers_of, homes, matrix, model_counts, nearest_center, sampled
+from notelake.operators.cells import Layout, by_model, cells_for, centers_of, homes, matrix, model_counts, nearest_center, sampled
 
 #: Rows per model, of the sample on which cells are fitted, on which codebooks are; every row is then indexed.
 TRAINING_ROWS = 6_000

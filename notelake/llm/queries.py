@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.llm import abuse, diverse, mixing, neighbours, packing, split
 from notelake.operators.entries import usable_entries
-from notelake.session import load, written
+from notelake.session import load, spread, written
 
 
 def _usable(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +64,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return split.split(load(spark, folder, "note_chunk"), load(spark, folder, "chunk_config"))
+    return split.split(spread(load(spark, folder, "note_chunk").select("chunk_key", "content", "config_id"), "chunk_key"), load(spark, folder, "chunk_config"))
 
 
 def p3_rejoined(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +116,7 @@ def p7_mixture_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents")
+    docs = spread(load(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
     return abuse.score(docs, abuse.fit(*abuse.training_rows(docs, load(spark, folder, "doc_label"))))
 
 

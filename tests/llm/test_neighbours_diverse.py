@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.llm import cells as C
 from notelake.llm import diverse as D
 from notelake.llm import neighbours as N
+from notelake.operators import cells as C
 
 
 def unit(x):
