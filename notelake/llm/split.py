@@ -82,24 +82,26 @@ def cuts(text: str, size: int, overlap: int) -> list[int]:
     at, price = _boundaries(text, reach)
     at = np.concatenate(([0], at, [n]))
     price = np.concatenate(([0.0], price, [0.0]))
-    best, back = np.full(len(at), np.inf), np.full(len(at), -1, np.int64)
+    best, back = np.full(len(at), np.inf), [-1] * len(at)
     best[0] = 0.0
-    first = np.searchsorted(at, at - reach, side="left")
+    begin, place, prices = np.searchsorted(at, at - reach, side="left").tolist(), at.tolist(), price.tolist()
+    scaled, room = at / reach, np.empty(len(at))
     for j in range(1, len(at)):
-        i0 = int(first[j])
-        if i0 < j:
-            total = best[i0:j] + ((at[j] - at[i0:j] - ideal) / reach) ** 2
-            if i0 == 0:
-                total[0] = best[0] + ((at[j] - overlap - ideal) / reach) ** 2
-        if at[j] <= size and i0 > 0:  # the first piece may be longer: nothing overlaps it
-            head = ((at[j] - overlap - ideal) / reach) ** 2
-        else:
-            head = np.inf
-        k = int(total.argmin()) if i0 < j else -1
-        if i0 < j and total[k] <= head:
-            best[j], back[j] = total[k] + price[j], i0 + k
-        elif head < np.inf:
-            best[j], back[j] = head + price[j], 0
+        i0, here = begin[j], (place[j] - ideal) / reach
+        # the first piece may be longer, as nothing overlaps it
+        head = ((place[j] - overlap - ideal) / reach) ** 2 if place[j] <= size else np.inf
+        low, at_low = head, 0
+        first = max(i0, 1)
+        if first < j:
+            total = room[: j - first]
+            np.subtract(here, scaled[first:j], out=total)
+            np.multiply(total, total, out=total)
+            np.add(total, best[first:j], out=total)
+            k = int(total.argmin())
+            if total[k] <= head:
+                low, at_low = float(total[k]), first + k
+        if low < np.inf:
+            best[j], back[j] = low + prices[j], at_low
     if not np.isfinite(best[-1]):  # boundaries too far apart (long signs moved the steps): as far as each piece may reach
         ends = [_between(text, size, 0, reach)]
         while n - ends[-1] > reach:
