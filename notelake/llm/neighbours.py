@@ -14,6 +14,8 @@ from notelake.operators.cells import Layout, by_model, cells_for, centers_of, ho
 
 #: Rows per model, of the sample on which cells are fitted, on which codebooks are; every row is then indexed.
 TRAINING_ROWS = 6_000
+#: Rows of a cell, at least, on the mean: smaller ones aren't worth being passed over.
+CELL_ROWS = 1024
 #: Share of the sample's own nearest rows that the cells near a query must hold (the table is denser, so it is more there), and the queries that it is measured with.
 RECALL, PROBES = 0.99, 512
 #: Inner products from this on are those whose error matters (the threshold of the score-aware loss).
@@ -289,7 +291,7 @@ def nearest(usable: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 3) ->
     in other files, by cosine, ties by id.
 
     ``usable`` is (id, model_name, file_path, unit), best read from a written table: it is passed over four times.
-    Cells are fitted on a bounded sample, as many as the square root of the rows, codebooks on about TRAINING_ROWS rows of it; every row is indexed, in
+    Cells are fitted on a bounded sample, as many as the square root of the rows but of no fewer than CELL_ROWS on the mean, codebooks on about TRAINING_ROWS rows of it; every row is indexed, in
     the cell nearest to it, as 4 bits per dimension. Cells lie in blocks of equal size; each task holds one block, and a query goes to the blocks of the cells
     nearest to it, so neither side is gathered or broadcast. How many cells these are is measured on the sample: so many that they hold RECALL of the rows nearest
     to a row. Where vectors spread over all directions that is all of them. A scan scores the rows of these cells from the codes; rows whose score is within the
@@ -304,7 +306,7 @@ def nearest(usable: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 3) ->
     samples = sampled(usable, counts, seed)
     if not samples:
         return spark.createDataFrame([], HITS + ", rank int")
-    units = {m: centers_of(x, cells_for(counts[m])) for m, x in samples.items()}
+    units = {m: centers_of(x, max(1, min(cells_for(counts[m]), counts[m] // CELL_ROWS))) for m, x in samples.items()}
     sizes, least = homes(usable, units)
     indexes, total = {}, 0
     for m, x in samples.items():
