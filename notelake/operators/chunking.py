@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.operators.markdown import elements, heading_context
+from notelake.operators.markdown import elements, heading_paths
 
 CHUNK = (
     "doc_id string, chunk_index int, total_chunks int, content string, start_position int, end_position int, character_count int, word_count int, sentence_count int, "
@@ -189,14 +189,14 @@ def _chunk(batches: Iterator[pd.DataFrame], config: ChunkConfig) -> Iterator[pd.
             if not text:
                 continue
             parts = chunks_of(text, config)
-            found = elements(text) if config.strategy == "markdown_aware" else []
+            found = sorted(elements(text), key=lambda x: x["start"]) if config.strategy == "markdown_aware" else []
+            begins, paths = [x["start"] for x in found], heading_paths(found, [s for s, _ in parts])
             for i, (s, e) in enumerate(parts):
                 body = text[s:e]
                 kinds: dict[str, int] = {}
-                for x in found:
-                    if s <= x["start"] < e:
-                        kinds[x["kind"]] = kinds.get(x["kind"], 0) + 1
-                path = [t for _, t in heading_context(found, s)] if found else []
+                for x in found[bisect_left(begins, s) : bisect_left(begins, e)]:
+                    kinds[x["kind"]] = kinds.get(x["kind"], 0) + 1
+                path = paths[i]
                 more, before = e < len(text), i > 0
                 rows.append((key, i, len(parts), _plain(body) if config.strip else body, s, e, len(body), len(_WORD.findall(body)), max(1, len(_SENTENCE.findall(body))), before, more,
                              config.overlap if before else 0, config.overlap if more else 0, path, kinds))

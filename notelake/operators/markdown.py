@@ -87,6 +87,17 @@ def heading_context(found: list[dict], position: int) -> list[tuple[int, str]]:
     return sorted(path.items())
 
 
+def heading_paths(found: list[dict], positions: list[int]) -> list[list[str]]:
+    """Texts of :func:`heading_context` for ascending positions, in one pass."""
+    heads, out, path, k = sorted((e["start"], e["level"], e["text"]) for e in found if e["kind"] == "header"), [], {}, 0
+    for p in positions:
+        while k < len(heads) and heads[k][0] < p:
+            path = {level: text for level, text in path.items() if level < heads[k][1]} | {heads[k][1]: heads[k][2]}
+            k += 1
+        out.append([path[level] for level in sorted(path)])
+    return out
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in ELEMENT.split(", ")]
     for pdf in batches:

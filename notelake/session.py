@@ -39,11 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Scratch paths that are still there.
+_made: dict[str, tuple[JavaObject, JavaObject]] = {}
+
+
+def drop_scratch(*paths: str) -> None:
+    """Remove scratch paths that nothing reads any more (none named: all of them): for jobs that go on and on."""
+    for path in paths or list(_made):
+        if path in _made:
+            _remove(*_made.pop(path))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    """A fresh path in the shared folder, removed by :func:`drop_scratch` or when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     at, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
-    atexit.register(_remove, at, conf)
+    _made[path] = (at, conf)
     return path
 
 
@@ -54,9 +65,12 @@ def _remove(at: JavaObject, conf: JavaObject) -> None:
         pass
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (a scratch path of its own, or the one given) and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = scratch(spark, what)
+    path = path or scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+atexit.register(drop_scratch)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from notelake.operators.lookup import is_note
 from notelake.operators.maintenance import apply_batch, latest_changes
-from notelake.session import written
+from notelake.session import drop_scratch, scratch, written
 from notelake.sources.store import BucketedStore, VersionedStore
 
 #: What the binary file source gives.
@@ -63,9 +63,11 @@ def apply_stream(changes: DataFrame, store: VersionedStore | BucketedStore, fres
             return
         last = latest_changes(batch, path, at, kind)
         if isinstance(store, BucketedStore):
-            last = written(last, "batch")
+            place = scratch(batch.sparkSession, "batch")
+            last = written(last, "batch", place)
             touched = sorted(r["b"] for r in last.select(store.bucket().alias("b")).distinct().collect())  # at most the number of buckets
             store.publish(apply_batch(store.read(touched), last, fresh(last), path, kind), touched)
+            drop_scratch(place)
         else:
             store.publish(apply_batch(store.read(), last, fresh(last), path, kind))
 

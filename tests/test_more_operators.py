@@ -136,6 +136,24 @@ def test_golden_markdown():
     assert markdown.to_html(GOLDEN).startswith(HTML)
 
 
+def test_heading_paths_are_the_contexts():
+    r = random.Random(3)
+    text = "\n".join("#" * r.randrange(1, 5) + f" h{i}" if r.random() < 0.3 else "words and more" for i in range(120))
+    found, at = markdown.elements(text), list(range(0, len(text), 37))
+    assert markdown.heading_paths(found, at) == [[t for _, t in markdown.heading_context(found, p)] for p in at]
+
+
+def test_scratch_can_be_dropped(spark):
+    from notelake.session import drop_scratch, scratch, written
+
+    kept, place = written(spark.range(3).toDF("i"), "kept"), scratch(spark, "gone")
+    gone = written(spark.range(5).toDF("i"), "gone", place)
+    drop_scratch(place)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        gone.count()
+
+
 def test_golden_chunks():
     text = "First sentence here. Second one follows it.\n\n" * 12
     cuts = {s: chunking.chunks_of(text, chunking.ChunkConfig(s, 200, 20, 50)) for s in chunking.STRATEGIES}
