@@ -55,6 +55,8 @@ def scratch(spark: SparkSession, what: str) -> str:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     at, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
     _made[path] = (at, conf)
+    atexit.unregister(drop_scratch)
+    atexit.register(drop_scratch)  # the last to come is the first to run, before the JVM goes
     return path
 
 
@@ -71,6 +73,3 @@ def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     path = path or scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-atexit.register(drop_scratch)
