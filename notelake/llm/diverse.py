@@ -455,11 +455,11 @@ def close_links(usable: DataFrame, threshold: float) -> DataFrame:
     return found.select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(root, key) for every key of ``links`` (a, b): the smallest key that it is connected with.
 
     Alternating large-star and small-star steps; each is a group-wise minimum and a join-free emit, and each round is written to the
-    shared folder. Stops when the edges are stars. A key with very many links is grouped by partial minima, never collected.
+    shared folder. Goes on until the edges are stars, which takes about the square of the logarithm of their number of rounds at most. A key with very many links is grouped by partial minima, never collected.
     """
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
 
@@ -472,14 +472,13 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         moved = joined.where(F.col("v") > F.col("u")).select("m", F.col("v").alias("x")) if both else joined.where(F.col("v") != F.col("m")).select("m", F.col("v").alias("x")).unionByName(least.select("m", F.col("u").alias("x")))
         return moved.where("m <> x").select(F.least("m", "x").alias("low"), F.greatest("m", "x").alias("high")).distinct()
 
-    for _ in range(rounds):
+    while True:
         nxt = written(star(star(edges, True), False), "edges")
         state = nxt.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("high").alias("highs")).first()
         lows = nxt.select(F.col("low").alias("high")).distinct().join(nxt.select("high").distinct(), "high", "left_semi").limit(1).count()
         edges = nxt
         if lows == 0 and state["n"] == state["highs"]:  # every key hangs on one root, and no root hangs on another
             return edges.select(F.col("low").alias("root"), F.col("high").alias("key"))
-    raise RuntimeError("components did not settle")
 
 
 def close_groups(usable: DataFrame, threshold: float) -> DataFrame:

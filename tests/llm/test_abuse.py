@@ -84,3 +84,11 @@ def test_votes(spark):
     texts, y = A.training_rows(spark.createDataFrame([(1, "x"), (4, None)], "doc_id long, text string"), df)
     assert texts == ["x"] and y == [1]
     assert A.training_rows(spark.createDataFrame([], "doc_id long, text string"), df.limit(0)) == ([], [])
+
+
+def test_the_sample_is_bounded_in_characters(spark, monkeypatch):
+    monkeypatch.setattr(A, "CLASS_CHARS", 250)
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(20)] + [(99, "y" * 70_000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, "c", "r", None) for i in [*range(20), 99]], "doc_id long, toxic int, category string, rater string, labelled_at timestamp")
+    texts, y = A.training_rows(docs, marks)
+    assert sorted(y) == [0, 0, 1, 1] and {len(t) for t in texts} == {100}
