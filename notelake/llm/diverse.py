@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.operators.cells import STEP, Layout, by_model, cells_for, centers_of, homes, matrix, may_reach, model_counts, nearest_center, sampled
-from notelake.session import written
+from notelake.session import drop_scratch, scratch, written
 
 #: Rows on which one round of farthest-first selection runs; a partition is worked through in such parts.
 PART_ROWS = 32_768
@@ -461,7 +461,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is a group-wise minimum and a join-free emit, and each round is written to the
     shared folder. Goes on until the edges are stars, which takes about the square of the logarithm of their number of rounds at most. A key with very many links is grouped by partial minima, never collected.
     """
-    edges = written(links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
+    place = scratch(links.sparkSession, "edges")
+    edges = written(links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges", place)
 
     def star(e: DataFrame, both: bool) -> DataFrame:
         arcs = e.select(F.col("high").alias("u"), F.col("low").alias("v"))
@@ -473,7 +474,9 @@ def components(links: DataFrame) -> DataFrame:
         return moved.where("m <> x").select(F.least("m", "x").alias("low"), F.greatest("m", "x").alias("high")).distinct()
 
     while True:
-        nxt = written(star(star(edges, True), False), "edges")
+        before, place = place, scratch(links.sparkSession, "edges")
+        nxt = written(star(star(edges, True), False), "edges", place)
+        drop_scratch(before)
         state = nxt.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("high").alias("highs")).first()
         lows = nxt.select(F.col("low").alias("high")).distinct().join(nxt.select("high").distinct(), "high", "left_semi").limit(1).count()
         edges = nxt
