@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.vectors import cosine, vector_hash
-from notelake.operators.dedup import best_references
-from notelake.session import written
+from notelake.operators.references import best_references, counted
+from notelake.session import drop_scratch, scratch, written
 
 #: Bytes that a quantized vector carries beside its codes (minimum, scale, dimension).
 OVERHEAD = 16
@@ -57,7 +57,7 @@ def delta_encoded(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     hashed = rows.where("id is not null").select("id", vector_hash(F.col("vector")).alias("h"))
     firsts = hashed.where("h is not null").groupBy("h").agg(F.min("id").alias("first"))
-    distinct = rows.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("id", "vector")
+    distinct = written(rows.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("id", "vector"), "distinct")
     found = written(best_references(distinct, threshold).select("id", "reference"), "references")
     usable = cosine(F.col("vector"), F.col("vector")).isNotNull()
     twins = hashed.join(firsts, "h").where("id <> first").join(rows.where(usable).select("id"), "id", "left_semi").join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("reference", "first").alias("reference"))
@@ -97,24 +97,32 @@ def pool_encoded(rows: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, D
     Identical vectors are one row of the pool. Of these, those similar to a reference are a delta to it, if it spans no more than the vector itself (lengths may differ), the
     others are kept raw: pool (vector_hash, kind, reference, raw, codes, low, scale), kind being raw or delta; a delta's reference is raw. Null vectors have a null hash and no row.
     """
-    shared = pool(rows.where("vector is not null")).select(F.col("vector_hash").alias("id"), "vector")
-    stored = written(shared, "pool")
-    refs = written(best_references(stored, threshold).select("id", "reference"), "references")
-    both = stored.join(refs, "id", "left").join(stored.select(F.col("id").alias("reference"), F.col("vector").alias("_base")), "reference", "left")
-    apart = F.zip_with("vector", "_base", lambda a, b: a.cast("double") - b.cast("double"))
+    paths = {x: scratch(rows.sparkSession, x) for x in ("pool", "references", "ids", "near", "deltas")}
+    kept = lambda df, what: written(df, what, paths[what], free=True)
+    stored = kept(pool(rows.where("vector is not null")).select(F.col("vector_hash").alias("id"), "vector"), "pool")
+    refs = kept(best_references(stored, threshold).select("id", "reference"), "references")
+    ids = kept(refs.select("id").unionByName(refs.select(F.col("reference").alias("id")).distinct()), "ids")
+    near = kept(stored.join(counted(ids), "id", "left_semi"), "near")
+    both = near.join(counted(refs), "id").join(near.select(F.col("id").alias("reference"), F.col("vector").alias("_base")), "reference")
     spread = lambda c: F.array_max(c) - F.array_min(c)
-    delta = both.withColumn("_delta", F.when(F.col("_base").isNotNull(), apart)).withColumn("_delta", F.when(spread(F.col("_delta")) <= spread(F.col("vector")), F.col("_delta")))
-    coded = quantized(delta, "_delta", 8).withColumn("kind", F.when(F.col("codes").isNull(), "raw").otherwise("delta"))
-    raw = F.col("kind") == "raw"
-    return pooled(rows), coded.select(F.col("id").alias("vector_hash"), "kind", F.when(~raw, F.col("reference")).alias("reference"), F.when(raw, F.col("vector")).alias("raw"), "codes", "low", "scale")
+    delta = both.withColumn("_delta", F.zip_with("vector", "_base", lambda a, b: a.cast("double") - b.cast("double"))).where(spread(F.col("_delta")) <= spread(F.col("vector")))
+    deltas = kept(quantized(delta, "_delta", 8).select("id", "reference", "codes", "low", "scale"), "deltas")
+    raw = stored.join(counted(deltas.select("id")), "id", "left_anti").select(F.col("id").alias("vector_hash"), F.lit("raw").alias("kind"), F.col("vector").alias("raw"))
+    coded = deltas.select(F.col("id").alias("vector_hash"), F.lit("delta").alias("kind"), "reference", "codes", "low", "scale")
+    shared = raw.unionByName(coded, allowMissingColumns=True).select("vector_hash", "kind", "reference", "raw", "codes", "low", "scale")
+    out = written(shared, "shared", free=True)
+    drop_scratch(*paths.values())
+    return pooled(rows), out
 
 
 def pool_decoded(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows with their vectors again (double): raw ones as they were, deltas within half a step."""
-    raw = shared.where("kind = 'raw'").select(F.col("vector_hash").alias("reference"), F.col("raw").alias("_base"))
+    raw = shared.where("kind = 'raw'").select("vector_hash", F.col("raw").alias("_base"))
     back = dequantize(F.col("codes"), F.col("low"), F.col("scale"))
-    vector = F.when(F.col("kind") == "raw", F.transform("raw", lambda x: x.cast("double"))).otherwise(F.zip_with("_base", back, lambda a, b: a + b))
-    return rows.join(shared.join(raw, "reference", "left").select("vector_hash", vector.alias("vector")), "vector_hash", "left").drop("vector_hash")
+    deltas = shared.where("kind = 'delta'").select(F.col("vector_hash").alias("_id"), F.col("reference").alias("vector_hash"), "codes", "low", "scale")
+    moved = deltas.join(raw, "vector_hash").select(F.col("_id").alias("vector_hash"), F.zip_with("_base", back, lambda a, b: a + b).alias("_moved"))
+    vector = F.coalesce(F.transform("_base", lambda x: x.cast("double")), F.col("_moved"))
+    return rows.join(raw, "vector_hash", "left").join(moved, "vector_hash", "left").withColumn("vector", vector).drop("vector_hash", "_base", "_moved")
 
 
 def pool_statistics(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.vectors import cosine, vector_hash
+from notelake.operators.references import best_references  # noqa: F401
 from notelake.operators.search import block_search
 from notelake.session import written
 
@@ -104,18 +105,6 @@ def greedy_clusters(entries: DataFrame, threshold: float) -> DataFrame:
     return found.unionByName(moved)
 
 
-def best_references(entries: DataFrame, threshold: float) -> DataFrame:
-    """(id, reference, similarity): of the entries that :func:`greedy_clusters` takes as members, the seed most similar to each (ties by id), before or after it in order.
-
-    Entries (id string, vector) must be distinct in both; seeds refer to none, so no reference has one itself.
-    """
-    pairs = written(close_pairs(entries, threshold), "pairs")
-    taken = taken_ids(pairs)
-    both = pairs.select(F.col("a").alias("reference"), F.col("b").alias("id"), "similarity").unionByName(pairs.select(F.col("b").alias("reference"), F.col("a").alias("id"), "similarity"))
-    near = both.join(taken, "id", "left_semi").join(taken.withColumnRenamed("id", "reference"), "reference", "left_anti")
-    return near.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "reference")).alias("m")).select("id", F.col("m.reference").alias("reference"), (-F.col("m.s")).alias("similarity"))
-
-
 def representatives(clusters: DataFrame, rows: DataFrame, strategy: str = "most_recent") -> DataFrame:
     """(seed, representative) per cluster: most_recent, earliest or longest_content; ties by the least id.
 

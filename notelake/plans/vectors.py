@@ -9,7 +9,7 @@ from notelake.functions import vectors as V
 from notelake.operators import compression, dedup, search
 from notelake.operators.entries import MODEL_DIMENSIONS
 from notelake.plans import as_bigint
-from notelake.session import load, written
+from notelake.session import load
 
 NOW = 1_735_689_600
 _AT = 1_700_000_000
@@ -220,16 +220,13 @@ def delta_roundtrip(spark, folder):
 
 def vector_pool_roundtrip(spark, folder):
     """Entries through the pool of shared, delta-coded and raw vectors and back: how far any is off, by model."""
-    rows = load(spark, folder, "embedding_entry").where("model_name = 'quill-embed-xs' or model_name = 'quill-embed-s'").select(F.monotonically_increasing_id().alias("n"), "id", "model_name", "vector")
-    rows = written(rows, "rows")
+    rows = load(spark, folder, "embedding_entry").select("model_name", "vector", F.col("vector").alias("was"))
     out = None
     for model, width in MODEL_DIMENSIONS.items():
-        mine = rows.where((F.col("model_name") == model) & (F.size("vector") == width))
-        held, shared = compression.pool_encoded(mine, 0.9)
-        back = compression.pool_decoded(held, shared).withColumnRenamed("vector", "back")
-        off = F.array_max(F.zip_with("vector", "back", lambda a, b: F.abs(a - b)))
-        good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        each = mine.select("n", "vector", "model_name").join(back.select("n", "back"), "n").where(good).groupBy("model_name").agg(F.count(F.lit(1)).alias("entries"), (F.max(off / F.greatest(F.lit(1.0), F.array_max(F.transform("vector", F.abs)))) < 0.01).alias("near"))
+        held, shared = compression.pool_encoded(rows.where((F.col("model_name") == model) & (F.size("vector") == width)), 0.9)
+        off = F.array_max(F.zip_with("was", "vector", lambda a, b: F.abs(a - b)))
+        good = F.forall("was", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        each = compression.pool_decoded(held, shared).where(good).groupBy("model_name").agg(F.count(F.lit(1)).alias("entries"), (F.max(off / F.greatest(F.lit(1.0), F.array_max(F.transform("was", F.abs)))) < 0.01).alias("near"))
         out = each if out is None else out.unionByName(each)
     return out
 
